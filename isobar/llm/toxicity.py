@@ -1,9 +1,10 @@
 """Toxicity by cumulative-link ordinal regression.
 
 ``P(grade <= k | x) = sigmoid(theta[k] - w.x)`` with one weight vector for all
-ordered thresholds.  x are sparse text features: for each evidence word (a word
-that occurs in toxic labelled documents far more often than in clean ones)
-log2(1 + occurrences).  The output is the expected severity, the sum over k of
+ordered thresholds.  x are sparse text features: whole words (written ``word$``)
+and beginnings of words, so that other endings of a stem count too.  Evidence are
+those that occur in toxic labelled documents far more often than in clean ones;
+their value is log2(1 + occurrences).  The output is the expected severity, the sum over k of
 ``P(grade > k)``.
 
 Grades of the labelled rows: 0 not toxic; 1 toxic; 2 toxic and of low quality.
@@ -21,23 +22,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents the model is fitted on, at most (those first by a hash of
-#: the id), evidence words at most, and how far a word must stand out.
-TRAIN_ROWS, WORDS, Z_SCORE, MIN_DOCS = 20_000, 256, 5.0, 4
+#: the id), evidence features at most, and how far one must stand out.
+TRAIN_ROWS, WORDS, Z_SCORE, MIN_DOCS = 8_000, 512, 4.0, 3
+#: Lengths of the beginnings of words that are features.
+STEMS = range(4, 9)
 #: A document is toxic from this probability of any grade above 0.
 THRESHOLD = 0.5
 
 _WORD = re.compile(r"[^\W_]+")
 
 
+def _features(word: str) -> list[str]:
+    return [word + "$", *(word[:k] for k in STEMS if k <= len(word))]
+
+
 def _words(text: str | None) -> Counter:
-    return Counter(_WORD.findall((text or "").lower()))
+    out: Counter = Counter()
+    for word, n in Counter(_WORD.findall((text or "").lower())).items():
+        for f in _features(word):
+            out[f] += n
+    return out
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in batches:  # summed over the batch before anything is shuffled
+        every: Counter = Counter()
+        toxic: Counter = Counter()
         for text, grade in zip(batch.column("text"), batch.column("grade").to_pylist(), strict=True):
-            words = list(_words(text.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([int(grade > 0)] * len(words), pa.int64())], ["word", "toxic"])
+            found = _words(text.as_py()).keys()
+            every.update(found)
+            if grade:
+                toxic.update(found)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(every), pa.string()), pa.array([toxic.get(f, 0) for f in every], pa.int64()), pa.array(list(every.values()), pa.int64())], ["word", "toxic", "docs"]
+        )
 
 
 def _grid(vocabulary: dict[str, int]):
@@ -53,7 +71,7 @@ def _grid(vocabulary: dict[str, int]):
     return run
 
 
-def fit_cumulative_link(row: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, features: int, l2: float = 1.0, steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative_link(row: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, features: int, l2: float = 0.1, steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
     """(w, theta) of the cumulative logit model by Adam; theta ascends."""
     top = int(grade.max(initial=0))
     n = len(grade)
@@ -104,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
     empty = {"words": {}, "w": np.zeros(0), "theta": np.array([40.0])}
     if not t or t == n:
         return empty
-    word = sample.mapInArrow(_seen, "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("s"))
+    word = sample.mapInArrow(_seen, "word string, toxic long, docs long").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("docs").alias("s"))
     word = word.where(F.col("a") >= MIN_DOCS).withColumn("share", F.col("s") / n)
     z = (F.col("a") / t - (F.col("s") - F.col("a")) / (n - t)) / F.sqrt(F.col("share") * (1 - F.col("share")) * (1 / t + 1 / (n - t)) + 1e-12)
     kept = word.withColumn("z", z).where(F.col("z") >= Z_SCORE).where(F.col("a") / t >= 3 * (F.col("s") - F.col("a")) / (n - t))
@@ -124,14 +142,23 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
 def _score(model: dict):
     weight = {word: float(model["w"][f]) for word, f in model["words"].items()}
     theta = model["theta"]
+    known: dict[str, list[str]] = {}  # evidence features of the words met so far
+
+    def evidence(text: str | None) -> float:
+        hits: dict[str, int] = {}
+        for word in _WORD.findall((text or "").lower()):
+            found = known.get(word)
+            if found is None:
+                if len(known) > 200_000:
+                    known.clear()
+                found = known[word] = [f for f in _features(word) if f in weight]
+            for f in found:
+                hits[f] = hits.get(f, 0) + 1
+        return sum(weight[f] * np.log2(1.0 + n) for f, n in sorted(hits.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = np.zeros(batch.num_rows)
-            for j, text in enumerate(batch.column("text")):
-                words = _WORD.findall((text.as_py() or "").lower())
-                hits = Counter(w for w in words if w in weight)
-                s[j] = sum(weight[w] * np.log2(1.0 + n) for w, n in sorted(hits.items()))
+            s = np.array([evidence(text.as_py()) for text in batch.column("text")], dtype=float)
             above = 1 / (1 + np.exp(np.clip(theta[None, :] - s[:, None], -40, 40)))
             level = (above >= 0.5).sum(axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(level)], ["doc_id", "severity", "p_toxic", "grade"])
