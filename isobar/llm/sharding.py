@@ -105,19 +105,14 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     # Rows per (atom, lane), summed map-side: all later sums work on this.
     lanes = rows.groupBy("atom", "lane").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
-    held = lanes.groupBy("atom").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).collect()  # at most 2**ATOM_BITS rows
-    sizes, counts = [0] * (1 << ATOM_BITS), [0] * (1 << ATOM_BITS)
-    for r in held:
-        sizes[r["atom"]], counts[r["atom"]] = r["b"], r["n"]
-    cuts = cut_points(sizes, shards)
-    plan, shard, slot = [], 0, 0
-    for atom, n in enumerate(counts):
-        while shard < len(cuts) and cuts[shard] <= atom:
-            shard, slot = shard + 1, 0
-        if n:
-            plan.append((atom, shard, slot))
-            slot += n
-    at = F.broadcast(docs.sparkSession.createDataFrame(plan, "atom int, shard int, base long"))  # at most 2**ATOM_BITS rows
+    atoms = lanes.groupBy("atom").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))  # at most 2**ATOM_BITS rows
+    sizes = [0] * (1 << ATOM_BITS)
+    for r in atoms.select("atom", "b").collect():
+        sizes[r["atom"]] = r["b"]
+    cuts = F.lit(cut_points(sizes, shards)).cast("array<int>")
+    placed = atoms.select("atom", "n", F.size(F.filter(cuts, lambda c: c <= F.col("atom"))).alias("shard"))
+    earlier = Window.partitionBy("shard").orderBy("atom").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.broadcast(placed.select("atom", "shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")))  # at most 2**ATOM_BITS rows
     before = Window.partitionBy("atom").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     base = lanes.select("atom", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     numbered = rows.withColumn("r", F.row_number().over(Window.partitionBy("atom", "lane").orderBy("place", "doc_id")))
