@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .storage import cut
 
 #: Parameters of the production query: neighbours, tables, cell width in units of
-#: M, expected product in units of M * |q|, success estimate at which a table's
-#: probing ends, and vectors wanted in a bucket.
-NEIGHBOURS, TABLES, WIDTH, EXPECTED, SUCCESS, BUCKET = 20, 2, 1.4, 0.35, 0.82, 800
+#: M, expected product in units of M * |q|, and success estimate at which a table's
+#: probing ends.  A table has one projection more for every ten times as many vectors.
+NEIGHBOURS, TABLES, WIDTH, EXPECTED, SUCCESS = 20, 2, 1.4, 0.35, 0.82
 PART = 4096
 _REACH = 3.5  # cells beyond this many M hold next to nothing; outer cells are open
 
@@ -178,7 +178,7 @@ def nearest(vectors: DataFrame, is_query, neighbours: int = NEIGHBOURS) -> DataF
     one = firsts.where("r = 1")
     size = one.agg(F.count("*"), F.max(F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x)))).first()
     n, bound = size[0], (size[1] or 1.0) * (1 + 1e-12)
-    k = max(1, min(12, int(math.log(max(1.0, n / BUCKET)) / math.log(3)) + 1))
+    k = min(12, 1 + int(math.log10(max(n, 100) / 100) + 1e-9))
     flat = one.select("vec_id", "e", "h1", "h2").mapInArrow(_pack, "rep long, dim int, v binary, h1 long, h2 long")
     reps = cut(flat, "reps")
     index = reps.select("rep", "dim", "v").mapInArrow(_index(k, bound), "t int, dim int, bucket long, rep long, v binary")
