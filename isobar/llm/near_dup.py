@@ -13,21 +13,23 @@ total order of (cell, word) tokens they share one of their first ``d + 1``
 (pigeonhole): only these are indexed.  A set also enters the band below when a
 partner there can be similar enough, so bands never need comparing.
 
-Cells met by many different sets (passages that many texts share, large groups
-of copies) would emit all pairs.  A bucket over ``BUCKET`` sets emits none;
-instead its sets are indexed again under a second order in which frequent cells
-come last (a bitmap of fixed size says which are frequent; a false positive only
-changes the order, for all sets alike).  What is still crowded then is, in
-practice, a group of true copies: each set is first checked against the
-bucket's least set, and only sets that stayed in different components of such
-a bucket are compared further.  No link between different components is lost,
-and no bucket is capped.
+The order puts first the cells with most rare shingles.  Two sets that share a
+token hold the same shingles in that cell, so this is one order for all sets.
+Shingles that several sets of one stretch of the input hold are frequent; a bitmap
+of fixed size says which (a false positive only moves a cell back, in all sets
+alike).  So passages that many texts share are hardly ever indexed, and a bucket
+of over ``BUCKET`` sets is, in practice, a group of true copies.  It emits no
+pairs: each set is first checked against the bucket's least set, and only sets that
+stayed in different components of such a bucket are compared further, after the
+Hamming bound.  No link between different components is lost, and no bucket is
+capped.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +42,15 @@ from .text import mix, shingle_sets
 
 #: Sets in a bucket up to which all pairs are taken.
 BUCKET = 16
-#: Bits of the frequent-cell and wanted-document bitmaps (1 MiB each, whatever the input).
+#: Bits of the frequent-shingle and wanted-document bitmaps (1 MiB each, whatever the input).
 BITMAP_BITS = 1 << 23
+#: A shingle is frequent when this many different sets hold it in one stretch of
+#: the input of about STRETCH shingles.
+FREQUENT, STRETCH = 3, 1 << 21
 SKETCH_BITS = 1024
 _TEXTS = 128
 
-_META = "doc_id long, n long, node long, sketch binary"
+_META = "doc_id long, n long, node long, sketch array<long>, often array<long>"
 _TOKENS = "key long, node long"
 _MET = "a long, b long, crowded boolean"
 _COMMON = "doc_a long, doc_b long, common long"
@@ -55,9 +60,9 @@ def _node(h: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sketch(h: np.ndarray) -> bytes:
+def _sketch(h: np.ndarray) -> np.ndarray:
     bits = np.bincount((h & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(bool)).tobytes()
+    return np.packbits(bits.astype(bool)).view(np.int64)
 
 
 def _bands(a: int) -> list[tuple[int, int]]:
@@ -70,14 +75,14 @@ def _bands(a: int) -> list[tuple[int, int]]:
     return out
 
 
-def _cells(h: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Token keys of the non-empty cells, and of the empty ones."""
+def _cells(h: np.ndarray, m: int, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token keys of the non-empty cells, their rare shingles, and which cells they are."""
     cell = h >> np.uint64(64 - m) if m else np.zeros(len(h), dtype=np.uint64)
     at = np.flatnonzero(np.diff(cell, prepend=~cell[:1]))
     word = np.bitwise_xor.reduceat(h, at)
     used = cell[at]
     tag = mix(used + np.uint64((m + 1) << 40))
-    return mix(word ^ tag), used
+    return mix(word ^ tag), np.add.reduceat(rare, at), used
 
 
 def _empty_keys(m: int, used: np.ndarray, need: int) -> np.ndarray:
@@ -90,13 +95,10 @@ def _in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def _prefix(h: np.ndarray, m: int, d: int, late: np.ndarray | None = None) -> np.ndarray:
-    """The first d + 1 tokens; frequent cells late, empty cells last."""
-    keys, used = _cells(h, m)
-    if late is None:
-        order = np.sort(keys)[: d + 1]
-    else:
-        order = keys[np.lexsort((keys, _in_bitmap(late, keys)))][: d + 1]
+def _prefix(h: np.ndarray, m: int, d: int, rare: np.ndarray) -> np.ndarray:
+    """The first d + 1 tokens: most rare shingles first, empty cells last."""
+    keys, weight, used = _cells(h, m, rare)
+    order = keys[np.lexsort((keys, -weight))[: d + 1]]
     if len(order) <= d:
         order = np.concatenate([order, _empty_keys(m, used, d + 1 - len(order))])
     return order
@@ -108,18 +110,40 @@ def _slices(batch: pa.RecordBatch, columns: list[str]) -> Iterator[list[list]]:
         yield [part.column(c).to_pylist() for c in columns]
 
 
+def _frequent(sets: list[np.ndarray]) -> np.ndarray:
+    if not sets:
+        return np.zeros(0, np.int64)
+    every = np.sort(np.concatenate(sets))
+    return np.unique(every[: 1 - FREQUENT][every[FREQUENT - 1 :] == every[: 1 - FREQUENT]]).view(np.int64)
+
+
 def _meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per document; at the end of a stretch its frequent shingles ride on one row."""
+    held: dict[int, np.ndarray] = {}
+    size = 0
     for batch in batches:
+        done = 0
         for ids, texts in _slices(batch, ["doc_id", "text"]):
             sets = list(shingle_sets(texts))
+            nodes = [_node(h) for h in sets]
+            done += len(ids)
+            for node, h in zip(nodes, sets, strict=True):
+                if node not in held:
+                    held[node] = h
+                    size += len(h)
+            often = [None] * len(ids)
+            if size >= STRETCH or done == batch.num_rows:
+                often[0] = _frequent(list(held.values()))
+                held, size = {}, 0
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
                     pa.array([len(h) for h in sets], pa.int64()),
-                    pa.array([_node(h) for h in sets], pa.int64()),
-                    pa.array([_sketch(h) for h in sets], pa.binary()),
+                    pa.array(nodes, pa.int64()),
+                    pa.array([_sketch(h) for h in sets], pa.list_(pa.int64())),
+                    pa.array(often, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n", "node", "sketch"],
+                ["doc_id", "n", "node", "sketch", "often"],
             )
 
 
@@ -129,95 +153,80 @@ def _emit(keys: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node)], ["key", "node"])
 
 
-def _tokens(mode: str, crowded: bytes = b"", late: bytes = b""):
-    """mode first: prefixes of all sets; all: every cell of sets that met a crowded
-    bucket; second: their prefixes with frequent cells late."""
-    bits = np.frombuffer(crowded, np.uint8)
-    order = np.frombuffer(late, np.uint8)
+def _tokens(frequent: bytes):
+    """Prefix tokens of every distinct set of a slice."""
+    bits = np.frombuffer(frequent, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for (texts,) in _slices(batch, ["text"]):
-                keys, nodes = [], set()
-                owner = []
+                keys, owner, seen = [], [], set()
                 for h in shingle_sets(texts):
-                    if not len(h) or (node := _node(h)) in nodes:
+                    if not len(h) or (node := _node(h)) in seen:
                         continue
-                    nodes.add(node)
+                    seen.add(node)
+                    rare = (~_in_bitmap(bits, h)).astype(np.int64)
                     for m, d in _bands(len(h)):
-                        first = _prefix(h, m, d)
-                        if mode != "first":
-                            if not _in_bitmap(bits, first).any():
-                                continue
-                            first = _cells(h, m)[0] if mode == "all" else _prefix(h, m, d, order)
-                        keys.append(first)
+                        keys.append(_prefix(h, m, d, rare))
                         owner.append(node)
                 yield _emit(keys, owner)
 
     return run
 
 
-def _meet(count_only: bool):
-    """Streams tokens sorted by (key, node): pairs of small buckets, rows of crowded ones."""
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens sorted by (key, node) -> pairs of small buckets (a, b), rows of crowded ones (key, node).
+
+    A bucket of any size streams: once it is known to be crowded its rows leave at once.
+    """
+
+    def out(a: np.ndarray, b: np.ndarray, crowded: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(crowded)], ["a", "b", "crowded"])
 
     def flush(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node = key[new], node[new]
         at = np.flatnonzero(np.diff(key, prepend=~key[:1]))
         size = np.diff(np.append(at, len(key)))
-        run = np.repeat(size, size)
-        left, right, hot = [], [], []
-        if count_only:
-            keep = at[size > BUCKET]
-            left, right, hot = [key[keep]], [key[keep]], [np.ones(len(keep), bool)]
-        else:
-            crowd = run > BUCKET
-            left, right, hot = [key[crowd]], [node[crowd]], [np.ones(crowd.sum(), bool)]
-            for step in range(1, min(BUCKET, int(size.max(initial=1)))):
-                same = np.flatnonzero((key[step:] == key[:-step]) & ~crowd[step:])
-                left.append(node[same])
-                right.append(node[same + step])
-                hot.append(np.zeros(len(same), bool))
+        crowd = np.repeat(size > BUCKET, size)
+        left, right, hot = [key[crowd]], [node[crowd]], [np.ones(int(crowd.sum()), bool)]
+        for step in range(1, min(BUCKET, int(size.max(initial=1)))):
+            same = np.flatnonzero((key[step:] == key[:-step]) & ~crowd[step:])
+            left.append(node[same])
+            right.append(node[same + step])
+            hot.append(np.zeros(len(same), bool))
         a, b, c = map(np.concatenate, (left, right, hot))
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], ["a", "b", "crowded"])
+            yield out(a, b, c)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = node = np.zeros(0, np.int64)
-        # A bucket of any size streams: once it is known to be crowded its rows leave at once.
-        open_key, is_open = 0, False
-        for batch in batches:
-            k = np.concatenate([key, batch.column("key").to_numpy(zero_copy_only=False)])
-            v = np.concatenate([node, batch.column("node").to_numpy(zero_copy_only=False)])
-            if is_open:
-                more = int(np.searchsorted(k, open_key, "right"))
-                if more and not count_only:
-                    yield pa.RecordBatch.from_arrays([pa.array(k[:more]), pa.array(v[:more]), pa.array(np.ones(more, bool))], ["a", "b", "crowded"])
-                is_open = more == len(k) and more > 0 or (more == 0 and not len(k))
-                k, v = k[more:], v[more:]
-            if not len(k):
-                key, node = k, v
-                continue
-            last = int(np.searchsorted(k, k[-1], "left"))
-            if last:
-                yield from flush(k[:last], v[:last])
-            key, node = k[last:], v[last:]
-            if len(key) > BUCKET:
-                yield from flush(key, node)
-                open_key, is_open = int(key[0]), True
-                key, node = key[:0], node[:0]
-        if len(key):
+    key = node = np.zeros(0, np.int64)
+    open_key = None
+    for batch in batches:
+        k = np.concatenate([key, batch.column("key").to_numpy(zero_copy_only=False)])
+        v = np.concatenate([node, batch.column("node").to_numpy(zero_copy_only=False)])
+        if (k[1:] < k[:-1]).any():
+            raise ValueError("tokens must arrive sorted by key")
+        if open_key is not None:
+            more = int(np.searchsorted(k, open_key, "right"))
+            if more:
+                yield out(np.full(more, open_key), v[:more], np.ones(more, bool))
+            k, v = k[more:], v[more:]
+            if len(k):
+                open_key = None
+        if not len(k):
+            key, node = k, v
+            continue
+        last = int(np.searchsorted(k, k[-1], "left"))
+        if last:
+            yield from flush(k[:last], v[:last])
+        key, node = k[last:], v[last:]
+        if len(np.unique(node)) > BUCKET:
             yield from flush(key, node)
-
-    return run
-
-
-def _met(docs: DataFrame, mode: str, crowded: bytes = b"", late: bytes = b"") -> DataFrame:
-    tokens = docs.select("text").mapInArrow(_tokens(mode, crowded, late), _TOKENS)
-    # Partial distinct first: copies inside a task leave one row each.
-    dealt = tokens.distinct() if mode == "all" else tokens
-    dealt = dealt.repartition("key").sortWithinPartitions("key", "node")
-    if mode != "all":
-        dealt = dealt.dropDuplicates(["key", "node"])
-    return dealt.mapInArrow(_meet(mode == "all"), _MET)
+            open_key = int(key[0])
+            key, node = key[:0], node[:0]
+    if len(key):
+        yield from flush(key, node)
 
 
 def _bitmap(spark: SparkSession, ids: DataFrame, position) -> bytes:
@@ -230,7 +239,7 @@ def _bitmap(spark: SparkSession, ids: DataFrame, position) -> bytes:
         .collect()
     )
     out = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
-    for r in rows:
+    for r in rows:  # at most BITMAP_BITS / 32768 rows of 4 KiB
         at = (r["bucket"] - 1) * 4096
         out[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
     return out.tobytes()
@@ -274,30 +283,31 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hamming(x: str, y: str):
-    words = [
-        F.bit_count(F.conv(F.hex(F.substring(F.col(x), i, 4)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring(F.col(y), i, 4)), 16, 10).cast("long")))
-        for i in range(1, SKETCH_BITS // 8, 4)
-    ]
-    out = words[0]
-    for w in words[1:]:
-        out = out + w
-    return out
+    words = [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(SKETCH_BITS // 64)]
+    return reduce(lambda a, b: a + b, words)
+
+
+def _plausible():
+    """May the sets a and b (columns n_a, sketch_a, ...) link, by their sizes and sketches?"""
+    sizes = 4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")
+    return sizes & (7 * _hamming("sketch_a", "sketch_b") <= F.col("n_a") + F.col("n_b"))
+
+
+def _side(nodes: DataFrame, s: str) -> DataFrame:
+    return nodes.select(*(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "sketch", "doc")))
 
 
 def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of pairs(a, b) of nodes, those with Jaccard >= 3/4, counted exactly on the texts."""
-    side = lambda s: nodes.select(*(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "sketch", "doc")))
     held = (
         pairs.select(F.col("a").alias("node_a"), F.col("b").alias("node_b"))
-        .join(side("a"), "node_a")
-        .join(side("b"), "node_b")
-        .where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
-        .where(7 * _hamming("sketch_a", "sketch_b") <= F.col("n_a") + F.col("n_b"))
-        .select("node_a", "node_b", "n_a", "n_b", F.col("doc_a"), F.col("doc_b"))
+        .join(_side(nodes, "a"), "node_a")
+        .join(_side(nodes, "b"), "node_b")
+        .where(_plausible())
+        .select("node_a", "node_b", "n_a", "n_b", "doc_a", "doc_b")
     )
     held = cut(held, "pairs")
-    texts = _wanted_texts(docs, held.select(F.col("doc_a").alias("doc_id")).unionByName(held.select(F.col("doc_b").alias("doc_id"))))
-    texts = cut(texts.dropDuplicates(["doc_id"]), "texts")
+    texts = _wanted_texts(docs, held.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id"))).dropDuplicates(["doc_id"])
     counted = (
         held.select("doc_a", "doc_b")
         .join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
@@ -305,7 +315,8 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         .select("doc_a", "doc_b", "text_a", "text_b")
         .mapInArrow(_common, _COMMON)
     )
-    return held.join(counted, ["doc_a", "doc_b"]).where("100 * common >= 75 * (n_a + n_b - common)").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    good = held.join(counted, ["doc_a", "doc_b"]).where("100 * common >= 75 * (n_a + n_b - common)")
+    return good.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -320,41 +331,32 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     meta = cut(docs.mapInArrow(_meta, _META), "meta")
     nodes = cut(
-        meta.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.min("doc_id").alias("doc")),
+        meta.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"), F.any_value("sketch").alias("sketch"), F.min("doc_id").alias("doc")),
         "nodes",
     )
-    known = docs.where("doc_id IS NOT NULL")
-    first = cut(_met(known, "first"), "met")
-    pairs = first.where("NOT crowded").select("a", "b")
-    busy = first.where("crowded").select("a").distinct()
-    crowded = _bitmap(spark, busy, _key_position("a"))
-    rows = None
-    if any(crowded):
-        often = cut(_met(known, "all", crowded), "often")
-        late = _bitmap(spark, often.select("a"), _key_position("a"))
-        second = cut(_met(known, "second", crowded, late), "met")
-        pairs = pairs.unionByName(second.where("NOT crowded").select("a", "b"))
-        rows = second.where("crowded").select(F.col("a").alias("key"), F.col("b").alias("node"))
-        star = rows.join(rows.groupBy("key").agg(F.min("node").alias("lead")), "key").where("lead <> node")
-        pairs = pairs.unionByName(star.select(F.col("lead").alias("a"), F.col("node").alias("b")))
-    pairs = cut(pairs.distinct(), "pairs")
+    frequent = _bitmap(spark, meta.select(F.explode("often").alias("h")), _key_position("h"))
+    tokens = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_tokens(frequent), _TOKENS)
+    met = cut(tokens.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, _MET), "met")
+    pairs = cut(met.where("NOT crowded").select("a", "b").distinct(), "pairs")
+    rows = met.where("crowded").select(F.col("a").alias("key"), F.col("b").alias("node"))
+    star = rows.join(rows.groupBy("key").agg(F.min("node").alias("a")), "key").where("a <> node").select("a", F.col("node").alias("b"))
     # One edge a set first: of a group of copies this leaves one component.
-    trial = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    trial = cut(pairs.unionByName(star).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "trial")
     links = cut(_verify(docs, nodes, trial), "links")
     comp = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "comp")
     part = lambda s: comp.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
-    apart = lambda df: df.join(part("a"), "a", "left").join(part("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    rest = apart(pairs.join(trial, ["a", "b"], "left_anti"))
-    if rows is not None:
-        # Buckets whose sets are still in several components: sets outside the
-        # bucket's largest component against all others in it.
-        placed = rows.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        sizes = placed.groupBy("key", "c").count()
-        main = sizes.groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        few = placed.join(main, "key").where("c <> main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
-        cross = few.join(placed, "key").where("c <> cx").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-        rest = rest.unionByName(cross)
-    rest = cut(rest.distinct().join(trial, ["a", "b"], "left_anti"), "rest")
+    rest = pairs.join(part("a"), "a", "left").join(part("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    # Crowded buckets whose sets are still in several components: sets outside the
+    # bucket's largest component against all others in it.
+    placed = rows.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    sizes = placed.groupBy("key", "c").count()
+    main = sizes.groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    told = placed.join(main, "key").join(nodes.select("node", "n", "sketch"), "node")
+    told = cut(told.select("key", "node", "n", "sketch", "c", (F.col("c") != F.col("main")).alias("few")), "open")
+    x = told.where("few").select("key", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    y = told.select("key", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    cross = x.join(y, (x["key"] == y["key"]) & (F.col("cx") != F.col("cy")) & _plausible()).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    rest = cut(rest.unionByName(cross).distinct().join(trial, ["a", "b"], "left_anti"), "rest")
     more = cut(_verify(docs, nodes, rest), "links")
     return meta.select("doc_id", "n", "node"), nodes, links.unionByName(more).distinct()
 
