@@ -19,10 +19,10 @@ Shingles that several sets of one stretch of the input hold are frequent; a bitm
 of fixed size says which (a false positive only moves a cell back, in all sets
 alike).  So passages that many texts share are hardly ever indexed, and a bucket
 of over ``BUCKET`` sets is, in practice, a group of true copies.  It emits no
-pairs: each set is first checked against the bucket's least set, and only sets that
-stayed in different components of such a bucket are compared further, after the
-Hamming bound.  No link between different components is lost, and no bucket is
-capped.
+pairs: in ``ROUNDS`` rounds its sets are checked against a few leaders each, those
+they share most buckets with; only sets that stayed in different components of such
+a bucket are then compared in full, after the Hamming bound.  No link between
+different components is lost, and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -44,6 +44,8 @@ from .text import mix, shingle_sets
 BUCKET = 16
 #: Bits of the frequent-shingle and wanted-document bitmaps (1 MiB each, whatever the input).
 BITMAP_BITS = 1 << 23
+#: Rounds of leaders in crowded buckets, leaders of a bucket, partners tried per set.
+ROUNDS, LEADERS, PARTNERS = 3, 4, 2
 #: A shingle is frequent when this many different sets hold it in one stretch of
 #: the input of about STRETCH shingles.
 FREQUENT, STRETCH = 3, 1 << 21
@@ -319,6 +321,28 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return good.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
+def _placed(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """key, node, c, main, parts: each set's component, its bucket's largest, how many meet there."""
+    if comp is None:
+        return rows.select("key", "node", F.col("node").alias("c"), F.lit(None).cast("long").alias("main"), F.lit(2).cast("long").alias("parts"))
+    placed = rows.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    sizes = placed.groupBy("key", "c").count()
+    return placed.join(sizes.groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("parts")), "key")
+
+
+def _partners(placed: DataFrame, turn: int) -> DataFrame:
+    """(a, b): for each set outside its bucket's largest component the leaders, sets
+    of that component, with which it shares most crowded buckets."""
+    open_ = placed.where("parts > 1")
+    heads = open_.where("main IS NULL OR c = main")
+    pick = [F.min_by("node", F.xxhash64("node", F.lit(turn), F.lit(i))).alias(f"l{i}") for i in range(LEADERS)]
+    leaders = heads.groupBy("key").agg(*pick).select("key", F.array_distinct(F.array(*(f"l{i}" for i in range(LEADERS)))).alias("leads"))
+    met = open_.where("main IS NULL OR c <> main").join(leaders, "key").select("node", F.explode("leads").alias("lead")).where("node <> lead")
+    shared = met.groupBy("node", "lead").count()
+    top = shared.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "lead"))).where(F.col("r") <= PARTNERS)
+    return top.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+
+
 def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, nodes, links) of a similarity join of ``docs(doc_id, text)``.
 
@@ -339,24 +363,28 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     met = cut(tokens.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, _MET), "met")
     pairs = cut(met.where("NOT crowded").select("a", "b").distinct(), "pairs")
     rows = met.where("crowded").select(F.col("a").alias("key"), F.col("b").alias("node"))
-    star = rows.join(rows.groupBy("key").agg(F.min("node").alias("a")), "key").where("a <> node").select("a", F.col("node").alias("b"))
     # One edge a set first: of a group of copies this leaves one component.
-    trial = cut(pairs.unionByName(star).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "trial")
-    links = cut(_verify(docs, nodes, trial), "links")
-    comp = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "comp")
+    trial = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links, comp, tried = None, None, None
+    for turn in range(ROUNDS):
+        placed = _placed(rows, comp)
+        ask = _partners(placed, turn).join(tried, ["a", "b"], "left_anti") if turn else trial.unionByName(_partners(placed, turn)).distinct()
+        ask = cut(ask, "ask")
+        if turn and ask.isEmpty():
+            break
+        tried = ask if tried is None else tried.unionByName(ask)
+        good = cut(_verify(docs, nodes, ask), "links")
+        links = good if links is None else links.unionByName(good)
+        comp = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "comp")
     part = lambda s: comp.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
     rest = pairs.join(part("a"), "a", "left").join(part("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    # Crowded buckets whose sets are still in several components: sets outside the
-    # bucket's largest component against all others in it.
-    placed = rows.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    sizes = placed.groupBy("key", "c").count()
-    main = sizes.groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    told = placed.join(main, "key").join(nodes.select("node", "n", "sketch"), "node")
+    # Sets outside a crowded bucket's largest component against all others in it.
+    told = _placed(rows, comp).where("parts > 1").join(nodes.select("node", "n", "sketch"), "node")
     told = cut(told.select("key", "node", "n", "sketch", "c", (F.col("c") != F.col("main")).alias("few")), "open")
     x = told.where("few").select("key", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
     y = told.select("key", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
     cross = x.join(y, (x["key"] == y["key"]) & (F.col("cx") != F.col("cy")) & _plausible()).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    rest = cut(rest.unionByName(cross).distinct().join(trial, ["a", "b"], "left_anti"), "rest")
+    rest = cut(rest.unionByName(cross).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     more = cut(_verify(docs, nodes, rest), "links")
     return meta.select("doc_id", "n", "node"), nodes, links.unionByName(more).distinct()
 
