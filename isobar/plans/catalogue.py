@@ -341,7 +341,7 @@ def q_lazy_truth(spark, d):
 
 # --- regridding -----------------------------------------------------------
 
-_OVER = """tl AS (SELECT CAST(i AS INTEGER) AS lat_idx, 90.0 - 60.0 * i AS latitude FROM range(4) r(i)),
+_OVER = """tl AS (SELECT CAST(i AS INTEGER) AS lat_idx, CAST(90.0 - 60.0 * i AS DOUBLE) AS latitude FROM range(4) r(i)),
 sb AS (SELECT lat_idx, coalesce((latitude + lag(latitude) OVER o) / 2, -90) AS lo, coalesce((latitude + lead(latitude) OVER o) / 2, 90) AS hi FROM lat WINDOW o AS (ORDER BY latitude)),
 tb AS (SELECT lat_idx, coalesce((latitude + lag(latitude) OVER o) / 2, -90) AS lo, coalesce((latitude + lead(latitude) OVER o) / 2, 90) AS hi FROM tl WINDOW o AS (ORDER BY latitude)),
 ov AS (SELECT t.lat_idx AS tgt, s.lat_idx AS src, sin(radians(least(s.hi, t.hi))) - sin(radians(greatest(s.lo, t.lo))) AS a FROM tb t JOIN sb s ON least(s.hi, t.hi) > greatest(s.lo, t.lo)),

@@ -10,7 +10,7 @@ state AS (SELECT CAST(t_idx AS BIGINT) AS t_idx, CAST(label AS INTEGER) AS chann
 SPLIT = """cut AS (SELECT (n * 6) // 10 AS a, (n * 8) // 10 AS b, n FROM nt),
 train AS (SELECT s.* FROM state s, cut WHERE t_idx < a)"""
 
-LAT = """lat AS (SELECT CAST(i AS INTEGER) AS lat_idx, 90.0 - 30.0 * i AS latitude FROM range(7) r(i)),
+LAT = """lat AS (SELECT CAST(i AS INTEGER) AS lat_idx, CAST(90.0 - 30.0 * i AS DOUBLE) AS latitude FROM range(7) r(i)),
 edge AS (SELECT *, coalesce((latitude + lag(latitude) OVER o) / 2, latitude + (latitude - lead(latitude) OVER o) / 2) AS up,
   coalesce((latitude + lead(latitude) OVER o) / 2, latitude - (lag(latitude) OVER o - latitude) / 2) AS dn FROM lat WINDOW o AS (ORDER BY lat_idx)),
 area AS (SELECT lat_idx, latitude, abs(sin(radians(greatest(-90, least(90, up)))) - sin(radians(greatest(-90, least(90, dn))))) AS w FROM edge),
@@ -47,9 +47,9 @@ SUMS = """s1 AS (SELECT model, sample_idx, lead, channel_idx, sum(aw) AS sw, sum
   FROM pair JOIN dlat USING (lat_idx) JOIN zclim USING (channel_idx, lat_idx, lon_idx) GROUP BY 1, 2, 3, 4),
 s1a AS (SELECT *, CASE WHEN sqrt(saa * sbb) > 1e-12 THEN sab / sqrt(saa * sbb) END AS acc FROM s1),
 s2 AS (SELECT model, lead, channel_idx, sum(sw) AS sw, sum(se2) AS se2, sum(sae) AS sae, sum(se) AS se, sum(svp) AS svp, sum(svy) AS svy, coalesce(sum(acc), 0) AS sacc, count(acc) AS n_acc, count(*) AS n_samples FROM s1a GROUP BY 1, 2, 3),
-chan AS (SELECT model, lead, lead * 6.0 AS lead_hours, channel_idx, sqrt(se2 / sw) * sd AS physical_rmse, sacc / nullif(n_acc, 0) AS normalized_acc, n_acc AS acc_valid_initializations, se / sw * sd AS physical_bias,
+chan AS (SELECT model, lead, CAST(lead * 6.0 AS DOUBLE) AS lead_hours, channel_idx, sqrt(se2 / sw) * sd AS physical_rmse, sacc / nullif(n_acc, 0) AS normalized_acc, n_acc AS acc_valid_initializations, se / sw * sd AS physical_bias,
   CASE WHEN svy > 0 THEN svp / svy END AS spatial_variance_ratio FROM s2 JOIN st USING (channel_idx)),
-leads AS (SELECT model, lead, lead * 6.0 AS lead_hours, sqrt(sum(se2) / sum(sw)) AS rmse, sum(sae) / sum(sw) AS mae, avg(sacc / nullif(n_acc, 0)) AS acc, count(sacc / nullif(n_acc, 0)) AS valid_channels, count(*) AS channels, max(n_samples) AS samples FROM s2 GROUP BY 1, 2)"""
+leads AS (SELECT model, lead, CAST(lead * 6.0 AS DOUBLE) AS lead_hours, sqrt(sum(se2) / sum(sw)) AS rmse, sum(sae) / sum(sw) AS mae, avg(sacc / nullif(n_acc, 0)) AS acc, count(sacc / nullif(n_acc, 0)) AS valid_channels, count(*) AS channels, max(n_samples) AS samples FROM s2 GROUP BY 1, 2)"""
 
 CHANNELS = """ch AS (SELECT CAST(i AS INTEGER) AS channel_idx, (['10m_u_component_of_wind', '10m_v_component_of_wind', '2m_temperature', 'surface_pressure', 'total_column_water_vapour',
   'temperature@500hPa', 'temperature@850hPa', 'temperature@1000hPa', 'geopotential@500hPa', 'geopotential@1000hPa'])[i + 1] AS channel FROM range(10) r(i)),
