@@ -48,7 +48,7 @@ BITMAP_BITS = 1 << 23
 ROUNDS, LEADERS, PARTNERS = 3, 4, 2
 #: A shingle is frequent when this many different sets hold it in one stretch of
 #: the input of about STRETCH shingles.
-FREQUENT, STRETCH = 3, 1 << 21
+FREQUENT, STRETCH = 3, 1 << 20
 SKETCH_BITS = 1024
 _TEXTS = 128
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 
 SHINGLE = 5
-_CHUNK_BYTES = 2 << 20
+_CHUNK_BYTES = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
