@@ -63,9 +63,14 @@ def template(word_array: Column) -> Column:
     return F.transform(word_array, one)
 
 
+def _starts() -> Column:
+    """Where windows of ``h`` start; none where it is too short (filters may run later)."""
+    return F.when(F.size("h") >= WINDOW, F.sequence(F.lit(0), F.size("h") - WINDOW)).otherwise(F.array().cast("array<int>"))
+
+
 def _windows(rows: DataFrame, key: str) -> DataFrame:
     """(key, pos, w): every window of rows(key, h)."""
-    many = F.transform(F.sequence(F.lit(0), F.size("h") - WINDOW), lambda i: F.xxhash64(*(F.get("h", i + j) for j in range(WINDOW))))
+    many = F.transform(_starts(), lambda i: F.xxhash64(*(F.get("h", i + j) for j in range(WINDOW))))
     return rows.where(F.size("h") >= WINDOW).select(key, F.posexplode(many).alias("pos", "w"))
 
 
@@ -79,7 +84,7 @@ def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
         "items",
     )
     literal = lambda i: F.size(F.filter(F.slice("h", i + 1, WINDOW), lambda x: ~x.between(_NUMBER, _UNIT)))
-    good = F.filter(F.sequence(F.lit(0), F.size("h") - WINDOW), lambda i: literal(i) >= LITERALS)
+    good = F.filter(_starts(), lambda i: literal(i) >= LITERALS)
     usable = items.where(F.size("h") >= WINDOW).select("item_id", "h", good.alias("good"))
     windows = usable.select("item_id", F.explode("good").alias("at"), "h").select(
         "item_id", "at", F.size("h").alias("length"), F.xxhash64(*(F.get("h", F.col("at") + j) for j in range(WINDOW))).alias("w")
