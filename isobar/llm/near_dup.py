@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import cut
+from .storage import cut, small_batches
 from .text import mix, shingle_sets
 
 #: Sets in a bucket up to which all pairs are taken.
@@ -49,6 +49,8 @@ ROUNDS, LEADERS, PARTNERS = 3, 4, 2
 #: A shingle is frequent when this many different sets hold it in one stretch of
 #: the input of about STRETCH shingles.
 FREQUENT, STRETCH = 3, 1 << 20
+#: Shingles of the sets a task remembers while it counts what pairs share.
+HELD = 1 << 20
 SKETCH_BITS = 1024
 _TEXTS = 128
 
@@ -123,30 +125,36 @@ def _meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document; at the end of a stretch its frequent shingles ride on one row."""
     held: dict[int, np.ndarray] = {}
     size = 0
+    last: list[pa.Array] = []  # rows not sent yet: the partition's last ones end its last stretch
+
+    def sent() -> pa.RecordBatch:
+        nonlocal held, size
+        often: list = [None] * len(last[0])
+        if size >= STRETCH or done:
+            often[0] = _frequent(list(held.values()))
+            held, size = {}, 0
+        return pa.RecordBatch.from_arrays([*last, pa.array(often, pa.list_(pa.int64()))], ["doc_id", "n", "node", "sketch", "often"])
+
+    done = False
     for batch in batches:
-        done = 0
         for ids, texts in _slices(batch, ["doc_id", "text"]):
+            if last:
+                yield sent()
             sets = list(shingle_sets(texts))
             nodes = [_node(h) for h in sets]
-            done += len(ids)
             for node, h in zip(nodes, sets, strict=True):
                 if node not in held:
                     held[node] = h
                     size += len(h)
-            often = [None] * len(ids)
-            if size >= STRETCH or done == batch.num_rows:
-                often[0] = _frequent(list(held.values()))
-                held, size = {}, 0
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array([len(h) for h in sets], pa.int64()),
-                    pa.array(nodes, pa.int64()),
-                    pa.array([_sketch(h) for h in sets], pa.list_(pa.int64())),
-                    pa.array(often, pa.list_(pa.int64())),
-                ],
-                ["doc_id", "n", "node", "sketch", "often"],
-            )
+            last = [
+                pa.array(ids, pa.int64()),
+                pa.array([len(h) for h in sets], pa.int64()),
+                pa.array(nodes, pa.int64()),
+                pa.array([_sketch(h) for h in sets], pa.list_(pa.int64())),
+            ]
+    done = True
+    if last:
+        yield sent()
 
 
 def _emit(keys: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
@@ -273,13 +281,16 @@ def _wanted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
+    size = 0
     for batch in batches:
         for a, b, ta, tb in _slices(batch, ["doc_a", "doc_b", "text_a", "text_b"]):
             fresh = {k: t for k, t in zip(a + b, ta + tb, strict=True) if k not in held}
-            if len(held) > 512:
-                held = {}
+            if size > HELD:
+                held, size = {}, 0
                 fresh = dict(zip(a + b, ta + tb, strict=True))
-            held.update(zip(fresh, shingle_sets(list(fresh.values())), strict=True))
+            for k, h in zip(fresh, shingle_sets(list(fresh.values())), strict=True):
+                held[k] = h
+                size += len(h)
             n = [len(np.intersect1d(held[x], held[y], assume_unique=True)) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["doc_a", "doc_b", "common"])
 
@@ -352,6 +363,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     of them that their components are those of all links.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     meta = cut(docs.mapInArrow(_meta, _META), "meta")
     nodes = cut(

@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Used only where the session names no shared folder.
 FALLBACK_DIR = "/tmp/checkpoints"
 
+#: Arrow batches to Python workers, at most about this large; Spark's own 64 MB are
+#: held several times over by a task (both sides of the socket, input and output).
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
 _RUN = uuid.uuid4().hex
 
 
@@ -28,6 +32,12 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session, unless it sets a bound itself."""
+    if BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back (lineage is cut)."""
     spark = df.sparkSession

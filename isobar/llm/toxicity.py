@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small_batches
+
 #: Labelled documents the model is fitted on, at most (those first by a hash of
 #: the id), evidence features at most, and how far one must stand out.
 TRAIN_ROWS, WORDS, Z_SCORE, MIN_DOCS = 8_000, 512, 4.0, 3
@@ -144,16 +146,17 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
 def _score(model: dict):
     weight = {word: float(model["w"][f]) for word, f in model["words"].items()}
     theta = model["theta"]
-    known: dict[str, list[str]] = {}  # evidence features of the words met so far
+    known: dict[str, tuple[str, ...]] = {}  # evidence features of the words met so far
 
     def evidence(text: str | None) -> float:
         hits: dict[str, int] = {}
-        for word in _WORD.findall((text or "").lower()):
+        for met in _WORD.finditer((text or "").lower()):
+            word = met[0]
             found = known.get(word)
             if found is None:
-                if len(known) > 200_000:
+                if len(known) > 50_000:
                     known.clear()
-                found = known[word] = [f for f in _features(word) if f in weight]
+                found = known[word] = tuple(f for f in _features(word) if f in weight)
             for f in found:
                 hits[f] = hits.get(f, 0) + 1
         return sum(weight[f] * np.log2(1.0 + n) for f, n in sorted(hits.items()))
@@ -177,6 +180,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     severity: expected grade; grade: the median grade; toxic: p_toxic >=
     THRESHOLD.  Null and empty texts score as texts without evidence.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_score(model), _OUT).withColumn("toxic", F.col("p_toxic") >= THRESHOLD)
 
@@ -186,6 +190,7 @@ def keep_clean(docs: DataFrame, model: dict) -> DataFrame:
 
     The score rides along in the same pass, so nothing is shuffled.
     """
+    small_batches(docs.sparkSession)
     names, schema = docs.columns, docs.schema
     run = _score(model)
 
