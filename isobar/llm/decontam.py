@@ -130,4 +130,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that repeat a benchmark item; same columns."""
     bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    return docs.join(bad, docs["doc_id"].cast("long") == bad["_bad"], "left_anti")

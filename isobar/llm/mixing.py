@@ -8,9 +8,10 @@ source) and a last, partial one that stops at the quota; every epoch is dealt
 over the blocks of the mix in its own order, so each block holds the sources in
 their weights.
 
-Running token sums use two levels (a source's hash range is cut into
-``RANGES``; range sums, then rows within a range), so a source of a third of all
-rows is summed in many tasks.
+Running token sums use levels (a source's hash range is cut into ``RANGES``, the
+range in which its quota ends into ``RANGES`` again; only the rows of that last cell
+are counted one by one), so a source of a third of all rows is summed in many
+tasks and no task holds more of it than a millionth where the quota ends.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 #: Parameters of the production query.
 MAX_REPETITION, BLOCKS, SEED = 2.0, 64, 17
 RANGES = 1024
@@ -88,28 +91,44 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
 
 
-def _range_of(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - (RANGES.bit_length() - 1)).cast("int")
+def _range_of(h: Column, level: int = 0) -> Column:
+    """Which of the RANGES of level 0, or of a cell of the level before, holds the hash."""
+    bits = RANGES.bit_length() - 1
+    return F.shiftrightunsigned(F.shiftleft(h, bits * level), 64 - bits).cast("int")
 
 
 def _tagged(docs: DataFrame, seed: int) -> DataFrame:
-    return docs.withColumns(
+    tagged = docs.withColumns(
         {
             "_source": F.coalesce(F.col("source").cast("string"), F.lit("")),
-            "_tokens": token_count(F.col("text").cast("string")),
             "_h": F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text").cast("string")),
         }
-    ).withColumn("_range", _range_of(F.col("_h")))
+    )
+    return tagged.withColumns({"_range": _range_of(F.col("_h")), "_cell": _range_of(F.col("_h"), 1)})
+
+
+def _tokens() -> Column:
+    return token_count(F.col("text").cast("string"))
+
+
+def _passing(sums: DataFrame, room: DataFrame, step: str) -> DataFrame:
+    """_source, _at, _left: the first ``step`` of sums(_source, step, t) at which a source's
+    running sum passes its ``_room``, and what of the room is left before it."""
+    so_far = Window.partitionBy("_source").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
+    run = sums.join(F.broadcast(room.select("_source", "_room")), "_source").withColumn("_run", F.sum("t").over(so_far)).where("_run > _room")
+    return run.groupBy("_source").agg(F.min(step).alias("_at"), F.min_by(F.col("_room") - F.col("_run") + F.col("t"), step).alias("_left"))
 
 
 def _plan(tagged: DataFrame, **target) -> tuple[Mix, DataFrame]:
-    """The mix and, per source, whole epochs, the partial epoch's border range and
-    how many of its tokens still fit there.  One aggregation over the table."""
+    """The mix and, per source, whole epochs and where the partial one ends: range,
+    cell of it, and how many of its tokens still fit in that cell.
+
+    The driver gets a row per source; running sums (RANGES rows a source) stay on the
+    executors.  Tables that are broadcast here hold a row per source.
+    """
     spark = tagged.sparkSession
-    sums = tagged.groupBy("_source", "_range").agg(F.sum("_tokens").alias("t"))
-    # Two rows a source at most leave this plan: a source's ranges are summed in order.
-    per = sums.groupBy("_source").agg(F.sum("t").alias("t"), F.array_sort(F.collect_list(F.struct(F.col("_range").alias("r"), "t"))).alias("parts"))
-    held = per.limit(MAX_SOURCES + 1).collect()
+    sums = cut(tagged.groupBy("_source", "_range").agg(F.sum(_tokens()).alias("t")), "sums")
+    held = sums.groupBy("_source").agg(F.sum("t").alias("t")).limit(MAX_SOURCES + 1).collect()
     if len(held) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     mix = plan_mix({r["_source"]: r["t"] for r in held}, **target)
@@ -117,17 +136,17 @@ def _plan(tagged: DataFrame, **target) -> tuple[Mix, DataFrame]:
     for r in held:
         times = mix.repetition[r["_source"]]
         whole = int(times + 1e-9)
-        room = int(round((times - whole) * r["t"])) if times - whole > 1e-9 else 0
-        border = 0
-        for part in r["parts"]:
-            if part["t"] > room:
-                border = part["r"]
-                break
-            room -= part["t"]
-            border = part["r"] + 1
-        rows.append((r["_source"], whole, border if times - whole > 1e-9 else 0, room))
-    plan = spark.createDataFrame(rows, "_source string, _whole int, _border int, _room long")
-    return mix, plan
+        part = times - whole > 1e-9
+        rows.append((r["_source"], whole, part, int(round((times - whole) * r["t"])) if part else 0))
+    quota = spark.createDataFrame(rows, "_source string, _whole int, _part boolean, _room long")
+    ends = quota.where("_part").join(_passing(sums, quota.where("_part"), "_range"), "_source", "left")
+    ends = cut(ends.select("_source", F.coalesce("_at", F.lit(RANGES)).alias("_border"), F.coalesce("_left", F.lit(0)).alias("_room")), "ends")
+    open_ = ends.where("_room > 0")
+    edge = tagged.join(F.broadcast(open_.select("_source", F.col("_border").alias("_range"))), ["_source", "_range"])
+    cells = _passing(edge.groupBy("_source", "_cell").agg(F.sum(_tokens()).alias("t")), open_, "_cell")
+    plan = quota.select("_source", "_whole").join(ends.select("_source", "_border"), "_source", "left").join(cells, "_source", "left")
+    zero = F.lit(0)
+    return mix, cut(plan.select("_source", "_whole", F.coalesce("_border", zero).alias("_border"), F.coalesce("_at", zero).alias("_last"), F.coalesce("_left", zero).alias("_room")), "plan")
 
 
 def _dealt(docs: DataFrame, seed: int, **target) -> tuple[Mix, DataFrame]:
@@ -135,25 +154,23 @@ def _dealt(docs: DataFrame, seed: int, **target) -> tuple[Mix, DataFrame]:
     tagged = _tagged(docs, seed)
     mix, plan = _plan(tagged, **target)
     placed = tagged.join(F.broadcast(plan), "_source")  # a row a source: at most MAX_SOURCES
-    inside = F.col("_range") < F.col("_border")
+    inside = (F.col("_range") < F.col("_border")) | ((F.col("_range") == F.col("_border")) & (F.col("_cell") < F.col("_last")))
     sure = placed.withColumn("_times", F.col("_whole") + inside.cast("int"))
-    # The border range of a source is a RANGES-th of it: only here rows are counted one by one.
     running = Window.partitionBy("_source").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    border = placed.where("_range = _border AND _room > 0").withColumn("_run", F.sum("_tokens").over(running)).where("_run <= _room").withColumn("_times", F.lit(-1)).drop("_run")
+    last = placed.where("_range = _border AND _cell = _last AND _room > 0").withColumn("_run", F.sum(_tokens()).over(running))
+    last = last.where("_run <= _room").withColumn("_times", F.lit(-1)).drop("_run")
     whole = sure.where("_times > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
-    part = border.withColumn("_epoch", F.col("_whole"))
-    return mix, whole.unionByName(part)
-
-
-_HELPERS = ("_source", "_tokens", "_h", "_range", "_whole", "_border", "_room", "_times")
+    return mix, whole.unionByName(last.withColumn("_epoch", F.col("_whole")))
 
 
 def mix_documents(docs: DataFrame, seed: int = SEED, **target) -> DataFrame:
     """``docs`` with every row as often as the mix draws it; same columns.
 
     Without a budget no document is lost: the scarcest weight sets the budget.
+    Rows travel as one struct, so no column can clash with a helper's name.
     """
-    return _dealt(docs, seed, **target)[1].select(*docs.columns)
+    packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
+    return _dealt(packed, seed, **target)[1].select("_row.*")
 
 
 def mixture(docs: DataFrame, blocks: int = BLOCKS, seed: int = SEED, **target) -> DataFrame:
@@ -173,7 +190,7 @@ def mixture(docs: DataFrame, blocks: int = BLOCKS, seed: int = SEED, **target) -
     drawn = rows.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "_source",
-        F.col("_tokens").alias("tokens"),
+        _tokens().alias("tokens"),
         F.col("_epoch").alias("epoch"),
         F.xxhash64(F.lit(seed), "_epoch", "_h").alias("place"),
     ).withColumn("_range", _range_of(F.col("place")))

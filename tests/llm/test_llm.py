@@ -104,6 +104,34 @@ def test_op2_plan_and_budget(spark):
     assert mixing.mixture(docs(spark, [])).count() == 0
 
 
+def test_op2_partial_epochs_in_token_order(spark):
+    texts = [" ".join(["w"] * (1 + i % 7)) for i in range(3000)] + [None, ""]
+    d = docs(spark, texts).withColumn("source", F.when(F.col("doc_id") % 50 == 0, "rare").otherwise("big"))
+    tokens = {s: sum(len(words_of(t)) for i, t in enumerate(texts) if (i % 50 == 0) == (s == "rare")) for s in ("rare", "big")}
+    plan = mixing.plan_mix(tokens, target_entropy=0.4, budget=7777)
+    order = d.select("doc_id", "source", "text", F.xxhash64(F.lit(mixing.SEED), "doc_id", "text").alias("h")).collect()
+    want = []
+    for s in tokens:
+        rows = sorted((r for r in order if r.source == s), key=lambda r: r.h % 2**64)
+        whole, room = int(plan.repetition[s]), round(plan.repetition[s] % 1 * tokens[s])
+        for r in rows:
+            room -= len(words_of(r.text))
+            want += [r.doc_id] * (whole + (room >= 0))
+    got = [r.doc_id for r in mixing.mix_documents(d, target_entropy=0.4, budget=7777).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_stages_keep_columns_of_clashing_names(spark):
+    d = docs(spark, [f"some words of text number {i} and {i * i} more" for i in range(20)])
+    names = ["_source", "_h", "_range", "_times", "_bad", "_kept", "component_id", "t", "n"]
+    d = d.select("*", *(F.concat(F.lit(name), F.col("doc_id").cast("string")).alias(name) for name in names))
+    bench = spark.createDataFrame([(1, "a question that is in none of these texts at all")], "item_id long, text string")
+    for out in (mixing.mix_documents(d), decontam.keep_uncontaminated(d, bench), near_dup.keep_one(d)):
+        assert out.columns == d.columns
+        rows = out.collect()
+        assert {r.doc_id for r in rows} == set(range(20)) and all(r[name] == f"{name}{r.doc_id}" for r in rows for name in names)
+
+
 def test_op3_held_out(spark):
     d, l = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     test = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0
