@@ -18,10 +18,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import new_path
+from .storage import cut, new_path
 
 #: Parameters of the production query.
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 3, 2
+#: A key in more than one document-line pair of this many is hot; hence at most so
+#: many keys are hot, and a table of them may be broadcast whatever the input.
+HOT = 10_000
 
 _SPACES = " \t\n\u000b\f\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -112,18 +115,30 @@ class LineIndex:
         return self._read(paths).groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("top").alias("top"), F.max("fresh").alias("fresh"))
 
     def frequent(self, min_docs: int) -> DataFrame:
-        """(h1, h2, top) of keys found in at least min_docs documents."""
-        return self._merged(self.runs()).where(F.col("docs") >= min_docs).select("h1", "h2", "top")
+        """(h1, h2, docs, top) of keys found in at least min_docs documents."""
+        return self._merged(self.runs()).where(F.col("docs") >= min_docs).select("h1", "h2", "docs", "top")
+
+    def total(self) -> int:
+        """Sum of docs over all keys."""
+        return self._read(self.runs()).agg(F.sum("docs")).first()[0] or 0
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """(doc_id, drop) of the documents that lose lines; drop: sorted positions from 0."""
+    """(doc_id, drop) of the documents that lose lines; drop: sorted positions from 0.
+
+    Lines of hot keys meet a broadcast table and are then dealt by document, so no
+    task gets all lines of one key.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     index = LineIndex(docs.sparkSession, min_chars, fanout)
     for k in range(batches):  # every document is in one batch
         index.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
-    frequent = index.frequent(min_docs)
-    lost = _long_keys(docs, min_chars).join(frequent, ["h1", "h2"]).where("doc_id <> top")
+    frequent = cut(index.frequent(min_docs), "frequent")
+    is_hot = F.col("docs") * HOT > index.total()
+    hot = frequent.where(is_hot).select("h1", "h2", F.col("top").alias("hot_top"))  # fewer than HOT rows
+    met = _long_keys(docs, min_chars).join(F.broadcast(hot), ["h1", "h2"], "left").where("hot_top IS NULL OR doc_id <> hot_top")
+    dealt = met.withColumn("h1", F.when(F.col("hot_top").isNotNull(), F.xxhash64("doc_id", "pos")).otherwise(F.col("h1")))
+    lost = dealt.join(frequent.where(~is_hot).select("h1", "h2", "top"), ["h1", "h2"], "left").where("hot_top IS NOT NULL OR doc_id <> top")
     return lost.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
 
 
