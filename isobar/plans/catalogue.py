@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from isobar import schema
 from isobar.functions import grid, scalars
 from isobar.operators import forecast as fc
-from isobar.operators import losses, metrics, normalize, select, stats, validate, windows
+from isobar.operators import contracts, losses, metrics, normalize, select, stats, training, validate, windows
 from isobar.plans import sql as S
 from isobar.sources import publish, state
 from isobar.streaming import ingest
@@ -523,6 +523,59 @@ def q_loss_combined(spark, d):
     return rounded(losses.combined(c.pairs(), c.lat, ["lead"], (state.LATS, state.LONS), 0.1))
 
 
+# --- training ---------------------------------------------------------------
+
+
+@query(
+    f"WITH {S.STATE}, g AS (SELECT t_idx, channel_idx, 1 / greatest(sqrt(sum(value * value)), 1e-5) AS inv FROM state GROUP BY 1, 2), f AS (SELECT t_idx, channel_idx, count(*) OVER o * inv / greatest(sum(inv) OVER o, 1e-5) AS factor FROM g WINDOW o AS (PARTITION BY t_idx)) SELECT t_idx AS sample_idx, channel_idx, lat_idx, lon_idx, round(value * factor, 6) AS value FROM state JOIN f USING (t_idx, channel_idx)"
+)
+def q_balanced_gradients(spark, d):
+    gradients = state.driver_state(spark, d).select(F.col("t_idx").alias("sample_idx"), *CELL[1:], "value")
+    return rounded(training.balanced_gradients(gradients).select("sample_idx", *CELL[1:], "value"))
+
+
+@query(f"WITH {S.STATE} SELECT round(sqrt(sum(value * value)), 6) AS norm FROM state")
+def q_global_norm(spark, d):
+    return rounded(training.global_norm(state.driver_state(spark, d)))
+
+
+@query(
+    f"WITH {S.STATE}, u AS (SELECT t_idx, sqrt(sum(value * value)) AS norm FROM state GROUP BY 1) SELECT t_idx // 10 AS epoch, count(*) AS measured, round(avg(norm), 6) AS mean_norm, round(max(norm), 6) AS max_norm, round(count(*) FILTER (WHERE norm > 2.95) / count(*), 6) AS clip_fraction, CAST(0 AS BIGINT) AS non_finite FROM u GROUP BY 1"
+)
+def q_clip_statistics(spark, d):
+    norms = state.driver_state(spark, d).groupBy("t_idx").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    return rounded(training.clip_statistics(norms.withColumn("epoch", F.floor(F.col("t_idx") / 10)), 2.95))
+
+
+_FIT = """xy AS (SELECT b.channel_idx, b.lat_idx, b.value - a.value AS x, c.value - b.value AS y FROM z b, z a, z c, cut WHERE a.t_idx = b.t_idx - 1 AND c.t_idx = b.t_idx + 1 AND c.t_idx < cut.a
+  AND a.channel_idx = b.channel_idx AND a.lat_idx = b.lat_idx AND a.lon_idx = b.lon_idx AND c.channel_idx = b.channel_idx AND c.lat_idx = b.lat_idx AND c.lon_idx = b.lon_idx),
+fit AS (SELECT channel_idx, sum(aw * x * y) / sum(aw * x * x) AS slope, count(*) AS n FROM xy JOIN dlat USING (lat_idx) GROUP BY 1)"""
+
+
+@query(f"WITH {S.BASE}, {S.NORM}, {_FIT} SELECT channel_idx, round(slope, 6) AS slope, n FROM fit")
+def q_fit_tendency(spark, d):
+    c = Ctx(spark, d)
+    return rounded(training.fit_tendency(c.z.where(F.col("t_idx") < c.cut[0]), c.lat))
+
+
+@query(
+    f"WITH {S.BASE}, {S.NORM}, {S.FORECAST}, {_FIT} SELECT sample_idx, CAST(k AS INTEGER) AS lead, channel_idx, lat_idx, lon_idx, round(now + (now - before) * (slope + CASE WHEN k > 1 THEN slope ** 2 ELSE 0 END + CASE WHEN k > 2 THEN slope ** 3 ELSE 0 END), 6) AS prediction FROM init JOIN fit USING (channel_idx), range(1, 4) l(k)"
+)
+def q_rollout_fitted(spark, d):
+    c = Ctx(spark, d)
+    model = training.fit_tendency(c.z.where(F.col("t_idx") < c.cut[0]), c.lat)
+    return rounded(fc.rollout_steps(c.initial, training.tendency_step(model), S.LEADS).select("sample_idx", "lead", *CELL[1:], "prediction"))
+
+
+@query(
+    f"WITH {S.CHANNELS}, b AS (SELECT channel_idx, replace(channel, 'surface', 'mean_sea_level') AS channel, p FROM chp WHERE channel_idx < 9) SELECT channel_idx, CASE WHEN b.channel IS NULL THEN 'row' ELSE 'channel' END AS field FROM chp FULL JOIN b USING (channel_idx) WHERE b.channel IS NULL OR b.channel <> chp.channel"
+)
+def q_split_compatibility(spark, d):
+    a = schema.driver_channels(spark)
+    b = a.where("channel_idx < 9").withColumn("channel", F.replace("channel", F.lit("surface"), F.lit("mean_sea_level")))
+    return contracts.incompatible(a, b, ["channel_idx"], ["channel", "pressure_hpa"])
+
+
 # --- validation -------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from isobar import schema
 from isobar.functions import grid, scalars
-from isobar.operators import forecast, losses, metrics, normalize, select, stats, validate
+from isobar.operators import contracts, forecast, losses, metrics, normalize, select, stats, training, validate
 from isobar.sources import publish, state
 
 
@@ -196,3 +196,86 @@ def test_digests_and_versions(spark):
     assert scalars.split_version("2.10.1rc1") == (2, 10, 1)
     assert scalars.differences({"a": 1, "b": 2}, {"a": 1, "c": 3}) == ["b", "c"]
     assert scalars.canonical_json({"b": 1, "a": [1]}) == '{"a":[1],"b":1}'
+
+
+def test_balanced_gradients_and_clipping(spark):
+    x = cells(spark, [[[[3.0, 4.0]], [[0.0, 0.0]], [[6.0, 8.0]]]]).withColumnRenamed("t_idx", "sample_idx")
+    got = {(r.channel_idx, r.lon_idx): r.value for r in training.balanced_gradients(x, 1e-5).collect()}
+    inverse = np.array([1 / 5, 1 / 1e-5, 1 / 10])
+    factor = 3 * inverse / inverse.sum()
+    assert got[0, 0] == pytest.approx(3 * factor[0]) and got[2, 1] == pytest.approx(8 * factor[2]) and got[1, 0] == 0
+    assert training.global_norm(x).first().norm == pytest.approx(math.sqrt(125)) and training.global_norm(x.where("false")).first().norm == 0
+    u = spark.createDataFrame([(1, 0.5), (1, 1.5), (1, float("inf")), (2, float("nan"))], "epoch int, norm double")
+    a, b = training.clip_statistics(u, 1.0).orderBy("epoch").collect()
+    assert tuple(a)[1:] == (2, 1.0, 1.5, 0.5, 1) and tuple(b)[1:] == (0, 0.0, 0.0, 0.0, 1)
+
+
+def test_fitted_tendency_recovers_the_slope_and_skips_gaps(spark):
+    v = [0.0, 1.0, 1.5, 1.75, 1.875]
+    x = cells(spark, [[[[t * s for s in (1, -2)]] * 3, [[7.0, 7.0]] * 3] for t in v])
+    fit = {r.channel_idx: r for r in training.fit_tendency(x, lat_table(spark, 3)).collect()}
+    assert fit[0].slope == pytest.approx(0.5) and fit[0].n == 18 and fit[1].slope == 0
+    assert training.tendencies(x.where("t_idx <> 2")).count() == 0
+    init = forecast.initial_state(spark.createDataFrame([(0, 4)], "sample_idx long, base_t long"), x)
+    out = forecast.rollout_steps(init, training.tendency_step(training.fit_tendency(x, lat_table(spark, 3))), 2).where("channel_idx = 0 AND lat_idx = 0 AND lon_idx = 0")
+    assert [r.prediction for r in out.orderBy("lead").collect()] == pytest.approx([1.9375, 1.96875])
+
+
+def test_precision(spark):
+    r = training.precision_rmse(spark.createDataFrame([(1.0, 1.0), (2.0, 5.0), (None, 1.0)], "a double, b double"), "a", "b").first()
+    assert (r.rmse, r.max_error, r.n) == (pytest.approx(math.sqrt(4.5)), 3.0, 2)
+
+
+def test_checkpoints(spark, tmp_path):
+    model = spark.createDataFrame([(0, 0.5)], "channel_idx int, slope double")
+    manifest = {"epoch": 3, "update": 12, "training_config": {"step": 1, "range": (1, 2)}, "data_signature": {"digest": "a"}}
+    training.save_checkpoint(model, str(tmp_path), "last", manifest)
+    expected = {"training_config": manifest["training_config"], "data_signature": {"digest": "a"}}
+    again, told = training.load_checkpoint(spark, str(tmp_path), "last", expected)
+    assert again.collect() == model.collect() and told["epoch"] == 3
+    with pytest.raises(ValueError, match="training_config.step, data_signature.digest"):
+        training.load_checkpoint(spark, str(tmp_path), "last", {"training_config": {"step": 2, "range": [1, 2]}, "data_signature": {"digest": "b"}})
+    with pytest.raises(FileExistsError):
+        training.save_checkpoint(model, str(tmp_path), "last", manifest)
+    with pytest.raises(FloatingPointError):
+        training.save_checkpoint(model.withColumn("slope", F.lit(float("nan"))), str(tmp_path), "bad", manifest)
+    with pytest.raises(ValueError, match="missing epoch"):
+        training.save_checkpoint(model, str(tmp_path), "bad", {})
+    with pytest.raises(FileNotFoundError):
+        training.load_checkpoint(spark, str(tmp_path), "none", {})
+
+
+@pytest.mark.parametrize("bad", [{"start_date": "2021-01-01"}, {"stride_hours": 5}, {"stride_hours": 0}, {"batch_days": 0}, {"batch_days": 1, "stride_hours": 18}, {"resolution": 0.25}])
+def test_ingest_config(bad):
+    assert contracts.IngestConfig().batch_days == 7
+    with pytest.raises(ValueError, match="invalid"):
+        contracts.IngestConfig(**bad)
+
+
+@pytest.mark.parametrize("bad", [{"history": -1}, {"rollout": 0}, {"step": 0}, {"max_samples": 0}, {"selection": "last"}, {"start": "2020", "end": "2019"}, {"noise_std": 0.0}])
+def test_window_config(bad):
+    assert contracts.WindowConfig(selection="evenly_spaced").step == 1
+    with pytest.raises(ValueError, match="invalid"):
+        contracts.WindowConfig(**bad)
+
+
+def test_saved_step_and_splits(spark):
+    assert contracts.saved_step(2, None) == contracts.saved_step(2, 2) == 2
+    for saved, asked in ((0, None), (None, 1), (2, 3)):
+        with pytest.raises(ValueError):
+            contracts.saved_step(saved, asked)
+    days = spark.sql("SELECT explode(sequence(timestamp_ntz'2018-12-30', timestamp_ntz'2020-01-02 18:00:00', interval 6 hours)) AS ts")
+    assert contracts.select_split(days, "valid", True).count() == 1460
+    assert contracts.select_split(days, "valid", False).count() == days.count()
+    with pytest.raises(ValueError, match="2020-01-01..2020-12-31"):
+        contracts.select_split(days, "test", True)
+
+
+def test_grid_contract_and_differences(spark):
+    channels = spark.createDataFrame([(1, "b", "m"), (0, "a", "K")], "channel_idx int, channel string, units string")
+    c = contracts.grid_contract(channels, state.dim_lat(spark, 3), state.dim_lon(spark, 4), 6.0, 2)
+    assert c["channels"] == ["a", "b"] and c["channel_units"] == ["K", "m"] and c["latitude"] == [90, 0, -90] and c["forecast_step_hours"] == 12
+    other = spark.createDataFrame([(1, "b", None), (2, "c", "m")], channels.schema)
+    got = sorted(map(tuple, contracts.incompatible(channels, other, ["channel_idx"], ["channel", "units"]).collect()))
+    assert got == [(0, "row"), (1, "units"), (2, "row")]
+    assert contracts.incompatible(channels, channels, ["channel_idx"], ["channel", "units"]).count() == 0
