@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isobar import schema
-from isobar.functions import grid, scalars
+from isobar.functions import grid, harmonics, scalars
 from isobar.operators import forecast as fc
 from isobar.operators import contracts, losses, metrics, normalize, select, stats, training, validate, windows
 from isobar.plans import sql as S
@@ -523,6 +523,17 @@ def q_loss_combined(spark, d):
     return rounded(losses.combined(c.pairs(), c.lat, ["lead"], (state.LATS, state.LONS), 0.1))
 
 
+@query(
+    f"WITH {S.STATE}, n AS (SELECT i AS lat_idx, pi() * i / 6 AS theta, CASE WHEN i IN (0, 6) THEN 1 ELSE 2 END / 6.0 * (1 - 2.0 / 3 * cos(pi() * i / 3) - 2.0 / 15 * cos(2 * pi() * i / 3) - 1.0 / 35 * cos(pi() * i)) AS w FROM range(7) r(i)), "
+    "b AS (SELECT lat_idx, 0 AS l, 0 AS m, w * sqrt(1 / (4 * pi())) AS p FROM n UNION ALL SELECT lat_idx, 1, 0, w * sqrt(3 / (4 * pi())) * cos(theta) FROM n UNION ALL SELECT lat_idx, 1, 1, -w * sqrt(3 / (8 * pi())) * sin(theta) FROM n) "
+    "SELECT t_idx, channel_idx, CAST(l AS INTEGER) AS l, CAST(m AS INTEGER) AS m, round(sum(value * p * cos(m * lon_idx * pi() / 4)) * pi() / 4, 6) + 0.0 AS re, round(sum(value * p * -sin(m * lon_idx * pi() / 4)) * pi() / 4, 6) + 0.0 AS im FROM state JOIN b USING (lat_idx) GROUP BY ALL"
+)
+def q_spherical_coefficients(spark, d):
+    fields = state.to_fields(state.driver_state(spark, d))
+    out = rounded(harmonics.analyse(fields, (state.LATS, state.LONS), 2))
+    return out.withColumns({c: F.col(c) + 0.0 for c in ("re", "im")})  # no negative zeros
+
+
 # --- training ---------------------------------------------------------------
 
 

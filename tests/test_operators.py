@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isobar import schema
-from isobar.functions import grid, scalars
+from isobar.functions import grid, harmonics, scalars
 from isobar.operators import contracts, forecast, losses, metrics, normalize, select, stats, training, validate
 from isobar.sources import publish, state
 
@@ -279,3 +279,22 @@ def test_grid_contract_and_differences(spark):
     got = sorted(map(tuple, contracts.incompatible(channels, other, ["channel_idx"], ["channel", "units"]).collect()))
     assert got == [(0, "row"), (1, "units"), (2, "row")]
     assert contracts.incompatible(channels, channels, ["channel_idx"], ["channel", "units"]).count() == 0
+
+
+def test_spherical_harmonics(spark):
+    h, w = 9, 16
+    theta, phi = np.meshgrid(np.pi * np.arange(h) / (h - 1), 2 * np.pi * np.arange(w) / w, indexing="ij")
+    assert harmonics.quadrature(h).sum() == pytest.approx(2) and harmonics.quadrature(8).sum() == pytest.approx(2)
+    y21 = -math.sqrt(15 / (8 * math.pi)) * np.sin(theta) * np.cos(theta)
+    y32 = math.sqrt(105 / (32 * math.pi)) * np.sin(theta) ** 2 * np.cos(theta)
+    rows = [(0, 0, np.full((h, w), 1e6 + 0.1)), (1, 0, y21 * np.cos(phi)), (2, 0, y32 * np.sin(2 * phi) + 5)]
+    fields = spark.createDataFrame([(t, c, f.ravel().tolist()) for t, c, f in rows], "t_idx long, channel_idx int, field array<double>")
+    out = harmonics.analyse(fields, (h, w)).collect()
+    got = {(r.t_idx, r.l, r.m): complex(r.re, r.im) for r in out}
+    assert len(out) == 3 * h * (h + 1) // 2
+    assert got.pop((0, 0, 0)) == pytest.approx((1e6 + 0.1) * math.sqrt(4 * math.pi)) and all(v == 0 for k, v in got.items() if k[0] == 0)
+    assert got.pop((1, 2, 1)) == pytest.approx(0.5) and got.pop((2, 3, 2)) == pytest.approx(-0.5j) and got.pop((2, 0, 0)) == pytest.approx(5 * math.sqrt(4 * math.pi))
+    low = {k: v for k, v in got.items() if k[1] < 5}  # degrees that the quadrature holds exactly
+    assert max(map(abs, low.values())) < 1e-12
+    with pytest.raises(ValueError):
+        harmonics.analyse(fields, (h, w), h + 1)
