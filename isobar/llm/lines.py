@@ -155,16 +155,20 @@ def dedup_lines(docs: DataFrame, **parameters: int) -> DataFrame:
     lines and is not counted.  Other columns pass through; clashing names
     (n_lines, n_dropped) are replaced.
     """
-    drop = dropped_lines(docs, **parameters).withColumnRenamed("doc_id", "_doc_id")
-    out = docs.join(drop.withColumnRenamed("drop", "_drop"), F.col("doc_id").cast("long") == F.col("_doc_id"), "left")
+    drop = dropped_lines(docs, **parameters).select(F.col("doc_id").alias("_doc_id"), F.col("drop").alias("_drop"))
+    made = ("doc_id", "text", "n_lines", "n_dropped")
+    others = [c for c in docs.columns if c not in made]  # they travel as one struct: no name can clash
+    packed = docs.select("doc_id", "text", *([F.struct(*(docs[c] for c in others)).alias("_row")] if others else []))
+    out = packed.join(drop, F.col("doc_id").cast("long") == F.col("_doc_id"), "left")
     out = out.withColumn("_lines", lines_of(F.col("text").cast("string")))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_drop")
-    return out.withColumns(
-        {
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
-            "text": F.when(F.col("_drop").isNull(), F.coalesce(F.col("text").cast("string"), F.lit(""))).otherwise(
-                F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
-            ),
-        }
-    ).drop("_doc_id", "_drop", "_lines")
+    new = {
+        "doc_id": F.col("doc_id"),
+        "text": F.when(F.col("_drop").isNull(), F.coalesce(F.col("text").cast("string"), F.lit(""))).otherwise(
+            F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
+        ),
+        "n_lines": F.size("_lines").cast("long"),
+        "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
+    }
+    names = list(dict.fromkeys([*docs.columns, *made]))
+    return out.select(*(new[c].alias(c) if c in made else F.col("_row").getField(c).alias(c) for c in names))

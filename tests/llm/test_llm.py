@@ -123,15 +123,48 @@ def test_op2_partial_epochs_in_token_order(spark):
 
 def test_stages_keep_columns_of_clashing_names(spark):
     d = docs(spark, [f"some words of text number {i} and {i * i} more" for i in range(20)])
-    names = ["_source", "_h", "_range", "_times", "_bad", "_kept", "component_id", "t", "n"]
+    names = ["_source", "_h", "_range", "_times", "_bad", "_kept", "component_id", "t", "n", "_doc_id", "_drop", "_lines", "_row", "h1"]
     d = d.select("*", *(F.concat(F.lit(name), F.col("doc_id").cast("string")).alias(name) for name in names))
     bench = spark.createDataFrame([(1, "a question that is in none of these texts at all")], "item_id long, text string")
-    for out in (mixing.mix_documents(d), decontam.keep_uncontaminated(d, bench), near_dup.keep_one(d)):
+    deduped = lines.dedup_lines(d)
+    assert deduped.columns == [*d.columns, "n_dropped"]  # n_lines is one of the table's
+    model = toxicity.train(d, spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int"))
+    for out in (mixing.mix_documents(d), decontam.keep_uncontaminated(d, bench), near_dup.keep_one(d), toxicity.keep_clean(d, model), deduped.drop("n_dropped")):
         assert out.columns == d.columns
         rows = out.collect()
         assert {r.doc_id for r in rows} == set(range(20)) and all(r[name] == f"{name}{r.doc_id}" for r in rows for name in names)
 
 
+def test_operators_take_nulls_repeats_and_empty_tables(spark):
+    texts = ["one two three four five six", "one two three four five six", None, "", "a\nb", "hello world this is a line\n" * 3]
+    rows = [(i, t, ("en", None)[i % 2], ("a", "b", None)[i % 3]) for i, t in enumerate(texts)] + [(None, "text of a null id", "en", "a"), (None, None, None, None), (0, texts[0], "en", "a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(0, 0, 1), (0, 0, 1), (1, 1, 0), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(None, "x"), (2, None)], "item_id long, text string")
+    for t, n in ((d, 9), (d.where("false"), 0)):
+        per_row = (
+            near_dup.near_duplicates(t),
+            toxicity.score(t, toxicity.train(t, labels)),
+            toxicity.keep_clean(t, toxicity.train(t, labels.where("false"))),
+            sharding.shard_documents(t),
+            lines.dedup_lines(t),
+            decontam.keep_uncontaminated(t, bench),
+            langid.identify(t, langid.train(t)),
+            pii.digest(pii.personal_data(t)),
+        )
+        assert [out.count() for out in per_row] == [n] * len(per_row)
+        assert near_dup.keep_one(t).count() == (7 if n else 0)  # 0 once, not 1; null ids stay
+        drawn = mixing.mixture(t).select("doc_id").distinct().count()
+        assert drawn == (7 if n else 0) and mixing.mix_documents(t).count() >= n
+        assert decontam.contaminated(t, bench).count() == 0
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", None), (None, 0, "user", "x"), (2, None, None, None), (1, 0, "user", "hi")], "conv_id long, turn long, role string, text string")
+    assert {r.conv_id: r.n_turns for r in chat.digest(chat.format_conversations(turns)).collect()} == {1: 3, None: 1, 2: 1}
+    assert [r.conv_id for r in chat.digest(chat.format_conversations(chat.with_probe(spark, turns.where("false")))).collect()] == [-7]
+    vectors = spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (20, [None, 1.0]), (40, []), (None, [1.0, 1.0]), (1, [0.5, 0.5]), (60, [1.0, 2.0, 3.0]), (3, None)], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in ann.nearest(vectors, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1, 1.5)]
+    assert ann.nearest(vectors.where("false"), F.col("vec_id") % 20 == 0).count() == 0
+
+
 def test_op3_held_out(spark):
     d, l = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     test = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0
