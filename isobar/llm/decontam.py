@@ -9,7 +9,9 @@ of the document.
 
 A window needs at least ``LITERALS`` words that are no placeholder, and a
 document is reported for an item from ``MATCHED`` matching windows in one
-alignment (all of them where an item has fewer).
+alignment (all of them where an item has fewer).  With ``partial``, as the query
+and the pipeline call it, windows that hold the item's own values are judged on
+their own, so a verbatim part is found whatever stands elsewhere.
 """
 
 from __future__ import annotations
@@ -92,12 +94,15 @@ def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     return items, cut(windows, "windows")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, partial: bool = False) -> DataFrame:
     """``doc_id, item_id, matched, windows, kind``: a row per document and item it repeats.
 
     matched: windows of the item found in the document, of ``windows`` usable
     ones; kind: ``exact`` where all placeholders hold the item's own values, else
-    ``reparameterised``.  Null and empty texts and null ids match nothing; items
+    ``reparameterised``.  Values must map consistently from the first to the last
+    window.  With ``partial`` only over the windows that hold other values; where
+    those do not, they do not count, and the windows that hold the item's own
+    values are reported as ``exact`` if they suffice by themselves.  Null and empty texts and null ids match nothing; items
     of fewer than WINDOW words have no window and cannot match.  Repeated items
     or documents of one id count once.  Other columns are ignored.
     """
@@ -106,7 +111,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     mine = _windows(texts.select("doc_id", words(F.col("text")).alias("v")).select("doc_id", template(F.col("v")).alias("h")), "doc_id")
     small = windows.count() <= BROADCAST_WINDOWS
     met = mine.join(F.broadcast(windows) if small else windows, "w")
-    aligned = met.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "at").groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("at").alias("matched"), F.min("at").alias("first"), F.max("at").alias("last"))
+    aligned = met.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "at").groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("at").alias("matched"), F.array_sort(F.collect_set("at")).alias("ats"))
     total = windows.groupBy("item_id").agg(F.count_distinct("at", "w").alias("windows"))
     found = cut(aligned.join(total, "item_id").where(F.col("matched") >= F.least(F.lit(MATCHED), F.col("windows"))), "found")
     slotted = items.where(F.exists("h", lambda x: x.between(_NUMBER, _UNIT))).select("item_id", F.col("words").alias("iw"), F.col("h").alias("ih"))
@@ -115,19 +120,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not asked.isEmpty():
         wanted = texts.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
         both = asked.join(wanted.select("doc_id", words(F.col("text")).alias("dw")), "doc_id")
-        slots = F.filter(F.sequence(F.col("first"), F.col("last") + WINDOW - 1), lambda p: F.get("ih", p).between(_NUMBER, _UNIT))
-        pairs = F.transform(slots, lambda p: F.struct(F.lower(F.get("iw", p)).alias("i"), F.lower(F.get("dw", p + F.col("shift"))).alias("d")))
-        checked = both.withColumn("pairs", F.array_distinct(pairs))
+        pair = lambda p: F.struct(F.lower(F.get("iw", p)).alias("i"), F.lower(F.get("dw", p + F.col("shift"))).alias("d"))
+        slots = lambda a, b: F.filter(F.sequence(a, b), lambda p: F.get("ih", p).between(_NUMBER, _UNIT))
+        own = lambda p: pair(p)["i"].eqNullSafe(pair(p)["d"])
+        checked = both.withColumn("own", F.filter("ats", lambda a: F.forall(slots(a, a + WINDOW - 1), own)))
+        if partial:
+            covered = F.array_distinct(F.flatten(F.transform(F.array_except("ats", "own"), lambda a: slots(a, a + WINDOW - 1))))
+        else:
+            covered = slots(F.element_at("ats", 1), F.element_at("ats", -1) + WINDOW - 1)
+        checked = checked.withColumn("pairs", F.array_distinct(F.transform(covered, pair)))
         consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"])))
         same = F.forall("pairs", lambda x: x["i"].eqNullSafe(x["d"]))
-        plain = plain.unionByName(
-            checked.where(consistent).withColumn("kind", F.when(same, "exact").otherwise("reparameterised")).select(*found.columns, "kind")
-        )
+        judged = checked.withColumn("kind", F.when(same, "exact").otherwise("reparameterised")).withColumn("consistent", consistent)
+        kept = judged.where("consistent")
+        if partial:
+            verbatim = judged.where(~F.col("consistent") & (F.size("own") >= F.least(F.lit(MATCHED), F.col("windows"))))
+            kept = kept.unionByName(verbatim.withColumn("matched", F.size("own").cast("long")).withColumn("kind", F.lit("exact")))
+        plain = plain.unionByName(kept.select(*found.columns, "kind"))
     best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("matched"), "kind", "shift")
     return plain.withColumn("r", F.row_number().over(best)).where("r = 1").select("doc_id", "item_id", F.col("matched").cast("long").alias("matched"), F.col("windows").cast("long").alias("windows"), "kind")
 
 
-def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, partial: bool = False) -> DataFrame:
     """``docs`` without the documents that repeat a benchmark item; same columns."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
+    bad = contaminated(docs, benchmark, partial).select(F.col("doc_id").alias("_bad")).distinct()
     return docs.join(bad, docs["doc_id"].cast("long") == bad["_bad"], "left_anti")

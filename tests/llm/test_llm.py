@@ -273,6 +273,24 @@ def test_op7_copies_and_new_parameters(spark):
     assert decontam.contaminated(docs(spark, []), bench).count() == 0
 
 
+def test_op7_verbatim_part_beside_changed_values(spark, tmp_path):
+    import corpus_pipeline
+    from isobar.llm import queries
+
+    ask = "if the farmer Bella sells 12 baskets for 3.50 euros each and then Bella buys 4 more crates how much money remains"
+    part = ask.replace("farmer Bella", "farmer Ivan").replace("12", "99")  # 16 verbatim words at the end
+    mixed = part.replace("sells 99 baskets for 3.50", "sells 99 baskets for 99").replace("12", "99")
+    twice = "now the farmer Bella sees Bella near the old mill and then they both walk home in silence"
+    bad = twice.replace("farmer Bella sees Bella", "farmer Ivan sees Otto")
+    spark.createDataFrame([(1, ask), (2, twice)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs(spark, [part, f"x {mixed} y", bad, "now the farmer Ivan sees Otto near the old barn", ask]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.item_id): (r.kind, r.matched) for r in queries.op7_decontamination(spark, str(tmp_path)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {(0, 1): "reparameterised", (1, 1): "exact", (2, 2): "exact", (4, 1): "exact"}
+    assert all(n >= decontam.MATCHED for _, n in got.values())
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.doc_id for r in corpus_pipeline.drop_contaminated(spark, d, str(tmp_path)).collect()] == [3]
+
+
 def test_op8_recall_and_ties(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(600, 24))
