@@ -12,6 +12,10 @@ document is reported for an item from ``MATCHED`` matching windows in one
 alignment (all of them where an item has fewer).  With ``partial``, as the query
 and the pipeline call it, windows that hold the item's own values are judged on
 their own, so a verbatim part is found whatever stands elsewhere.
+
+Items without such a window (short ones, or ones dense in placeholders) are found
+by their whole sequence of words, with its values, and only as a verbatim copy.
+An item's first word is compared without case, as it may read as a name elsewhere.
 """
 
 from __future__ import annotations
@@ -65,31 +69,72 @@ def template(word_array: Column) -> Column:
     return F.transform(word_array, one)
 
 
-def _starts() -> Column:
+def values(word_array: Column) -> Column:
+    """A 64-bit hash per word, numbers, names and units included."""
+    return F.transform(word_array, lambda w: F.xxhash64(F.ltrim(F.lower(w), F.lit("_"))))
+
+
+def _starts(size: int = WINDOW) -> Column:
     """Where windows of ``h`` start; none where it is too short (filters may run later)."""
-    return F.when(F.size("h") >= WINDOW, F.sequence(F.lit(0), F.size("h") - WINDOW)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size("h") >= size, F.sequence(F.lit(0), F.size("h") - size)).otherwise(F.array().cast("array<int>"))
 
 
 def _windows(rows: DataFrame, key: str) -> DataFrame:
-    """(key, pos, w): every window of rows(key, h)."""
-    many = F.transform(_starts(), lambda i: F.xxhash64(*(F.get("h", i + j) for j in range(WINDOW))))
-    return rows.where(F.size("h") >= WINDOW).select(key, F.posexplode(many).alias("pos", "w"))
+    """(key, pos, w): every window of rows(key, v, h).
+
+    One that starts with a name comes once more with the name as a word, as an
+    item's capitalised first word reads as a name inside a sentence.
+    """
+    one = lambda i, first: F.struct(i.alias("pos"), F.xxhash64(first, *(F.get("h", i + j) for j in range(1, WINDOW))).alias("w"))
+    many = F.transform(_starts(), lambda i: one(i, F.get("h", i)))
+    named = F.filter(_starts(), lambda i: F.get("h", i) == _NAME)
+    again = F.transform(named, lambda i: one(i, F.xxhash64(F.ltrim(F.lower(F.get("v", i)), F.lit("_")))))
+    return rows.where(F.size("h") >= WINDOW).select(key, F.explode(F.concat(many, again)).alias("x")).select(key, "x.pos", "x.w")
+
+
+def _whole(docs: DataFrame, items: DataFrame, windows: DataFrame) -> DataFrame:
+    """``contaminated`` for the items without windows; docs: doc_id, v.
+
+    An item is one window of its own length, or of more than WINDOW words several
+    of WINDOW words that hold all of it and must meet in one alignment.
+    """
+    rest = items.where(F.size("words") > 0).join(windows.select("item_id", F.col("text_hash")).distinct(), ["item_id", "text_hash"], "left_anti")
+    size = F.least(F.size("h"), F.lit(WINDOW))
+    rest = rest.select("item_id", "text_hash", values(F.col("words")).alias("h")).withColumn("size", size)
+    steps = F.array_distinct(F.concat(F.sequence(F.lit(0), F.size("h") - F.col("size"), F.col("size")), F.array(F.size("h") - F.col("size"))))
+    parts = cut(rest.withColumn("steps", steps).select("item_id", "text_hash", "size", F.size("steps").alias("needed"), F.explode("steps").alias("at"), "h").withColumn("w", F.xxhash64(F.slice("h", F.col("at") + 1, F.col("size")))).drop("h"), "whole")
+    sizes = sorted(r[0] for r in parts.select("size").distinct().collect())  # at most WINDOW
+    hashed = docs.select("doc_id", values(F.col("v")).alias("h"))
+
+    def parts_of(n: int) -> Column:
+        return F.transform(_starts(n), lambda i: F.struct(F.lit(n).alias("size"), i.alias("pos"), F.xxhash64(F.slice("h", i + 1, n)).alias("w")))
+
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, shift int, matched long, windows long, kind string")
+    mine = hashed.select("doc_id", F.explode(F.concat(*map(parts_of, sizes))).alias("x")).select("doc_id", "x.*")
+    small = parts.count() <= BROADCAST_WINDOWS
+    met = mine.join(F.broadcast(parts) if small else parts, ["size", "w"])
+    shift = F.when(F.col("needed") == 1, 0).otherwise(F.col("pos") - F.col("at"))
+    aligned = met.groupBy("doc_id", "item_id", "text_hash", "needed", shift.alias("shift")).agg(F.count_distinct("at").alias("n"))
+    one = F.lit(1).cast("long")
+    return aligned.where("n = needed").select("doc_id", "item_id", "shift", one.alias("matched"), one.alias("windows"), F.lit("exact").alias("kind"))
 
 
 def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items, windows) of ``benchmark(item_id, text)``: item_id, words, h, total; w, item_id, at."""
+    """(items, windows) of ``benchmark(item_id, text)``: item_id, words, h, text_hash; w, item_id, at, text_hash."""
     items = cut(
         benchmark.where("item_id IS NOT NULL")
         .select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text").cast("string")).alias("words"))
         .distinct()
-        .withColumn("h", template(F.col("words"))),
+        .withColumn("h", template(F.col("words")))
+        .withColumn("text_hash", F.xxhash64("words")),
         "items",
     )
     literal = lambda i: F.size(F.filter(F.slice("h", i + 1, WINDOW), lambda x: ~x.between(_NUMBER, _UNIT)))
     good = F.filter(_starts(), lambda i: literal(i) >= LITERALS)
-    usable = items.where(F.size("h") >= WINDOW).select("item_id", "h", good.alias("good"))
-    windows = usable.select("item_id", F.explode("good").alias("at"), "h").select(
-        "item_id", "at", F.size("h").alias("length"), F.xxhash64(*(F.get("h", F.col("at") + j) for j in range(WINDOW))).alias("w")
+    usable = items.where(F.size("h") >= WINDOW).select("item_id", "text_hash", "h", good.alias("good"))
+    windows = usable.select("item_id", "text_hash", F.explode("good").alias("at"), "h").select(
+        "item_id", "text_hash", "at", F.size("h").alias("length"), F.xxhash64(*(F.get("h", F.col("at") + j) for j in range(WINDOW))).alias("w")
     )
     return items, cut(windows, "windows")
 
@@ -102,13 +147,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, partial: bool = False) -
     ``reparameterised``.  Values must map consistently from the first to the last
     window.  With ``partial`` only over the windows that hold other values; where
     those do not, they do not count, and the windows that hold the item's own
-    values are reported as ``exact`` if they suffice by themselves.  Null and empty texts and null ids match nothing; items
-    of fewer than WINDOW words have no window and cannot match.  Repeated items
+    values are reported as ``exact`` if they suffice by themselves.  Null and empty texts and null ids match nothing.  An
+    item without usable windows counts as one window, its whole text.  Repeated items
     or documents of one id count once.  Other columns are ignored.
     """
     items, windows = benchmark_windows(benchmark)
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    mine = _windows(texts.select("doc_id", words(F.col("text")).alias("v")).select("doc_id", template(F.col("v")).alias("h")), "doc_id")
+    split = texts.select("doc_id", words(F.col("text")).alias("v"))
+    mine = _windows(split.select("doc_id", "v", template(F.col("v")).alias("h")), "doc_id")
     small = windows.count() <= BROADCAST_WINDOWS
     met = mine.join(F.broadcast(windows) if small else windows, "w")
     aligned = met.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "at").groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("at").alias("matched"), F.array_sort(F.collect_set("at")).alias("ats"))
@@ -137,6 +183,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, partial: bool = False) -
             verbatim = judged.where(~F.col("consistent") & (F.size("own") >= F.least(F.lit(MATCHED), F.col("windows"))))
             kept = kept.unionByName(verbatim.withColumn("matched", F.size("own").cast("long")).withColumn("kind", F.lit("exact")))
         plain = plain.unionByName(kept.select(*found.columns, "kind"))
+    plain = plain.select("doc_id", "item_id", "shift", "matched", "windows", "kind").unionByName(_whole(split, items, windows))
     best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("matched"), "kind", "shift")
     return plain.withColumn("r", F.row_number().over(best)).where("r = 1").select("doc_id", "item_id", F.col("matched").cast("long").alias("matched"), F.col("windows").cast("long").alias("windows"), "kind")
 

@@ -291,6 +291,36 @@ def test_op7_verbatim_part_beside_changed_values(spark, tmp_path):
     assert [r.doc_id for r in corpus_pipeline.drop_contaminated(spark, d, str(tmp_path)).collect()] == [3]
 
 
+def test_op7_short_dense_and_embedded_items(spark):
+    items = {
+        1: "What is the capital of France?",
+        2: "Add 12 and 13.5, then 7 and Anna, Bob and 3 km, 4 kg and 15",  # no window of 5 literals
+        3: "Which old river runs through the green valley",  # one window; its first word is capitalised
+        4: "Why",
+        5: "Which two rivers run through the same wide valley of that land",
+        6: "the price is 12 euros",
+    }
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {r.item_id for r in decontam.benchmark_windows(bench)[1].collect()} == {3, 5}
+    found = {
+        0: (f"He asked: {items[1]} Nobody knew.", {1}),
+        1: ("they ask what is the capital of france today", {1}),
+        2: ("they ask What is the capital of Spain", set()),
+        3: (f"now {items[2]} or more", {2}),
+        4: (f"now {items[2].replace('3 km', '5 km')}", set()),
+        5: (f"they ask {items[3]} here", {3}),
+        6: ("they ask Where old river runs through the green valley", set()),
+        7: (f"they ask, {items[5]}", {5}),
+        8: ("and why not", {4}),
+        9: ("the price is 13 euros", set()),
+        10: ("so the Price is 12 euros", {6}),
+        11: (items[1], {1}),
+    }
+    got = decontam.contaminated(docs(spark, [t for t, _ in found.values()]), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted((d, i) for d, (_, want) in found.items() for i in want)
+    assert {r.kind for r in got} == {"exact"} and all(r.matched == r.windows for r in got)
+
+
 def test_op8_recall_and_ties(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(600, 24))
