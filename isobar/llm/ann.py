@@ -9,6 +9,10 @@ probability that a neighbour at the expected product falls there) until the
 estimates sum to ``SUCCESS``; the tables' candidates are merged and ranked by
 their exact product in double precision.
 
+Projections and M are chosen per vector length.  A length of at most ``FEW``
+distinct vectors is compared in full, and so is a query for which the tables hold
+fewer candidates than asked for.
+
 Equal vectors are one candidate; a bucket is split into parts of about ``PART``
 vectors, so neither copies nor crowded buckets gather in one task.
 """
@@ -30,6 +34,8 @@ from .storage import cut
 #: probing ends.  A table has one projection more for every ten times as many vectors.
 NEIGHBOURS, TABLES, WIDTH, EXPECTED, SUCCESS = 20, 2, 1.4, 0.35, 0.82
 PART = 4096
+#: Distinct vectors of a length up to which all are compared.
+FEW = PART
 _REACH = 3.5  # cells beyond this many M hold next to nothing; outer cells are open
 
 
@@ -68,17 +74,27 @@ def _by_length(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(size == d))
 
 
-def _index(k: int, bound: float):
+def _whole(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
+    """Rows of a length that is not hashed: one bucket of a table of its own."""
+    n = batch.num_rows
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, TABLES, np.int32)), batch.column("dim"), pa.array(np.zeros(n, np.int64)), batch.column("rep"), batch.column("v")], names)
+
+
+def _index(plan: dict[int, tuple[int, float]]):
+    names = ["t", "dim", "bucket", "rep", "v"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _by_length(whole):
+                if (dim := batch.column("dim")[0].as_py()) not in plan:
+                    yield _whole(batch, names)
+                    continue
+                k, bound = plan[dim]
                 x = _matrix(batch.column("v"))
                 rest = np.sqrt(np.maximum(bound**2 - (x**2).sum(axis=1, keepdims=True), 0))
                 for t in range(TABLES):
                     bucket = _code(_cells(np.hstack([x, rest]), t, x.shape[1], k, bound))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(x), t, np.int32)), batch.column("dim"), pa.array(bucket), batch.column("rep"), batch.column("v")], ["t", "dim", "bucket", "rep", "v"]
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), batch.column("dim"), pa.array(bucket), batch.column("rep"), batch.column("v")], names)
 
     return run
 
@@ -87,13 +103,18 @@ def _normal_cdf(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.vectorize(math.erf, otypes=[float])(x / math.sqrt(2)))
 
 
-def _probe(k: int, bound: float):
+def _probe(plan: dict[int, tuple[int, float]]):
+    names = ["t", "dim", "bucket", "query", "v"]
     low, high = _cell_range()
     span = np.arange(low, high + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _by_length(whole):
+                if (dim := batch.column("dim")[0].as_py()) not in plan:
+                    yield _whole(batch, names)
+                    continue
+                k = plan[dim][0]
                 q = _matrix(batch.column("v"))
                 rep = batch.column("rep").to_numpy(zero_copy_only=False)
                 norm = np.sqrt((q**2).sum(axis=1))
@@ -122,7 +143,7 @@ def _probe(k: int, bound: float):
                         who = np.repeat(np.arange(at, at + len(p)), n)
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.full(len(who), t, np.int32)), batch.column("dim").take(pa.array(who)), pa.array(bucket), pa.array(rep[who]), batch.column("v").take(pa.array(who))],
-                            ["t", "dim", "bucket", "query", "v"],
+                            names,
                         )
 
     return run
@@ -159,7 +180,7 @@ def nearest(vectors: DataFrame, is_query, neighbours: int = NEIGHBOURS) -> DataF
 
     ``is_query``: condition on vec_id.  Every usable row is indexed.  Candidates of a
     query are all other usable rows of its length; ranks count from 1, largest
-    product first, ties to the smaller vec_id; fewer rows where fewer were found.
+    product first, ties to the smaller vec_id; fewer rows only where there are fewer candidates.
     Vectors that are null, empty, zero or hold a null or non-finite component, and
     null ids, take no part.  Rows that repeat a vec_id and its vector count once.
     Other columns are ignored.
@@ -176,15 +197,35 @@ def nearest(vectors: DataFrame, is_query, neighbours: int = NEIGHBOURS) -> DataF
     same = Window.partitionBy("h1", "h2").orderBy("vec_id")
     firsts = cut(usable.withColumn("r", F.dense_rank().over(same)).where(F.col("r") <= neighbours + 1).dropDuplicates(["h1", "h2", "vec_id"]), "firsts")
     one = firsts.where("r = 1")
-    size = one.agg(F.count("*"), F.max(F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x)))).first()
-    n, bound = size[0], (size[1] or 1.0) * (1 + 1e-12)
-    k = min(12, 1 + int(math.log10(max(n, 100) / 100) + 1e-9))
+    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))
+    sizes = one.groupBy(F.size("e").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("norm")).where(F.col("n") > FEW).collect()
+    plan = {r["dim"]: (min(12, 1 + int(math.log10(max(r["n"], 100) / 100) + 1e-9)), r["norm"] * (1 + 1e-12)) for r in sizes}
     flat = one.select("vec_id", "e", "h1", "h2").mapInArrow(_pack, "rep long, dim int, v binary, h1 long, h2 long")
     reps = cut(flat, "reps")
-    index = reps.select("rep", "dim", "v").mapInArrow(_index(k, bound), "t int, dim int, bucket long, rep long, v binary")
+    index = reps.select("rep", "dim", "v").mapInArrow(_index(plan), "t int, dim int, bucket long, rep long, v binary")
     wanted = usable.where(is_query).select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct()
     asked = cut(wanted.join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("query_id", F.col("rep").alias("query")), "asked")
-    probes = reps.join(asked.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi").select("rep", "dim", "v").mapInArrow(_probe(k, bound), "t int, dim int, bucket long, query long, v binary")
+    probes = reps.join(asked.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi").select("rep", "dim", "v").mapInArrow(_probe(plan), "t int, dim int, bucket long, query long, v binary")
+    members = firsts.join(one.select("h1", "h2", F.col("vec_id").alias("rep")), ["h1", "h2"]).select("rep", "vec_id")
+    ranked = _ranked(_best(index, probes, neighbours), members, asked, neighbours)
+    if not plan:
+        return ranked
+    ranked = cut(ranked, "ranked")
+    full = ranked.groupBy("query_id").count().where(F.col("count") >= neighbours).select("query_id")
+    short = cut(asked.join(full, "query_id", "left_anti").join(reps.where(F.col("dim").isin(*plan)).select(F.col("rep").alias("query"), "dim", "v"), "query"), "short")
+    blocks = -(-short.count() // PART)
+    if not blocks:
+        return ranked
+    # All vectors of the lengths in question, once for every block of such queries.
+    bucket = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("bucket")
+    every = reps.join(F.broadcast(short.select("dim").distinct()), "dim", "left_semi").select(F.lit(TABLES).alias("t"), "dim", bucket, "rep", "v")
+    left = short.dropDuplicates(["query"]).select(F.lit(TABLES).alias("t"), "dim", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("long").alias("bucket"), "query", "v")
+    again = _ranked(_best(every, left, neighbours), members, short.select("query_id", "query"), neighbours)
+    return ranked.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(again)
+
+
+def _best(index: DataFrame, probes: DataFrame, neighbours: int) -> DataFrame:
+    """(query, rep, score): the best vectors of index(t, dim, bucket, rep, v) in the buckets of probes(t, dim, bucket, query, v)."""
     keys = ["t", "dim", "bucket"]
     parts = index.groupBy(*keys).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     dealt = index.join(parts, keys).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
@@ -193,8 +234,10 @@ def nearest(vectors: DataFrame, is_query, neighbours: int = NEIGHBOURS) -> DataF
         dealt.select(*keys, "part", "rep", "v").groupBy(*keys, "part").cogroup(sent.select(*keys, "part", "query", "v").groupBy(*keys, "part")).applyInArrow(_rank(neighbours + 1), "query long, rep long, score double")
     )
     order = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
-    best = found.withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= neighbours + 1).dropDuplicates(["query", "rep"]).select("query", "rep", "score")
-    members = firsts.join(one.select("h1", "h2", F.col("vec_id").alias("rep")), ["h1", "h2"]).select("rep", "vec_id")
+    return found.withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= neighbours + 1).dropDuplicates(["query", "rep"]).select("query", "rep", "score")
+
+
+def _ranked(best: DataFrame, members: DataFrame, asked: DataFrame, neighbours: int) -> DataFrame:
     spread = best.join(members, "rep").select("query", "vec_id", "score")
     close = spread.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= neighbours + 1).drop("r")
     mine = close.join(asked, "query").where("query_id <> vec_id")

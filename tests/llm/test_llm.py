@@ -340,6 +340,27 @@ def test_op8_recall_and_ties(spark):
     assert out[out.query_id == 100].vec_id.tolist()[:20] == list(range(101, 121))
 
 
+@pytest.mark.parametrize("few", [ann.FEW, 0])
+def test_op8_all_candidates_where_they_are_few(spark, monkeypatch, few):
+    monkeypatch.setattr(ann, "FEW", few)  # 0: hashed first, short results filled up
+    r = np.random.default_rng(3)
+    unit = lambda n, d: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(r.normal(size=(n, d)))
+    groups = {64: unit(20, 64), 24: unit(15, 24), 8: unit(300, 8)}  # the last is the ordinary length
+    rows, at = [], {}
+    for d, x in groups.items():
+        at[d] = len(rows)
+        rows += [(at[d] + i, v.tolist()) for i, v in enumerate(x)]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") < 40).toPandas()
+    for d, x in groups.items():
+        for q in range(at[d], min(at[d] + len(x), 40)):
+            s = x @ x[q - at[d]]
+            s[q - at[d]] = -np.inf
+            mine = out[out.query_id == q].sort_values("rank")
+            assert len(mine) == min(20, len(x) - 1)
+            if d != 8:
+                assert mine.vec_id.tolist() == (np.argsort(-s)[: len(x) - 1] + at[d]).tolist()
+
+
 def test_op9_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(d.where(~langid.held_out()))
