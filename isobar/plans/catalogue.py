@@ -534,6 +534,14 @@ def q_spherical_coefficients(spark, d):
     return out.withColumns({c: F.col(c) + 0.0 for c in ("re", "im")})  # no negative zeros
 
 
+@query()
+def q_spherical_coefficients_all(spark, d):
+    """All degrees the latitudes hold; the query above is their part that its SQL states (l <= 1)."""
+    fields = state.to_fields(state.driver_state(spark, d))
+    out = rounded(harmonics.analyse(fields, (state.LATS, state.LONS)))
+    return out.withColumns({c: F.col(c) + 0.0 for c in ("re", "im")})
+
+
 # --- training ---------------------------------------------------------------
 
 

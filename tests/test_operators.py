@@ -298,3 +298,32 @@ def test_spherical_harmonics(spark):
     assert max(map(abs, low.values())) < 1e-12
     with pytest.raises(ValueError):
         harmonics.analyse(fields, (h, w), h + 1)
+
+
+def test_spherical_query_returns_all_degrees(spark):
+    from isobar.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    h, w = state.LATS, state.LONS
+    x = np.cos(np.pi * np.arange(h) / (h - 1))
+    # weights that integrate every polynomial the nodes hold
+    rhs = [0.0 if j % 2 else 2 / (1 - j * j) for j in range(h)]
+    weights = np.linalg.solve(np.polynomial.chebyshev.chebvander(x, h - 1).T, rhs)
+    basis = {}
+    for l in range(h):  # noqa: E741
+        for m in range(min(l, w // 2) + 1):
+            p = np.polynomial.Legendre.basis(l).deriv(m)(x) * (1 - x * x) ** (m / 2) * (-1) ** m
+            norm = math.sqrt((2 * l + 1) / (4 * math.pi) * math.factorial(l - m) / math.factorial(l + m))
+            basis[l, m] = np.outer(weights * norm * p, np.exp(-2j * np.pi * m * np.arange(w) / w)) * 2 * np.pi / w
+    cells = state.driver_state(spark, d).toPandas()
+    fields = {}
+    for r in cells.itertuples():
+        fields.setdefault((r.t_idx, r.channel_idx), np.zeros((h, w)))[r.lat_idx, r.lon_idx] = r.value
+    got = {(r.t_idx, r.channel_idx, r.l, r.m): (r.re, r.im) for r in catalogue.QUERIES["q_spherical_coefficients_all"](spark, d).collect()}
+    assert len(basis) == 25 and len(got) == 25 * len(fields)
+    for (t, c), f in fields.items():
+        for (l, m), b in basis.items():  # noqa: E741
+            z = (f * b).sum()
+            assert got[t, c, l, m] == pytest.approx((z.real, z.imag), abs=2e-6)
+    first = {(r.t_idx, r.channel_idx, r.l, r.m): (r.re, r.im) for r in catalogue.QUERIES["q_spherical_coefficients"](spark, d).collect()}
+    assert first == {k: v for k, v in got.items() if k[2] < 2}
