@@ -6,7 +6,9 @@ near a span move its score.  The four base kinds follow a fixed definition and
 are always reported; IBANs are reported from a score of ``IBAN_SCORE``.
 
 Every pattern is linear in the text: digit runs are tried once (possessive,
-from their first digit), and an e-mail is grown from its ``@``.
+from their first digit), and an e-mail is grown from its ``@``.  An IBAN ends at
+the length its country fixes, so what follows it (a BIC, an amount) is left out;
+for other codes every shorter end at a space is tried.
 """
 
 from __future__ import annotations
@@ -34,6 +36,17 @@ _WORDS = {
     "iban": {"iban": 0.2, "bank": 0.2, "account": 0.1, "konto": 0.1, "compte": 0.1, "cuenta": 0.1, "serial": -0.4},
 }
 
+#: Characters of an IBAN by country (SWIFT registry).
+_IBAN_LENGTH = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
 _ANY = re.compile(r"[0-9@]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -72,6 +85,21 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    at = 0
+    while m := _IBAN.search(text, at):
+        start, last = m.span()
+        ends = [e for e in range(last, start + 14, -1) if e == last or text[e] == " "]
+        if length := _IBAN_LENGTH.get(text[start : start + 2]):
+            ends = [e for e in ends if e - start - text.count(" ", start, e) == length] + [last]
+        at = start + 1
+        for end in ends:
+            if len(text[start:end].replace(" ", "")) >= 15 and mod97(text[start:end]):
+                yield start, end
+                at = end
+                break
+
+
 def _spans(text: str) -> Iterator[tuple[str, int, int]]:
     """Confirmed spans, kind by kind and left to right."""
     if not _ANY.search(text):
@@ -91,9 +119,8 @@ def _spans(text: str) -> Iterator[tuple[str, int, int]]:
     for m in _PHONE.finditer(text):
         if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
             yield "phone", *m.span()
-    for m in _IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", *m.span()
+    for s, e in _ibans(text):
+        yield "iban", s, e
 
 
 def _score(text: str, kind: str, start: int, end: int) -> float:

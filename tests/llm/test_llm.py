@@ -387,6 +387,25 @@ def test_op10_brute_force(spark):
     assert pii.redact("to a@b.co now") == "to [email] now"
 
 
+def test_op10_iban_before_other_text(spark):
+    de, gb, other = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "ZZ59 1234 5678 9012 3456"
+    assert pii.mod97(other)
+    texts = {
+        f"IBAN {de} BIC COBADEFFXXX": [de],
+        "DE89370400440532013000 10 euros": ["DE89370400440532013000"],
+        f"{gb} A": [gb],
+        f"{de} {gb} 12": [de, gb],
+        f"AB12 {de} X": [de],
+        f"{other} EUR 10": [other],
+        f"{de[:-1]}1 BIC": [],
+        f"{de}1": [],
+    }
+    out = {r.doc_id: r.spans for r in pii.personal_data(docs(spark, list(texts))).collect()}
+    for i, (text, want) in enumerate(texts.items()):
+        assert [text[x.start : x.end] for x in out[i] if x.kind == "iban"] == want
+    assert pii.redact(f"to {de} BIC COBADEFFXXX") == "to [iban] BIC COBADEFFXXX"
+
+
 def test_pipeline_small(spark):
     import corpus_pipeline
 
