@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .storage import small_batches
 
 #: Labelled documents the model is fitted on, at most (those first by a hash of
-#: the id), evidence features at most, and how far one must stand out.
-TRAIN_ROWS, WORDS, Z_SCORE, MIN_DOCS = 8_000, 512, 4.0, 3
+#: the id), and how far an evidence feature must stand out; all that do are kept.
+TRAIN_ROWS, Z_SCORE, MIN_DOCS = 8_000, 4.0, 3
 #: How many times as often evidence occurs in toxic documents as in clean ones.
 RATIO = 10
 #: Lengths of the beginnings of words that are features.
@@ -130,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
     word = word.where(F.col("a") >= MIN_DOCS).withColumn("share", F.col("s") / n)
     z = (F.col("a") / t - (F.col("s") - F.col("a")) / (n - t)) / F.sqrt(F.col("share") * (1 - F.col("share")) * (1 / t + 1 / (n - t)) + 1e-12)
     kept = word.withColumn("z", z).where(F.col("z") >= Z_SCORE).where(F.col("a") / t >= RATIO * (F.col("s") - F.col("a")) / (n - t))
-    best = kept.orderBy(F.desc("z"), "word").limit(WORDS).collect()
+    best = kept.orderBy(F.desc("z"), "word").collect()  # bounded by the sample
     vocabulary = {r["word"]: i for i, r in enumerate(best)}
     if not vocabulary:
         return empty

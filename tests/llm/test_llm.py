@@ -181,6 +181,14 @@ def test_op3_held_out(spark):
     assert not toxicity.score(odd, none).where("toxic").count()
 
 
+def test_op3_keeps_all_evidence(spark):
+    word = lambda i: "xyz"[i // 676] + chr(97 + i // 26 % 26) + chr(97 + i % 26)
+    rude = [word(i) for i in range(700)]  # too short for stems: one feature each
+    d = docs(spark, [" ".join(rude)] * 3 + [f"calm words of text {i}" for i in range(60)] + [w for w in rude])
+    labels = spark.createDataFrame([(i, 1, int(i < 3)) for i in range(63)], "doc_id long, quality int, toxic int")
+    assert set(toxicity.train(d, labels)["words"]) == {w + "$" for w in rude}
+
+
 def test_op3_cumulative_link_recovers_an_order():
     r = np.random.default_rng(0)
     x = r.integers(0, 5, 600)
