@@ -18,11 +18,19 @@ token hold the same shingles in that cell, so this is one order for all sets.
 Shingles that several sets of one stretch of the input hold are frequent; a bitmap
 of fixed size says which (a false positive only moves a cell back, in all sets
 alike).  So passages that many texts share are hardly ever indexed, and a bucket
-of over ``BUCKET`` sets is, in practice, a group of true copies.  It emits no
-pairs: in ``ROUNDS`` rounds its sets are checked against a few leaders each, those
-they share most buckets with; only sets that stayed in different components of such
-a bucket are then compared in full, after the Hamming bound.  No link between
-different components is lost, and no bucket is capped.
+of over ``BUCKET`` sets is, in practice, a group of near copies of one text.
+
+Such a bucket emits no pairs.  It elects a leader ``l``, the set that is in most
+crowded buckets, and every other set x of it is compared with l exactly.  Of two
+sets that both link with l nothing more is asked.  What x adds to l and lacks of l,
+``A = x xor l``, stands for x then: ``A_x xor A_y = x xor y``, so the common text
+cancels.  If y does not link with l, a similar x must share so many elements of its
+A with A_y that the first ones (added and rare elements before lacking ones)
+meet; these are the tokens of the next level, where only true relatives share
+buckets.  Buckets that are still crowded there elect leaders again.  Components of
+the links found so far drop what needs no comparing.  After ``LEVELS`` levels
+what is left is compared in full by its sketches, so no link between different
+components is lost, and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -37,6 +45,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import components
+from .ids import drop_ids, maybe
 from .storage import cut, small_batches
 from .text import mix, shingle_sets
 
@@ -44,8 +53,10 @@ from .text import mix, shingle_sets
 BUCKET = 16
 #: Bits of the frequent-shingle and wanted-document bitmaps (1 MiB each, whatever the input).
 BITMAP_BITS = 1 << 23
-#: Rounds of leaders in crowded buckets, leaders of a bucket, partners tried per set.
-ROUNDS, LEADERS, PARTNERS = 3, 4, 2
+#: Levels of leaders in crowded buckets; sets that are sent one copy of a leader.
+LEVELS, SQUAD = 5, 64
+#: Bands of how far a set is from linking with its leader: 7 a - s - l exceeds these.
+EXCESS = (0, 28, 84, 196, 420, 868)
 #: A shingle is frequent when this many different sets hold it in one stretch of
 #: the input of about STRETCH shingles.
 FREQUENT, STRETCH = 3, 1 << 20
@@ -57,7 +68,8 @@ _TEXTS = 128
 _META = "doc_id long, n long, node long, sketch array<long>, often array<long>"
 _TOKENS = "key long, node long"
 _MET = "a long, b long, crowded boolean"
-_COMMON = "doc_a long, doc_b long, common long"
+_COMMON = "a long, b long, common long"
+_FRAMES = "leader long, node long, linked boolean, n_index array<int>, band int, size int, mass int, tokens array<long>"
 
 
 def _node(h: np.ndarray) -> int:
@@ -164,13 +176,14 @@ def _emit(keys: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
 
 
 def _tokens(frequent: bytes):
-    """Prefix tokens of every distinct set of a slice."""
+    """Prefix tokens of every distinct set of a task (copies add a row per task, not each)."""
     bits = np.frombuffer(frequent, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for (texts,) in _slices(batch, ["text"]):
-                keys, owner, seen = [], [], set()
+                keys, owner = [], []
                 for h in shingle_sets(texts):
                     if not len(h) or (node := _node(h)) in seen:
                         continue
@@ -231,7 +244,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if last:
             yield from flush(k[:last], v[:last])
         key, node = k[last:], v[last:]
-        if len(np.unique(node)) > BUCKET:
+        if len(node) > 1:  # of copies that several tasks sent one stays
+            node = np.unique(node)
+            key = key[: len(node)]
+        if len(node) > BUCKET:
             yield from flush(key, node)
             open_key = int(key[0])
             key, node = key[:0], node[:0]
@@ -260,30 +276,11 @@ def _key_position(column: str):
     return F.shiftrightunsigned(F.col(column), 64 - (BITMAP_BITS.bit_length() - 1)) + 1
 
 
-def _wanted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents in ids, with few others: a bitmap of fixed size
-    drops most of the rest before the shuffle, the join does the rest."""
-    spark = docs.sparkSession
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))
-    bits = np.frombuffer(_bitmap(spark, ids, spot + 1), np.uint8)
-    if not bits.any():
-        return docs.select("doc_id", "text").where("false")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("spot").to_numpy(zero_copy_only=False)
-            hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-            if hit.any():
-                yield batch.select(["doc_id", "text"]).filter(pa.array(hit))
-
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", spot.alias("spot")).mapInArrow(keep, "doc_id long, text string")
-
-
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     size = 0
     for batch in batches:
-        for a, b, ta, tb in _slices(batch, ["doc_a", "doc_b", "text_a", "text_b"]):
+        for a, b, ta, tb in _slices(batch, ["a", "b", "text_a", "text_b"]):
             fresh = {k: t for k, t in zip(a + b, ta + tb, strict=True) if k not in held}
             if size > HELD:
                 held, size = {}, 0
@@ -292,7 +289,58 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held[k] = h
                 size += len(h)
             n = [len(np.intersect1d(held[x], held[y], assume_unique=True)) for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["doc_a", "doc_b", "common"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "common"])
+
+
+def _differences(frequent: bytes):
+    """For (leader, node) with their texts: do they link, and the first elements of node xor leader.
+
+    With sizes s and l of set and leader and a of their difference, let m = 7 a - s.
+    Two similar sets x and y share at least (m_x + m_y) / 14 elements of their
+    differences.  A set y that does not link with the leader has m_y > l + EXCESS[band];
+    so n_index[band] first elements of x must hold one of y's, and y's own ``tokens``
+    are those that must hold one of any x of a size that y allows.
+    """
+    bits = np.frombuffer(frequent, np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leads: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for leaders, nodes, tl, tx in _slices(batch, ["leader", "node", "text_l", "text_x"]):
+                linked, n_index, band, size, mass, tokens = [], [], [], [], [], []
+                for leader, text, h in zip(leaders, tl, shingle_sets(tx), strict=True):
+                    if leader not in leads:
+                        if sum(map(len, leads.values())) > HELD:
+                            leads.clear()
+                        leads[leader] = next(shingle_sets([text]))
+                    lead = leads[leader]
+                    diff = np.setxor1d(h, lead, assume_unique=True)
+                    s, big, a = len(h), len(lead), len(diff)
+                    near = 7 * a <= s + big  # Jaccard >= 3/4
+                    index = [max(0, a - (7 * a - s + big + e) // 14) for e in EXCESS]
+                    probe = index[0] if near else max(index[0], min(a, (s + 4 * s // 3) // 7 + 1))
+                    lacking = np.isin(diff, lead, assume_unique=True)
+                    rank = np.where(lacking, 2, _in_bitmap(bits, diff).astype(np.int64))
+                    first = diff[np.lexsort((diff, rank))[:probe]]
+                    linked.append(near)
+                    n_index.append(index)
+                    band.append(sum(7 * a - s - big > e for e in EXCESS) - 1)
+                    size.append(a)
+                    mass.append(7 * a - s)
+                    tokens.append(mix(first ^ mix(np.array([leader], np.int64).view(np.uint64))).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(leaders, pa.int64()),
+                        pa.array(nodes, pa.int64()),
+                        pa.array(linked, pa.bool_()),
+                        pa.array(n_index, pa.list_(pa.int32())),
+                        *(pa.array(x, pa.int32()) for x in (band, size, mass)),
+                        pa.array(tokens, pa.list_(pa.int64())),
+                    ],
+                    ["leader", "node", "linked", "n_index", "band", "size", "mass", "tokens"],
+                )
+
+    return run
 
 
 def _hamming(x: str, y: str):
@@ -306,52 +354,93 @@ def _plausible():
     return sizes & (7 * _hamming("sketch_a", "sketch_b") <= F.col("n_a") + F.col("n_b"))
 
 
-def _side(nodes: DataFrame, s: str) -> DataFrame:
-    return nodes.select(*(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "sketch", "doc")))
+def _screened(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs(a, b) those that may link, with the sizes of both sets."""
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_plausible()).select("a", "b", "n_a", "n_b")
 
 
-def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs(a, b) of nodes, those with Jaccard >= 3/4, counted exactly on the texts."""
-    held = (
-        pairs.select(F.col("a").alias("node_a"), F.col("b").alias("node_b"))
-        .join(_side(nodes, "a"), "node_a")
-        .join(_side(nodes, "b"), "node_b")
-        .where(_plausible())
-        .select("node_a", "node_b", "n_a", "n_b", "doc_a", "doc_b")
-    )
-    held = cut(held, "pairs")
-    texts = _wanted_texts(docs, held.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id"))).dropDuplicates(["doc_id"])
+def _squads(rows: DataFrame, head: str, member: str) -> tuple[DataFrame, DataFrame]:
+    """rows with ``part``, and (head, part): about SQUAD members of a head share a part."""
+    parts = rows.groupBy(head).agg(F.ceil(F.count("*") / SQUAD).cast("int").alias("parts"))
+    dealt = rows.join(parts, head).withColumn("part", F.pmod(F.xxhash64(member), F.col("parts")).cast("int")).drop("parts")
+    return dealt, parts.select(head, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+
+def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs(a, b, n_a, n_b), those with Jaccard >= 3/4, counted exactly on the texts."""
+    dealt, heads = _squads(pairs, "a", "b")
     counted = (
-        held.select("doc_a", "doc_b")
-        .join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
-        .join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
-        .select("doc_a", "doc_b", "text_a", "text_b")
+        dealt.select("a", "part", "b")
+        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        .join(heads.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"), ["a", "part"])
+        .select("a", "b", "text_a", "text_b")
         .mapInArrow(_common, _COMMON)
     )
-    good = held.join(counted, ["doc_a", "doc_b"]).where("100 * common >= 75 * (n_a + n_b - common)")
-    return good.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return pairs.join(counted, ["a", "b"]).where("100 * common >= 75 * (n_a + n_b - common)").select("a", "b")
 
 
-def _placed(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """key, node, c, main, parts: each set's component, its bucket's largest, how many meet there."""
-    if comp is None:
-        return rows.select("key", "node", F.col("node").alias("c"), F.lit(None).cast("long").alias("main"), F.lit(2).cast("long").alias("parts"))
-    placed = rows.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    sizes = placed.groupBy("key", "c").count()
-    return placed.join(sizes.groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("parts")), "key")
+def _frames(texts: DataFrame, rows: DataFrame, frequent: bytes) -> DataFrame:
+    """Crowded buckets rows(key, node, c) -> every set with the leader of each of its buckets.
+
+    The leader is of the bucket's largest component, and in most buckets.
+    """
+    busy = rows.groupBy("node").agg(F.count("*").alias("buckets"))
+    heads = rows.join(busy, "node").groupBy("key", "c").agg(F.max_by("node", F.struct("buckets", "node")).alias("leader"), F.max("buckets").alias("buckets"), F.count("*").alias("n"))
+    leads = heads.groupBy("key").agg(F.max_by("leader", F.struct("n", "buckets", "leader")).alias("leader"))
+    asked = cut(rows.join(leads, "key").where("node <> leader").select("leader", "node").distinct(), "asked")
+    dealt, heads = _squads(asked, "leader", "node")
+    return (
+        dealt.join(texts.select("node", F.col("text").alias("text_x")), "node")
+        .join(heads.join(texts.select(F.col("node").alias("leader"), F.col("text").alias("text_l")), "leader"), ["leader", "part"])
+        .select("leader", "node", "text_l", "text_x")
+        .mapInArrow(_differences(frequent), _FRAMES)
+    )
+
+
+def _component(comp: DataFrame, node: str, name: str) -> DataFrame:
+    return comp.select(F.col("node").alias(node), F.col("component").alias(name))
+
+
+def _next_level(frames: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(index, probe) tokens(key, node, c, left, mass) of frames whose sets lie in several components.
 
+    Only sets in another component than their leader (``few``) probe: a pair that
+    matters holds one.  left: elements from the token on, at most so many are shared.
+    """
+    placed = frames.join(_component(comp, "node", "c"), "node", "left").join(_component(comp, "leader", "of"), "leader", "left")
+    placed = placed.withColumn("c", F.coalesce("c", "node")).withColumn("few", F.col("c") != F.coalesce("of", "leader"))
+    bands = placed.where("few").select("leader", "band").distinct()
+    tokens = lambda df, n: df.select("node", "c", "size", "mass", "band", F.posexplode(n).alias("at", "token"))
+    told = lambda df: df.select(F.xxhash64("token", "band").alias("key"), "node", "c", (F.col("size") - F.col("at")).alias("left"), "mass")
+    index = tokens(placed.drop("band").join(bands, "leader"), F.slice("tokens", 1, F.get("n_index", "band")))
+    return told(index), told(tokens(placed.where("few"), F.col("tokens")))
+
+
+def _deal(index: DataFrame, probe: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tokens of a level -> (pairs(a, b) of small buckets, rows(key, node, c) of crowded ones).
+
+    A bucket with at most BUCKET rows of either kind emits at most so many pairs a row.
+    """
+    rows = index.withColumn("probe", F.lit(False)).unionByName(probe.withColumn("probe", F.lit(True)))
+    size = rows.groupBy("key").agg(F.count_if(~F.col("probe")).alias("n_index"), F.count_if("probe").alias("n_probe"), F.min("c").alias("low"), F.max("c").alias("high"))
+    size = size.where("low <> high AND n_index > 0 AND n_probe > 0")
+    dealt = cut(rows.join(size.select("key", (F.least("n_index", "n_probe") > BUCKET).alias("crowded")), "key"), "dealt")
+    side = lambda s, which: dealt.where(~F.col("crowded") & which).select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "c", "left", "mass")))
+    met = side("x", ~F.col("probe")).join(side("y", F.col("probe")), "key").where("c_x <> c_y AND 14 * least(left_x, left_y) >= mass_x + mass_y")
+    met = met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    return met, dealt.where("crowded").select("key", "node", "c").distinct()
 
-def _partners(placed: DataFrame, turn: int) -> DataFrame:
-    """(a, b): for each set outside its bucket's largest component the leaders, sets
-    of that component, with which it shares most crowded buckets."""
-    open_ = placed.where("parts > 1")
-    heads = open_.where("main IS NULL OR c = main")
-    pick = [F.min_by("node", F.xxhash64("node", F.lit(turn), F.lit(i))).alias(f"l{i}") for i in range(LEADERS)]
-    leaders = heads.groupBy("key").agg(*pick).select("key", F.array_distinct(F.array(*(f"l{i}" for i in range(LEADERS)))).alias("leads"))
-    met = open_.where("main IS NULL OR c <> main").join(leaders, "key").select("node", F.explode("leads").alias("lead")).where("node <> lead")
-    shared = met.groupBy("node", "lead").count()
-    top = shared.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "lead"))).where(F.col("r") <= PARTNERS)
-    return top.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+
+def _in_full(rows: DataFrame, comp: DataFrame, nodes: DataFrame) -> DataFrame:
+    """pairs(a, b) of the sets of a bucket that lie in different components and may link."""
+    placed = rows.drop("c").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")).join(nodes.select("node", "n", "sketch"), "node")
+    side = lambda s: placed.select("key", F.col("node").alias(s), F.col("c").alias(f"c_{s}"), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    return side("a").join(side("b"), "key").where("a < b AND c_a <> c_b").where(_plausible()).select("a", "b").distinct()
+
+
+def _linked_components(links: DataFrame) -> DataFrame:
+    return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -373,32 +462,35 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     frequent = _bitmap(spark, meta.select(F.explode("often").alias("h")), _key_position("h"))
     tokens = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_tokens(frequent), _TOKENS)
     met = cut(tokens.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, _MET), "met")
-    pairs = cut(met.where("NOT crowded").select("a", "b").distinct(), "pairs")
-    rows = met.where("crowded").select(F.col("a").alias("key"), F.col("b").alias("node"))
-    # One edge a set first: of a group of copies this leaves one component.
-    trial = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links, comp, tried = None, None, None
-    for turn in range(ROUNDS):
-        placed = _placed(rows, comp)
-        ask = _partners(placed, turn).join(tried, ["a", "b"], "left_anti") if turn else trial.unionByName(_partners(placed, turn)).distinct()
-        ask = cut(ask, "ask")
-        if turn and ask.isEmpty():
+    pairs = cut(_screened(nodes, met.where("NOT crowded").select("a", "b").distinct()), "pairs")
+    rows = met.where("crowded").select(F.col("a").alias("key"), F.col("b").alias("node"), F.lit(0).cast("long").alias("c"))
+    # Texts of the sets that meet any other, read once.
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(rows.select("node")).distinct().join(nodes.select("node", "doc"), "node")
+    asked = cut(asked, "asked")
+    texts = maybe(docs, "doc_id", asked.select("doc")).join(asked.withColumnRenamed("doc", "doc_id"), "doc_id").dropDuplicates(["doc_id"])
+    texts = cut(texts.select("node", "text"), "texts")
+    # One edge a set first: of a small group of copies this leaves one component.
+    tried = cut(pairs.groupBy("b").agg(F.min_by(F.struct("a", "n_a", "n_b"), "a").alias("x")).select("x.a", "b", "x.n_a", "x.n_b"), "ask")
+    links = cut(_verified(texts, tried), "links")
+    comp = None
+    for _ in range(LEVELS):
+        if rows.isEmpty():
             break
-        tried = ask if tried is None else tried.unionByName(ask)
-        good = cut(_verify(docs, nodes, ask), "links")
-        links = good if links is None else links.unionByName(good)
-        comp = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "comp")
-    part = lambda s: comp.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
-    rest = pairs.join(part("a"), "a", "left").join(part("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    # Sets outside a crowded bucket's largest component against all others in it.
-    told = _placed(rows, comp).where("parts > 1").join(nodes.select("node", "n", "sketch"), "node")
-    told = cut(told.select("key", "node", "n", "sketch", "c", (F.col("c") != F.col("main")).alias("few")), "open")
-    x = told.where("few").select("key", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    y = told.select("key", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    cross = x.join(y, (x["key"] == y["key"]) & (F.col("cx") != F.col("cy")) & _plausible()).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    rest = cut(rest.unionByName(cross).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
-    more = cut(_verify(docs, nodes, rest), "links")
-    return meta.select("doc_id", "n", "node"), nodes, links.unionByName(more).distinct()
+        frames = cut(_frames(texts, rows, frequent), "frames")
+        links = links.unionByName(frames.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")))
+        comp = cut(_linked_components(links), "comp")
+        more, rows = _deal(*_next_level(frames, comp))
+        pairs = pairs.unionByName(cut(_screened(nodes, more), "pairs"))
+        rows = cut(rows, "crowded")
+    else:
+        if not rows.isEmpty():
+            pairs = pairs.unionByName(_screened(nodes, _in_full(rows, comp, nodes)))
+    if comp is None:
+        comp = cut(_linked_components(links), "comp")
+    apart = pairs.join(_component(comp, "a", "ca"), "a", "left").join(_component(comp, "b", "cb"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
+    rest = cut(apart.select("a", "b", "n_a", "n_b").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    more = cut(_verified(texts, rest), "links")
+    return meta.select("doc_id", "n", "node"), nodes, links.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -412,7 +504,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     repeat its text; each gets its row.  Other columns are ignored.
     """
     members, nodes, links = similar_sets(docs)
-    comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    comp = _linked_components(links)
     placed = nodes.select("node", "doc").join(comp, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("c"))
     least = placed.groupBy("c").agg(F.min("doc").alias("component_id"))
     of_node = placed.join(least, "c").select("node", "component_id")
@@ -427,9 +519,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without near duplicates: of each group the row of its least doc_id.
 
     All columns stay as they are.  Rows that repeat a kept doc_id are reduced to
-    one; documents without words are kept.
+    one; documents without words, and rows with a null doc_id, are kept.  Only rows
+    that may go, or that repeat an id, are shuffled.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    once = first.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return once.unionByName(first.where("doc_id IS NULL"))
+    found = cut(near_duplicates(docs).where("doc_id IS NOT NULL"), "classes")
+    touched = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") != F.col("component_id")).alias("goes"), F.count("*").alias("times")).where("goes OR times > 1")
+    return drop_ids(docs, "doc_id", touched.select("doc_id", "goes"))
