@@ -9,12 +9,16 @@ probability that a neighbour at the expected product falls there) until the
 estimates sum to ``SUCCESS``; the tables' candidates are merged and ranked by
 their exact product in double precision.
 
-Projections and M are chosen per vector length.  A length of at most ``FEW``
-distinct vectors is compared in full, and so is a query for which the tables hold
-fewer candidates than asked for.
-
-Equal vectors are one candidate; a bucket is split into parts of about ``PART``
-vectors, so neither copies nor crowded buckets gather in one task.
+What product to expect is estimated for every query on a sample of ``SAMPLE``
+vectors of its length: the place there that its last neighbour should take.  A
+table has as many projections as fill a bucket with about ``FILL`` vectors, so their
+number grows with the logarithm of the input.  M and projections are chosen per
+vector length.  A length of at most ``FEW`` distinct vectors is compared in full, and
+so is a query for which the tables hold fewer candidates than asked for.
+
+Equal vectors are one candidate; a bucket's vectors and the queries that visit it
+are dealt in blocks of about ``PART`` each, so neither copies nor crowded buckets
+nor popular ones gather in one task.
 """
 
 from __future__ import annotations
@@ -30,12 +34,14 @@ from pyspark.sql import functions as F
 from .storage import cut
 
 #: Parameters of the production query: neighbours, tables, cell width in units of
-#: M, expected product in units of M * |q|, and success estimate at which a table's
-#: probing ends.  A table has one projection more for every ten times as many vectors.
-NEIGHBOURS, TABLES, WIDTH, EXPECTED, SUCCESS = 20, 2, 1.4, 0.35, 0.82
+#: M, and success estimate at which a table's probing ends.
+NEIGHBOURS, TABLES, WIDTH, SUCCESS = 20, 2, 1.4, 0.82
 PART = 4096
 #: Distinct vectors of a length up to which all are compared.
 FEW = PART
+#: Vectors of a length that products are estimated on, and vectors a bucket holds on average.
+SAMPLE, FILL = 4096, 512
+_CELL_BITS = 1.56  # entropy of a projection's cell at this width
 _REACH = 3.5  # cells beyond this many M hold next to nothing; outer cells are open
 
 
@@ -80,7 +86,7 @@ def _whole(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, TABLES, np.int32)), batch.column("dim"), pa.array(np.zeros(n, np.int64)), batch.column("rep"), batch.column("v")], names)
 
 
-def _index(plan: dict[int, tuple[int, float]]):
+def _index(plan: dict[int, tuple]):
     names = ["t", "dim", "bucket", "rep", "v"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +95,7 @@ def _index(plan: dict[int, tuple[int, float]]):
                 if (dim := batch.column("dim")[0].as_py()) not in plan:
                     yield _whole(batch, names)
                     continue
-                k, bound = plan[dim]
+                k, bound = plan[dim][:2]
                 x = _matrix(batch.column("v"))
                 rest = np.sqrt(np.maximum(bound**2 - (x**2).sum(axis=1, keepdims=True), 0))
                 for t in range(TABLES):
@@ -103,7 +109,25 @@ def _normal_cdf(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.vectorize(math.erf, otypes=[float])(x / math.sqrt(2)))
 
 
-def _probe(plan: dict[int, tuple[int, float]]):
+def _visits(chance: np.ndarray) -> np.ndarray:
+    """Codes of the likeliest cells of (projections x cells) chances, best first, until SUCCESS.
+
+    Projections join one by one; of each step the least likely cells go, so few that
+    all steps together cannot touch the success asked for.
+    """
+    slack = (1 - SUCCESS) / (2 * len(chance))
+    p, code = np.ones(1), np.zeros(1, dtype=np.int64)
+    for c in chance:
+        joint = (p[:, None] * c).ravel()
+        code = (code[:, None] * len(c) + np.arange(len(c))).ravel()
+        order = np.argsort(-joint, kind="stable")
+        mass = np.cumsum(joint[order])
+        order = order[: int(np.searchsorted(mass, mass[-1] - slack)) + 1]
+        p, code = joint[order], code[order]
+    return code[: int(np.searchsorted(np.cumsum(p), SUCCESS)) + 1]
+
+
+def _probe(plan: dict[int, tuple[int, float, int, np.ndarray]]):
     names = ["t", "dim", "bucket", "query", "v"]
     low, high = _cell_range()
     span = np.arange(low, high + 1)
@@ -114,37 +138,26 @@ def _probe(plan: dict[int, tuple[int, float]]):
                 if (dim := batch.column("dim")[0].as_py()) not in plan:
                     yield _whole(batch, names)
                     continue
-                k = plan[dim][0]
-                q = _matrix(batch.column("v"))
-                rep = batch.column("rep").to_numpy(zero_copy_only=False)
-                norm = np.sqrt((q**2).sum(axis=1))
-                for t in range(TABLES):
-                    a, b = _projections(t, q.shape[1], k)
-                    # where a neighbour's projection is expected, in units of M
-                    mean = EXPECTED * (np.hstack([q, np.zeros((len(q), 1))]) @ a) / norm[:, None]
-                    sd = math.sqrt(1 - EXPECTED**2)
-                    edge = (span[None, None, :] - b[None, :, None]) * WIDTH
-                    below = _normal_cdf((edge - mean[:, :, None]) / sd)
-                    below[:, :, 0] = 0.0
-                    chance = np.diff(np.concatenate([below, np.ones_like(below[:, :, :1])], axis=2), axis=2)
-                    for at in range(0, len(q), 64):
-                        p = chance[at : at + 64]
-                        joint, code = np.ones((len(p), 1)), np.zeros(1, dtype=np.int64)
-                        for i in range(k):
-                            joint = (joint[:, :, None] * p[:, i, None, :]).reshape(len(p), -1)
-                            code = (code[:, None] * len(span) + np.arange(len(span))).reshape(-1)
-                            if joint.shape[1] > 20_000:  # cells far from every query of this block
-                                near = joint.max(axis=0) > 1e-7
-                                joint, code = joint[:, near], code[near]
-                        order = np.argsort(-joint, axis=1, kind="stable")
-                        mass = np.cumsum(np.take_along_axis(joint, order, axis=1), axis=1)
-                        n = (mass < SUCCESS).sum(axis=1) + 1
-                        bucket = np.concatenate([code[o[:m]] for o, m in zip(order, n, strict=True)])
-                        who = np.repeat(np.arange(at, at + len(p)), n)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(who), t, np.int32)), batch.column("dim").take(pa.array(who)), pa.array(bucket), pa.array(rep[who]), batch.column("v").take(pa.array(who))],
-                            names,
-                        )
+                k, bound, place, sample = plan[dim]
+                every = _matrix(batch.column("v"))
+                for at in range(0, len(every), 256):
+                    part, q = batch.slice(at, 256), every[at : at + 256]
+                    norm = np.sqrt((q**2).sum(axis=1))
+                    last = -np.partition(-(q @ sample.T), place, axis=1)[:, place]
+                    expected = np.clip(last / (norm * bound), 0, 0.999)[:, None]
+                    for t in range(TABLES):
+                        a, b = _projections(t, q.shape[1], k)
+                        # where a neighbour's projection is expected, in units of M
+                        mean = expected * (q @ a[:-1]) / norm[:, None]
+                        sd = np.sqrt(1 - expected**2)[:, :, None]
+                        edge = (span[None, None, :] - b[None, :, None]) * WIDTH
+                        below = _normal_cdf((edge - mean[:, :, None]) / sd)
+                        below[:, :, 0] = 0.0
+                        chance = np.diff(np.concatenate([below, np.ones_like(below[:, :, :1])], axis=2), axis=2)
+                        found = [_visits(c) for c in chance]
+                        who = pa.array(np.repeat(np.arange(len(q)), [len(f) for f in found]))
+                        sent = [part.column(c).take(who) for c in ("dim", "rep", "v")]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), t, np.int32)), sent[0], pa.array(np.concatenate(found)), *sent[1:]], names)
 
     return run
 
@@ -153,6 +166,8 @@ _TOP = pa.schema([("query", pa.int64()), ("rep", pa.int64()), ("score", pa.float
 
 
 def _rank(top: int):
+    """The best ``top`` vectors of a block for each query of a block, ties to the smaller rep."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _TOP.empty_table()
@@ -160,21 +175,48 @@ def _rank(top: int):
         rep = left.column("rep").to_numpy()
         query = right.column("query").to_numpy()
         keep = min(top, len(x))
+        far = np.sqrt((x**2).sum(axis=1).max())
         out = []
         for at in range(0, len(query), 256):
             part = right.slice(at, 256)
             q = _matrix(part.column("v").combine_chunks())
             rough = q @ x.T
-            best = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
+            least = -np.partition(-rough, keep - 1, axis=1)[:, keep - 1] - 1e-12 * far * np.sqrt((q**2).sum(axis=1))
+            a, b = np.nonzero(~(rough < least[:, None]))
             # summed in one fixed order, so a pair has one score wherever it is met
-            score = (q[:, None, :] * x[best]).sum(axis=2)
-            out.append((np.repeat(query[at : at + 256], keep), rep[best].ravel(), score.ravel()))
+            score = np.concatenate([(q[a[i : i + 8192]] * x[b[i : i + 8192]]).sum(axis=1) for i in range(0, len(a), 8192)])
+            order = np.lexsort((rep[b], -score, a))
+            a, b, score = a[order], b[order], score[order]
+            good = np.arange(len(a)) - np.searchsorted(a, a) < keep
+            out.append((query[at + a[good]], rep[b[good]], score[good]))
         a, b, c = (np.concatenate(v) for v in zip(*out, strict=True))
         return pa.Table.from_arrays([pa.array(a), pa.array(b), pa.array(c)], schema=_TOP)
 
     return run
 
 
+def _plans(reps: DataFrame, neighbours: int) -> dict[int, tuple[int, float, int, np.ndarray]]:
+    """Per hashed length: projections, M, place in the sample of the last neighbour, and the sample.
+
+    The driver gets SAMPLE vectors of each such length.  A length whose norms are not
+    finite is not hashed.
+    """
+    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))
+    sizes = reps.groupBy(F.size("e").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("norm")).where(F.col("n") > FEW).collect()
+    sizes = {r["dim"]: r for r in sizes if r["norm"] < 1e150}
+    drawn = Window.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id")
+    rows = reps.select(F.size("e").alias("dim"), "vec_id", "e").where(F.col("dim").isin(*sizes)).withColumn("r", F.row_number().over(drawn)).where(F.col("r") <= SAMPLE)
+    sample: dict[int, list] = {d: [] for d in sizes}
+    for r in rows.select("dim", "vec_id", "e").collect() if sizes else []:
+        sample[r["dim"]].append((r["vec_id"], r["e"]))
+    out = {}
+    for d, r in sizes.items():
+        k = max(1, round(math.log2(max(r["n"] / FILL, 1)) / _CELL_BITS))
+        place = math.ceil(neighbours * len(sample[d]) / r["n"])  # from 0, as the query itself may be there
+        out[d] = (k, r["norm"] * (1 + 1e-12), min(place, len(sample[d]) - 1), np.array([e for _, e in sorted(sample[d])]))
+    return out
+
+
 def nearest(vectors: DataFrame, is_query, neighbours: int = NEIGHBOURS) -> DataFrame:
     """``vectors(vec_id, embedding, ...)`` -> query_id, rank, vec_id, score.
 
@@ -197,9 +239,7 @@ def nearest(vectors: DataFrame, is_query, neighbours: int = NEIGHBOURS) -> DataF
     same = Window.partitionBy("h1", "h2").orderBy("vec_id")
     firsts = cut(usable.withColumn("r", F.dense_rank().over(same)).where(F.col("r") <= neighbours + 1).dropDuplicates(["h1", "h2", "vec_id"]), "firsts")
     one = firsts.where("r = 1")
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))
-    sizes = one.groupBy(F.size("e").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("norm")).where(F.col("n") > FEW).collect()
-    plan = {r["dim"]: (min(12, 1 + int(math.log10(max(r["n"], 100) / 100) + 1e-9)), r["norm"] * (1 + 1e-12)) for r in sizes}
+    plan = _plans(one, neighbours)
     flat = one.select("vec_id", "e", "h1", "h2").mapInArrow(_pack, "rep long, dim int, v binary, h1 long, h2 long")
     reps = cut(flat, "reps")
     index = reps.select("rep", "dim", "v").mapInArrow(_index(plan), "t int, dim int, bucket long, rep long, v binary")
@@ -227,12 +267,14 @@ def nearest(vectors: DataFrame, is_query, neighbours: int = NEIGHBOURS) -> DataF
 def _best(index: DataFrame, probes: DataFrame, neighbours: int) -> DataFrame:
     """(query, rep, score): the best vectors of index(t, dim, bucket, rep, v) in the buckets of probes(t, dim, bucket, query, v)."""
     keys = ["t", "dim", "bucket"]
-    parts = index.groupBy(*keys).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    dealt = index.join(parts, keys).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    sent = probes.join(parts, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    found = (
-        dealt.select(*keys, "part", "rep", "v").groupBy(*keys, "part").cogroup(sent.select(*keys, "part", "query", "v").groupBy(*keys, "part")).applyInArrow(_rank(neighbours + 1), "query long, rep long, score double")
-    )
+    block = ["part", "squad"]
+    count = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / PART).cast("int").alias(name))
+    both = count(index, "parts").join(count(probes, "squads"), keys)
+    mine = lambda id_, n: F.pmod(F.xxhash64(id_), F.col(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = index.join(both, keys).withColumn("part", mine("rep", "parts")).withColumn("squad", all_("squads")).select(*keys, *block, "rep", "v")
+    sent = probes.join(both, keys).withColumn("squad", mine("query", "squads")).withColumn("part", all_("parts")).select(*keys, *block, "query", "v")
+    found = dealt.groupBy(*keys, *block).cogroup(sent.groupBy(*keys, *block)).applyInArrow(_rank(neighbours + 1), "query long, rep long, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     return found.withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= neighbours + 1).dropDuplicates(["query", "rep"]).select("query", "rep", "score")
 
