@@ -38,11 +38,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_KEY, BATCH_BYTES)
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back (lineage is cut)."""
+def cut(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder (a folder per value of ``by``) and read it back: lineage is cut."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
