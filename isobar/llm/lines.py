@@ -1,11 +1,14 @@
 """Line deduplication with a levelled index of line hashes.
 
 The index is a set of sorted runs, a written table each: (h1, h2) is a 128-bit
-hash of the line key, ``docs`` in how many documents of the run's batches the
-key occurs, ``top`` the largest doc_id among them.  Every batch of documents
-adds one run at level 0; merging it with the runs so far tells which of its keys
-are new (``fresh``).  When a level holds ``fanout`` runs they are compacted into
-one run of the next level, so a key lies in O(log batches) runs.
+hash of the line key, ``docs`` in how many documents so far the key occurs, ``top``
+the largest doc_id among them.  Every batch of documents is merge-joined with the
+runs so far: keys that no run holds (the anti-join, ``fresh``) start their count,
+known ones go on from theirs, and the batch's keys with their counts so far are its
+run at level 0.  A key's row in a later run replaces earlier ones, so what has become
+frequent is read off the runs without summing them.  When a batch fills a level, its
+merge also takes in the run it was merged with (compaction), so a key lies in
+O(log batches) runs.
 
 Counts add over batches because a document lies in one batch only; a key
 repeated inside a document counts once.
@@ -55,6 +58,16 @@ def _long_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
+def sightings(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_id, h1, h2): a row per document and distinct key of min_chars code points."""
+    return (
+        docs.select("doc_id", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: line_key(x)))).alias("key"))
+        .where(F.char_length("key") >= min_chars)
+        .select("doc_id", _hashes(F.col("key")).alias("h"))
+        .select("doc_id", "h.h1", "h.h2")
+    )
+
+
 @dataclass
 class LineIndex:
     """The runs, by level, of an index that lives in the shared folder."""
@@ -69,58 +82,67 @@ class LineIndex:
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(self._SCHEMA).parquet(*paths)
 
-    def _write(self, rows: DataFrame, label: str) -> str:
-        path = new_path(self.spark, label)
-        rows.sortWithinPartitions("h1", "h2").write.parquet(path)
-        return path
-
     def runs(self) -> list[str]:
         return [p for level in self.levels for p in level]
 
+    def _latest(self, paths: list[str]) -> DataFrame:
+        """h1, h2, docs, top: a row per key, its last one (counts and ids only grow)."""
+        rows = self._read(paths).select("h1", "h2", "docs", "top")
+        return rows if len(paths) == 1 else self._latest_of(rows)
+
+    def _full_levels(self) -> int:
+        """How many levels the next batch fills, from 0 up."""
+        n = 0
+        while n < len(self.levels) and len(self.levels[n]) + 1 >= self.fanout:
+            n += 1
+        return n
+
     def add(self, docs: DataFrame) -> DataFrame:
-        """Merge a batch ``docs(doc_id, text)`` in; the run it added.
+        """Merge a batch ``docs(doc_id, text)`` in; the run it wrote."""
+        return self.merge(sightings(docs, self.min_chars))
+
+    def merge(self, seen: DataFrame) -> DataFrame:
+        """Merge a batch of ``sightings`` in; the run it wrote.
 
-        Rows of the run with ``fresh`` are the batch's keys that no earlier run
-        holds (the anti-join); the others are more sightings of known keys.
+        ``fresh`` marks keys that no earlier run holds.  A run that fills its level
+        also holds the keys of the runs it replaces, which are not fresh.
         """
-        batch = (
-            docs.select("doc_id", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: line_key(x)))).alias("key"))
-            .where(F.char_length("key") >= self.min_chars)
-            .select("doc_id", _hashes(F.col("key")).alias("h"))
-            .groupBy("h.h1", "h.h2")
-            .agg(F.count("*").alias("docs"), F.max("doc_id").alias("top"))
-        )
-        if self.runs():
-            known = self._read(self.runs()).where("fresh").select("h1", "h2", F.lit(True).alias("known"))
-            batch = batch.join(known.hint("merge"), ["h1", "h2"], "left").select("h1", "h2", "docs", "top", F.col("known").isNull().alias("fresh"))
-        else:
-            batch = batch.withColumn("fresh", F.lit(True))
-        path = self._write(batch, "run0")
-        if not self.levels:
+        batch = seen.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("top")).withColumn("fresh", F.lit(True))
+        full = self._full_levels()
+        paths = self.runs()
+        if paths:
+            # Only what is replaced comes along whole; other runs are looked up.
+            absorbed = [p for level in self.levels[:full] for p in level]
+            known = self._latest(paths).select("h1", "h2", F.col("docs").alias("docs0"), F.col("top").alias("top0"))
+            how = "left"
+            if absorbed:
+                how = "full"
+                if len(absorbed) < len(paths):
+                    mine = self._read(absorbed).select("h1", "h2", F.lit(True).alias("mine")).distinct()
+                    known = known.join(mine.hint("merge"), ["h1", "h2"], "left")
+            joined = batch.join(known.hint("merge"), ["h1", "h2"], how)
+            if "mine" in joined.columns:
+                joined = joined.where("docs IS NOT NULL OR mine")
+            zero = F.lit(0)
+            batch = joined.select(
+                "h1", "h2", (F.coalesce("docs", zero) + F.coalesce("docs0", zero)).alias("docs"), F.greatest("top", "top0").alias("top"), F.col("docs0").isNull().alias("fresh")
+            )
+        path = new_path(self.spark, f"run{full}")
+        batch.sortWithinPartitions("h1", "h2").write.parquet(path)
+        for level in range(full):
+            self.levels[level] = []
+        if full == len(self.levels):
             self.levels.append([])
-        self.levels[0].append(path)
-        self._compact()
+        self.levels[full].append(path)
         return self._read([path])
 
-    def _compact(self) -> None:
-        for level, paths in enumerate(self.levels):
-            if len(paths) < self.fanout:
-                continue
-            if level + 1 == len(self.levels):
-                self.levels.append([])
-            self.levels[level + 1].append(self._write(self._merged(paths), f"run{level + 1}"))
-            self.levels[level] = []
-
-    def _merged(self, paths: list[str]) -> DataFrame:
-        return self._read(paths).groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("top").alias("top"), F.max("fresh").alias("fresh"))
-
     def frequent(self, min_docs: int) -> DataFrame:
         """(h1, h2, docs, top) of keys found in at least min_docs documents."""
-        return self._merged(self.runs()).where(F.col("docs") >= min_docs).select("h1", "h2", "docs", "top")
+        return self._latest_of(self._read(self.runs()).where(F.col("docs") >= min_docs))
 
-    def total(self) -> int:
-        """Sum of docs over all keys."""
-        return self._read(self.runs()).agg(F.sum("docs")).first()[0] or 0
+    @staticmethod
+    def _latest_of(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("h1", "h2").agg(F.max("docs").alias("docs"), F.max("top").alias("top"))
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
@@ -131,10 +153,11 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     index = LineIndex(docs.sparkSession, min_chars, fanout)
+    seen = cut(sightings(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "sightings", by="batch")
     for k in range(batches):  # every document is in one batch
-        index.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
+        index.merge(seen.where(F.col("batch") == k))
     frequent = cut(index.frequent(min_docs), "frequent")
-    is_hot = F.col("docs") * HOT > index.total()
+    is_hot = F.col("docs") * HOT > seen.count()
     hot = frequent.where(is_hot).select("h1", "h2", F.col("top").alias("hot_top"))  # fewer than HOT rows
     met = _long_keys(docs, min_chars).join(F.broadcast(hot), ["h1", "h2"], "left").where("hot_top IS NULL OR doc_id <> hot_top")
     dealt = met.withColumn("h1", F.when(F.col("hot_top").isNotNull(), F.xxhash64("doc_id", "pos")).otherwise(F.col("h1")))
