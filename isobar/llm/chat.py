@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,17 +26,16 @@ from pyspark.sql import functions as F
 OPEN, AFTER_ROLE, CLOSE = "### ", ": ", " </turn>\n"
 TRAINED_ROLE = "assistant"
 
-#: Characters after which a long rendering is encoded in parts, at turn bounds.
-PART_CHARS = 1 << 18
-
 _TEXT = str.maketrans({c: "\\" + c for c in "\\#<"})
 _ROLE = str.maketrans({c: "\\" + c for c in "\\#<:\n"})
 
 
 def default_tokenizer() -> str:
     """Path of the byte-level vocabulary that the machine offers."""
-    import public_tokenizers
-
+    try:
+        import public_tokenizers
+    except ImportError as e:
+        raise ValueError("no vocabulary on this machine: name the file of one (argument tokenizer)") from e
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -49,18 +49,17 @@ def unescape(text: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]], list[int]]:
-    """The formatted conversation, its trained spans, and where each turn starts."""
-    parts, spans, starts, at = [], [], [], 0
+def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
+    """The formatted conversation and its trained spans."""
+    parts, spans, at = [], [], 0
     for role, text in turns:
-        starts.append(at)
         head = OPEN + role.translate(_ROLE) + AFTER_ROLE
         body = text.translate(_TEXT)
         if role == TRAINED_ROLE and body:
             spans.append((at + len(head), at + len(head) + len(body)))
         parts += [head, body, CLOSE]
         at += len(head) + len(body) + len(CLOSE)
-    return "".join(parts), spans, starts
+    return "".join(parts), spans
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -79,26 +78,17 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def token_offsets(encode, formatted: str, starts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, starts and ends of the tokens; long renderings go in parts of whole turns.
+def token_offsets(encode, formatted: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, starts and ends of the tokens of the whole rendering, encoded once.
 
     Some vocabularies trim spaces off their offsets: what lies between two tokens
-    belongs to the later one, so the tokens of a part cover all of it.
+    belongs to the later one, so the tokens cover all of the text.
     """
-    cuts = [0]
-    for s in starts[1:]:
-        if s - cuts[-1] >= PART_CHARS:
-            cuts.append(s)
-    ids, low, high = [], [], []
-    for a, b in zip(cuts, [*cuts[1:], len(formatted)], strict=True):
-        e = encode(formatted[a:b])
-        o = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
-        end = np.maximum.accumulate(o[:, 1])
-        end[-1:] = b - a
-        ids.append(np.array(e.ids, dtype=np.int64))
-        low.append(np.minimum(o[:, 0], np.append(0, end[:-1])[: len(o)]) + a)
-        high.append(end + a)
-    return np.concatenate(ids), np.concatenate(low), np.concatenate(high)
+    e = encode(formatted)
+    o = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
+    high = np.maximum.accumulate(o[:, 1])
+    high[-1:] = len(formatted)
+    return np.array(e.ids, dtype=np.int64), np.minimum(o[:, 0], np.append(0, high[:-1])[: len(o)]), high
 
 
 def mask_spans(low: np.ndarray, high: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -138,17 +128,17 @@ _ARROW = pa.schema(
 )
 
 
-def _formatter(tokenizer: str):
+def _formatter(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(tokenizer)
+        t = Tokenizer.from_buffer(vocabulary.value)
         t.encode_special_tokens = True
         encode = lambda s: t.encode(s, add_special_tokens=False)
 
         def finish(conv, turns) -> dict:
-            text, spans, starts = render(turns)
-            ids, low, high = token_offsets(encode, text, starts)
+            text, spans = render(turns)
+            ids, low, high = token_offsets(encode, text)
             mask, covered = mask_spans(low, high, spans)
             return {"conv_id": conv, "formatted": text, "token_ids": ids, "loss_mask": np.packbits(mask).tobytes(), "loss_spans": [{"start": a, "end": b} for a, b in covered]}
 
@@ -180,31 +170,35 @@ def format_conversations(turns: DataFrame, tokenizer: str | None = None) -> Data
     Rows of a conversation are ordered by turn, then role, then text (nulls first),
     so repeated turns have a defined order and stay.  Null roles and texts are
     empty.  Rows with a null conv_id form one conversation of that id.  Other
-    columns are ignored.  A conversation is one unit of work (its digest is
-    sequential); it streams through sorted rows and is encoded in bounded parts.
+    columns are ignored.  A conversation is one unit of work, as it is rendered whole
+    and encoded once: a task holds the longest one, its tokens and their offsets.
+    ``tokenizer``: path, on the driver, of a vocabulary file; its bytes are sent to
+    the executors.
     """
+    with open(tokenizer or default_tokenizer(), "rb") as f:
+        vocabulary = turns.sparkSession.sparkContext.broadcast(f.read())
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(_formatter(tokenizer or default_tokenizer()), _OUT)
+    return dealt.select("conv_id", "role", "text").mapInArrow(_formatter(vocabulary), _OUT)
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for row in batch.to_pylist():
-            text = row["formatted"]
+        tokens = pc.list_value_length(batch.column("token_ids")).to_pylist()
+        for conv, text, spans, n_tokens in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_spans")), tokens, strict=True):
             turns = parse(text)
             told = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode("utf-8", "surrogatepass"))
-            loss = unescape("".join(text[s["start"] : s["end"]] for s in row["loss_spans"]))
+            loss = unescape("".join(text[s["start"] : s["end"]] for s in spans))
             out.append(
                 {
-                    "conv_id": row["conv_id"],
+                    "conv_id": conv,
                     "n_turns": len(turns),
                     "turns_sha256": told.hexdigest(),
                     "loss_chars": len(loss),
                     "loss_sha256": hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(),
                     "formatted_chars": len(text),
-                    "n_tokens": len(row["token_ids"]),
+                    "n_tokens": n_tokens,
                 }
             )
         yield pa.RecordBatch.from_pylist(out, _DIGEST)
@@ -214,7 +208,11 @@ _DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_s
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """Turn and loss digests read back from the formatted output."""
+    """Turn and loss digests read back from the formatted output.
+
+    A row per row of ``formatted``; no turns, or no text under the mask, give counts
+    of 0 and the digest of the empty string.  An empty table gives an empty result.
+    """
     return formatted.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
 
 
