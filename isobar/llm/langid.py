@@ -3,8 +3,9 @@
 Each language has a binary codeword; one binary n-gram classifier per code bit
 separates the languages with that bit from the rest (log-odds of hashed letter
 n-grams, a naive Bayes classifier on counts over the whole training part).
-Decoding weighs each bit's logistic loss by its training accuracy and takes the
-codeword of least loss; a small gap to the next marks the row as ambiguous.
+A second pass over the training part counts how often each bit is right there;
+decoding weighs a bit's logistic loss by the log-odds of that and takes the codeword
+of least loss.  A small gap to the next marks the row as ambiguous.
 """
 
 from __future__ import annotations
@@ -90,7 +91,10 @@ def _totals(features: int):
 
 
 def codewords(languages: int, min_bits: int = MIN_BITS) -> np.ndarray:
-    """(languages x bits) of +1/-1, far apart: the best of seeded random draws."""
+    """(languages x bits) of +1/-1, far apart: every split once for few languages, else the best of seeded random draws."""
+    if languages > 1 and (1 << (languages - 1)) - 1 <= min_bits:  # all splits there are
+        splits = np.arange(1, 1 << (languages - 1))
+        return np.where(splits >> np.arange(languages)[:, None] & 1, 1, -1)
     rng = np.random.Generator(np.random.PCG64(7))
     bits = max(min_bits, 4 * max(1, languages - 1).bit_length())
     best, score = None, -1
@@ -134,18 +138,50 @@ def train(labelled: DataFrame, features: int = FEATURES) -> dict:
         up, down = margins[code[:, b] > 0, b], margins[code[:, b] < 0, b]
         if len(up) and len(down):
             bias[b], scale[b] = (up.min() + down.max()) / 2, 2 / max(up.min() - down.max(), 1e-6)
-    right = ((margins - bias) * code > 0).mean(axis=0)
-    return {"langs": langs, "code": code, "weight": weight * scale, "bias": bias * scale, "trust": right / max(right.sum(), 1e-9)}
+    model = {"langs": langs, "code": code, "weight": weight * scale, "bias": bias * scale, "trust": np.ones(code.shape[1])}
+    right = rows.mapInArrow(_right(model, features), "bit int, right long, n long").groupBy("bit").agg(F.sum("right").alias("right"), F.sum("n").alias("n")).collect()  # a row per bit
+    model["trust"] = bit_trust({r["bit"]: (r["right"], r["n"]) for r in right}, code.shape[1])
+    return model
+
+
+def bit_trust(right: dict[int, tuple[int, int]], bits: int) -> np.ndarray:
+    """Weights that sum to 1: log-odds that a bit is right on training rows; at or below a coin's, none."""
+    share = np.array([(right.get(b, (0, 0))[0] + 1) / (right.get(b, (0, 0))[1] + 2) for b in range(bits)])
+    odds = np.maximum(np.log(share / (1 - share)), 0)
+    return odds / odds.sum() if odds.sum() else np.full(bits, 1 / bits)
+
+
+def _margins(model: dict, counts: np.ndarray) -> np.ndarray:
+    return counts @ model["weight"] / np.maximum(counts.sum(axis=1, keepdims=True), 1) - model["bias"]
+
+
+def _right(model: dict, features: int):
+    """(bit, right, n): on how many rows each bit has the sign of its language's codeword."""
+    at = {lang: i for i, lang in enumerate(model["langs"])}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        right, n = np.zeros(model["code"].shape[1], dtype=np.int64), 0
+        for batch in batches:
+            langs = batch.column("lang").to_pylist()
+            for first, block in _blocks(batch.column("text").to_pylist()):
+                counts, letters = _counts(block, features)
+                code = model["code"][[at[x] for x in langs[first : first + len(block)]]]
+                has = letters > 0
+                right += ((_margins(model, counts) * code > 0) & has[:, None]).sum(axis=0)
+                n += int(has.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(right)), pa.int32()), pa.array(right), pa.array([n] * len(right), pa.int64())], ["bit", "right", "n"])
+
+    return run
 
 
 def _predict(model: dict, features: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, code, weight, bias, trust = (model[k] for k in ("langs", "code", "weight", "bias", "trust"))
+        langs, code, trust = (model[k] for k in ("langs", "code", "trust"))
         for batch in batches:
             lang, score, unsure = [], [], []
             for _, block in _blocks(batch.column("text").to_pylist()):
                 counts, letters = _counts(block, features)
-                margin = np.clip(counts @ weight / np.maximum(counts.sum(axis=1, keepdims=True), 1) - bias, -8, 8)
+                margin = np.clip(_margins(model, counts), -8, 8)
                 loss = np.stack([(np.log1p(np.exp(-2 * margin * c)) * trust).sum(axis=1) for c in code], axis=1) if langs else np.zeros((len(block), 0))
                 for n, row in zip(letters.tolist(), loss, strict=True):
                     if not n or not langs:
