@@ -107,8 +107,10 @@ def _tagged(docs: DataFrame, seed: int) -> DataFrame:
     return tagged.withColumns({"_range": _range_of(F.col("_h")), "_cell": _range_of(F.col("_h"), 1)})
 
 
-def _tokens() -> Column:
-    return token_count(F.col("text").cast("string"))
+def _counted(docs: DataFrame, seed: int) -> DataFrame:
+    """doc_id, _tokens and the helper columns, without texts: words are counted once."""
+    tokens = token_count(F.col("text").cast("string")).alias("_tokens")
+    return cut(_tagged(docs.select("doc_id", "text", "source"), seed).select("doc_id", "_source", "_h", "_range", "_cell", tokens), "counted")
 
 
 def _passing(sums: DataFrame, room: DataFrame, step: str) -> DataFrame:
@@ -119,15 +121,15 @@ def _passing(sums: DataFrame, room: DataFrame, step: str) -> DataFrame:
     return run.groupBy("_source").agg(F.min(step).alias("_at"), F.min_by(F.col("_room") - F.col("_run") + F.col("t"), step).alias("_left"))
 
 
-def _plan(tagged: DataFrame, **target) -> tuple[Mix, DataFrame]:
+def _plan(counted: DataFrame, **target) -> tuple[Mix, DataFrame]:
     """The mix and, per source, whole epochs and where the partial one ends: range,
     cell of it, and how many of its tokens still fit in that cell.
 
     The driver gets a row per source; running sums (RANGES rows a source) stay on the
     executors.  Tables that are broadcast here hold a row per source.
     """
-    spark = tagged.sparkSession
-    sums = cut(tagged.groupBy("_source", "_range").agg(F.sum(_tokens()).alias("t")), "sums")
+    spark = counted.sparkSession
+    sums = cut(counted.groupBy("_source", "_range").agg(F.sum("_tokens").alias("t")), "sums")
     held = sums.groupBy("_source").agg(F.sum("t").alias("t")).limit(MAX_SOURCES + 1).collect()
     if len(held) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -142,35 +144,36 @@ def _plan(tagged: DataFrame, **target) -> tuple[Mix, DataFrame]:
     ends = quota.where("_part").join(_passing(sums, quota.where("_part"), "_range"), "_source", "left")
     ends = cut(ends.select("_source", F.coalesce("_at", F.lit(RANGES)).alias("_border"), F.coalesce("_left", F.lit(0)).alias("_room")), "ends")
     open_ = ends.where("_room > 0")
-    edge = tagged.join(F.broadcast(open_.select("_source", F.col("_border").alias("_range"))), ["_source", "_range"])
-    cells = _passing(edge.groupBy("_source", "_cell").agg(F.sum(_tokens()).alias("t")), open_, "_cell")
+    edge = counted.join(F.broadcast(open_.select("_source", F.col("_border").alias("_range"))), ["_source", "_range"])
+    cells = _passing(edge.groupBy("_source", "_cell").agg(F.sum("_tokens").alias("t")), open_, "_cell")
     plan = quota.select("_source", "_whole").join(ends.select("_source", "_border"), "_source", "left").join(cells, "_source", "left")
     zero = F.lit(0)
     return mix, cut(plan.select("_source", "_whole", F.coalesce("_border", zero).alias("_border"), F.coalesce("_at", zero).alias("_last"), F.coalesce("_left", zero).alias("_room")), "plan")
 
 
-def _dealt(docs: DataFrame, seed: int, **target) -> tuple[Mix, DataFrame]:
-    """docs' rows once per epoch they appear in (``_epoch``), with the helper columns."""
-    tagged = _tagged(docs, seed)
-    mix, plan = _plan(tagged, **target)
+def _dealt(tagged: DataFrame, plan: DataFrame, tokens: Column) -> DataFrame:
+    """The rows of ``tagged`` once per epoch they appear in (``_epoch``), with the helper columns."""
     placed = tagged.join(F.broadcast(plan), "_source")  # a row a source: at most MAX_SOURCES
     inside = (F.col("_range") < F.col("_border")) | ((F.col("_range") == F.col("_border")) & (F.col("_cell") < F.col("_last")))
     sure = placed.withColumn("_times", F.col("_whole") + inside.cast("int"))
     running = Window.partitionBy("_source").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    last = placed.where("_range = _border AND _cell = _last AND _room > 0").withColumn("_run", F.sum(_tokens()).over(running))
+    last = placed.where("_range = _border AND _cell = _last AND _room > 0").withColumn("_run", F.sum(tokens).over(running))
     last = last.where("_run <= _room").withColumn("_times", F.lit(-1)).drop("_run")
     whole = sure.where("_times > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
-    return mix, whole.unionByName(last.withColumn("_epoch", F.col("_whole")))
+    return whole.unionByName(last.withColumn("_epoch", F.col("_whole")))
 
 
 def mix_documents(docs: DataFrame, seed: int = SEED, **target) -> DataFrame:
     """``docs`` with every row as often as the mix draws it; same columns.
 
-    Without a budget no document is lost: the scarcest weight sets the budget.
-    Rows travel as one struct, so no column can clash with a helper's name.
+    Without a budget no document is lost: the scarcest weight sets the budget.  Null
+    sources, null and empty texts, repeated rows and empty tables are taken as by
+    :func:`mixture`.  Rows travel as one struct, so no column can clash with a
+    helper's name.
     """
+    _, plan = _plan(_counted(docs, seed), **target)
     packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
-    return _dealt(packed, seed, **target)[1].select("_row.*")
+    return _dealt(_tagged(packed, seed), plan, token_count(F.col("text").cast("string"))).select("_row.*")
 
 
 def mixture(docs: DataFrame, blocks: int = BLOCKS, seed: int = SEED, **target) -> DataFrame:
@@ -184,13 +187,15 @@ def mixture(docs: DataFrame, blocks: int = BLOCKS, seed: int = SEED, **target) -
     are drawn in whole epochs.  Repeated rows are drawn as separate documents.  An
     empty table gives an empty result.
     """
-    mix, rows = _dealt(docs.select("doc_id", "text", "source"), seed, **target)
+    counted = _counted(docs, seed)
+    mix, plan = _plan(counted, **target)
+    rows = _dealt(counted, plan, F.col("_tokens"))
     spark = docs.sparkSession
     quota = spark.createDataFrame([(s, float(q)) for s, q in mix.quota.items()], "_source string, _quota double")
     drawn = rows.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "_source",
-        _tokens().alias("tokens"),
+        F.col("_tokens").alias("tokens"),
         F.col("_epoch").alias("epoch"),
         F.xxhash64(F.lit(seed), "_epoch", "_h").alias("place"),
     ).withColumn("_range", _range_of(F.col("place")))
