@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ids import drop_ids, maybe
 from .storage import cut
 
 #: Parameters of the production query.
@@ -164,7 +165,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, partial: bool = False) -
     asked = found.join(slotted, "item_id")
     plain = found.join(slotted.select("item_id"), "item_id", "left_anti").withColumn("kind", F.lit("exact"))
     if not asked.isEmpty():
-        wanted = texts.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        wanted = maybe(texts, "doc_id", asked.select("doc_id")).join(asked.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
         both = asked.join(wanted.select("doc_id", words(F.col("text")).alias("dw")), "doc_id")
         pair = lambda p: F.struct(F.lower(F.get("iw", p)).alias("i"), F.lower(F.get("dw", p + F.col("shift"))).alias("d"))
         slots = lambda a, b: F.filter(F.sequence(a, b), lambda p: F.get("ih", p).between(_NUMBER, _UNIT))
@@ -189,6 +190,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, partial: bool = False) -
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, partial: bool = False) -> DataFrame:
-    """``docs`` without the documents that repeat a benchmark item; same columns."""
-    bad = contaminated(docs, benchmark, partial).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["_bad"], "left_anti")
+    """``docs`` without the documents that repeat a benchmark item; same columns.
+
+    Null and empty texts, and rows with a null id, are kept; rows that repeat a doc_id
+    go or stay together.  An empty table or benchmark changes nothing.  Only
+    rows that may go are shuffled.
+    """
+    bad = cut(contaminated(docs, benchmark, partial).select("doc_id").distinct().withColumn("goes", F.lit(True)), "bad")
+    return drop_ids(docs, "doc_id", bad)
