@@ -129,11 +129,11 @@ def _score(text: str, kind: str, start: int, end: int) -> float:
     return round(min(1.0, max(0.0, _START[kind] + sum(v for w, v in _WORDS[kind].items() if w in words))), 3)
 
 
-_ROWS = "doc_id long, spans array<struct<kind:string,start:int,end:int,score:double>>"
+_ROWS = "doc_id long, spans array<struct<kind:string,start:long,end:long,score:double>>"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
     for batch in batches:
         out = []
         for text in batch.column("text"):
@@ -155,7 +155,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redact(text: str | None) -> str | None:
-    """The text with every span replaced by ``[kind]`` (the longer of two overlapping)."""
+    """The text with every span replaced by ``[kind]`` (the longer of two overlapping).
+
+    A null text stays null, an empty one empty.
+    """
     if text is None:
         return None
     out, done = [], 0

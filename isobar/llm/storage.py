@@ -1,9 +1,10 @@
 """Shared-folder helpers: cutting lineage with written tables.
 
 Every intermediate table goes to the folder the cluster names in
-``spark.checkpoint.dir``; only when the session has none (tests, notebooks) a
-default is set.  Nothing is ever written to a machine-local temporary folder
-of an executor, so losing an executor loses no intermediate result.
+``spark.checkpoint.dir``; only a local session that has none (tests, notebooks) gets
+a default.  Nothing is ever written to a machine-local temporary folder
+of an executor, so losing an executor loses no intermediate result.  The
+tables are deleted when the driver's JVM ends.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder.
+#: Used only where a local session names no shared folder.
 FALLBACK_DIR = "/tmp/checkpoints"
 
 #: Arrow batches to Python workers, at most about this large; Spark's own 64 MB are
@@ -22,14 +23,32 @@ BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 _RUN = uuid.uuid4().hex
 
 
+_made: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder (``spark.checkpoint.dir``), set if unset."""
-    conf = spark.sparkContext.getConf()
-    return f"{conf.get('spark.checkpoint.dir', FALLBACK_DIR).rstrip('/')}/isobar-{_RUN}"
+    """This process's part of the session's shared folder (``spark.checkpoint.dir``)."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = FALLBACK_DIR
+    return f"{root.rstrip('/')}/isobar-{_RUN}"
+
+
+def _file_system(spark: SparkSession):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    root = shared_dir(spark)
+    if root not in _made:
+        fs, path = _file_system(spark)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _made.add(root)
+    return f"{root}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -48,7 +67,5 @@ def cut(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
 
 def sweep(spark: SparkSession) -> None:
     """Delete every table this process wrote to the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, path = _file_system(spark)
     fs.delete(path, True)
