@@ -56,7 +56,8 @@ BITMAP_BITS = 1 << 23
 #: Levels of leaders in crowded buckets; sets that are sent one copy of a leader.
 LEVELS, SQUAD = 5, 64
 #: Bands of how far a set is from linking with its leader: 7 a - s - l exceeds these.
-EXCESS = (0, 28, 84, 196, 420, 868)
+EXCESS = (0, 28, 84, 196)
+_BAND_KEYS = tuple(int(x) for x in np.random.Generator(np.random.PCG64(9)).integers(-(2**63), 2**63 - 1, len(EXCESS)))
 #: A shingle is frequent when this many different sets hold it in one stretch of
 #: the input of about STRETCH shingles.
 FREQUENT, STRETCH = 3, 1 << 20
@@ -69,6 +70,7 @@ _META = "doc_id long, n long, node long, sketch array<long>, often array<long>"
 _TOKENS = "key long, node long"
 _MET = "a long, b long, crowded boolean"
 _COMMON = "a long, b long, common long"
+_LEVEL = "key long, node long, c long, left int, mass int"
 _FRAMES = "leader long, node long, linked boolean, n_index array<int>, band int, size int, mass int, tokens array<long>"
 
 
@@ -387,7 +389,12 @@ def _frames(texts: DataFrame, rows: DataFrame, frequent: bytes) -> DataFrame:
     """
     busy = rows.groupBy("node").agg(F.count("*").alias("buckets"))
     heads = rows.join(busy, "node").groupBy("key", "c").agg(F.max_by("node", F.struct("buckets", "node")).alias("leader"), F.max("buckets").alias("buckets"), F.count("*").alias("n"))
-    leads = heads.groupBy("key").agg(F.max_by("leader", F.struct("n", "buckets", "leader")).alias("leader"))
+    first = heads.groupBy("key").agg(F.max_by(F.struct("leader", "c"), F.struct("n", "buckets", "leader")).alias("x")).select("key", "x.*")
+    # A leader that sits in a bucket of one who leads more gives way to it: few leaders a set.
+    led = first.groupBy("leader").agg(F.count("*").alias("led"))
+    meets = rows.join(led.select(F.col("leader").alias("node")), "node").join(first.join(led, "leader"), ["key", "c"])
+    above = meets.groupBy("node").agg(F.max_by("leader", F.struct("led", "leader")).alias("above"))
+    leads = first.join(above.withColumnRenamed("node", "leader"), "leader").select("key", F.col("above").alias("leader"))
     asked = cut(rows.join(leads, "key").where("node <> leader").select("leader", "node").distinct(), "asked")
     dealt, heads = _squads(asked, "leader", "node")
     return (
@@ -402,19 +409,50 @@ def _component(comp: DataFrame, node: str, name: str) -> DataFrame:
     return comp.select(F.col("node").alias(node), F.col("component").alias(name))
 
 
+def _answering(bits: bytes):
+    """Index tokens of frames for the bands asked for, where a probe may hold the same."""
+    asked = np.frombuffer(bits, np.uint8)
+    band_keys = np.array(_BAND_KEYS, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(at, 1024) for at in range(0, batch.num_rows, 1024)):
+                key, row, at = [], [], []
+                for i, (tokens, n, bands) in enumerate(zip(part.column("tokens"), part.column("n_index").to_pylist(), part.column("bands").to_pylist(), strict=True)):
+                    held = tokens.values.to_numpy(zero_copy_only=False)
+                    for band in bands:
+                        keys = held[: n[band]] ^ band_keys[band]
+                        hit = np.flatnonzero(_in_bitmap(asked, keys.view(np.uint64)))
+                        key.append(keys[hit])
+                        at.append(hit)
+                        row.append(np.full(len(hit), i))
+                if not key:
+                    continue
+                row = pa.array(np.concatenate(row))
+                left = part.column("size").take(row).to_numpy() - np.concatenate(at).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(key)), part.column("node").take(row), part.column("c").take(row), pa.array(left, pa.int32()), part.column("mass").take(row)], ["key", "node", "c", "left", "mass"]
+                )
+
+    return run
+
+
 def _next_level(frames: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(index, probe) tokens(key, node, c, left, mass) of frames whose sets lie in several components.
 
     Only sets in another component than their leader (``few``) probe: a pair that
-    matters holds one.  left: elements from the token on, at most so many are shared.
+    matters holds one.  Index tokens that no probe can meet stay out, by a bitmap of
+    fixed size.  left: elements from the token on, at most so many are shared.
     """
     placed = frames.join(_component(comp, "node", "c"), "node", "left").join(_component(comp, "leader", "of"), "leader", "left")
     placed = placed.withColumn("c", F.coalesce("c", "node")).withColumn("few", F.col("c") != F.coalesce("of", "leader"))
-    bands = placed.where("few").select("leader", "band").distinct()
-    tokens = lambda df, n: df.select("node", "c", "size", "mass", "band", F.posexplode(n).alias("at", "token"))
-    told = lambda df: df.select(F.xxhash64("token", "band").alias("key"), "node", "c", (F.col("size") - F.col("at")).alias("left"), "mass")
-    index = tokens(placed.drop("band").join(bands, "leader"), F.slice("tokens", 1, F.get("n_index", "band")))
-    return told(index), told(tokens(placed.where("few"), F.col("tokens")))
+    band_key = F.get(F.array(*map(F.lit, _BAND_KEYS)), F.col("band"))
+    spread = placed.where("few").select("node", "c", "size", "mass", band_key.alias("band_key"), F.posexplode("tokens").alias("at", "token"))
+    probe = cut(spread.select(F.col("token").bitwiseXOR(F.col("band_key")).alias("key"), "node", "c", (F.col("size") - F.col("at")).alias("left"), "mass"), "probe")
+    bits = _bitmap(frames.sparkSession, probe, _key_position("key"))
+    bands = placed.where("few").groupBy("leader").agg(F.collect_set("band").alias("bands"))
+    index = placed.join(bands, "leader").select("node", "c", "size", "mass", "n_index", "bands", "tokens").mapInArrow(_answering(bits), _LEVEL)
+    return cut(index, "index"), probe
 
 
 def _deal(index: DataFrame, probe: DataFrame) -> tuple[DataFrame, DataFrame]:
