@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -58,14 +59,13 @@ def analyse(fields: DataFrame, shape: tuple[int, int], degrees: int | None = Non
     weights = 2 * math.pi * quadrature(h)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = list(islice(legendre(h, degrees), w // 2 + 1))  # once a task
         for batch in batches:
-            x = np.array(batch.column("field").to_pylist(), dtype=float).reshape(-1, h, w)
+            x = batch.column("field").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, h, w)
             first = x[:, :1, :1]
             centre = first + (x - first).mean(axis=(1, 2), keepdims=True)
             waves = np.fft.rfft(x - centre, norm="forward")
-            for m, p in enumerate(legendre(h, degrees)):
-                if m >= waves.shape[2]:
-                    break
+            for m, p in enumerate(table):
                 c = (waves[:, :, m] * weights) @ p.T
                 if m == 0:
                     c[:, 0] += centre[:, 0, 0] * math.sqrt(4 * math.pi)

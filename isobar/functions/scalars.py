@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from itertools import takewhile
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ def is_finite(x: Column) -> Column:
 
 
 def guarded_divide(num: Column, den: Column, least: float = 1e-12) -> Column:
-    """num / den where den exceeds ``least``, else null."""
-    return F.when(den > least, num / den)
+    """num / den where den exceeds ``least``, else null (also for a den that is NaN)."""
+    return F.when((den > least) & ~F.isnan(den.cast("double")), num / den)
 
 
 def warmup_cosine(update: Column, total: int, warmup: int, start: float, floor: float) -> Column:
@@ -57,8 +58,9 @@ def epoch_ns(ts: Column) -> Column:
 
 
 def version_numbers(version: Column) -> Column:
-    """Leading integer of each dotted piece."""
-    parts = F.transform(F.split(version, "\\."), lambda p: F.regexp_extract(p, "^([0-9]+)", 1))
+    """Leading integers of the dotted pieces before the first that has none."""
+    known = F.regexp_extract(version, "^[0-9]+[^.]*(?:\\.[0-9]+[^.]*)*", 0)
+    parts = F.transform(F.split(known, "\\."), lambda p: F.regexp_extract(p, "^([0-9]+)", 1))
     return F.transform(F.filter(parts, lambda p: p != ""), lambda p: p.cast("int"))
 
 
@@ -77,7 +79,8 @@ def differences(saved: dict, current: dict) -> list[str]:
 
 
 def split_version(version: str) -> tuple[int, ...]:
-    return tuple(int(m[0]) for p in version.split(".") if (m := re.match(r"[0-9]+", p)))
+    leads = (re.match(r"[0-9]+", piece) for piece in version.split("."))
+    return tuple(int(m[0]) for m in takewhile(bool, leads))
 
 
 def spectral_parameters(embed: int, layers: int, channels_in: int, channels_out: int, modes: int) -> int:

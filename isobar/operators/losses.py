@@ -69,7 +69,7 @@ def spectral(pairs: DataFrame, by: list[str], shape: tuple[int, int], order: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.array(batch.column(c).to_pylist(), dtype=float).reshape(-1, h, w) for c in ("p", "y"))
+            a, b = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, h, w) for c in ("p", "y"))
             gap = np.abs(np.fft.rfft2(a, norm="ortho") - np.fft.rfft2(b, norm="ortho")) ** order
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), pa.array((gap * twice).sum(axis=(1, 2)) / (h * w))], [*by, "x"])
 

@@ -66,5 +66,8 @@ def constant_weights(channels: DataFrame) -> DataFrame:
 
 
 def add_noise(cells: DataFrame, std: float, seed: int) -> DataFrame:
-    """Gaussian input noise (training inputs only)."""
-    return cells.withColumn("value", F.col("value") + std * F.randn(seed))
+    """Gaussian input noise (training inputs only): a function of cell and seed, however rows are partitioned."""
+    keys = [c for c in ("sample_idx", "t_idx", "channel_idx", "lat_idx", "lon_idx") if c in cells.columns]
+    unit = lambda k: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), *keys), 11).cast("double") + 0.5) / float(1 << 53)
+    normal = F.sqrt(-2 * F.log(unit(0))) * F.cos(2 * F.pi() * unit(1))  # Box-Muller
+    return cells.withColumn("value", F.col("value") + std * normal)

@@ -2,29 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def area_moments(cells: DataFrame, lat: DataFrame, by: list[str]) -> DataFrame:
-    """by, mean, std: area-weighted, population; NaN poisons its group.
+def merge_moments(parts: DataFrame, by: list[str]) -> DataFrame:
+    """by, w, mean, m2 of ``parts(by, w, mean, m2)``: weights, means and centred squares of disjoint parts.
 
-    Centred in a second pass over the pre-aggregated means (a broadcast of one
-    row per group of ``by``: channels), so large offsets do not cancel.
+    The general pairwise update: the spread of the parts' means adds to their own.
+    Only differences to the joint mean are squared, so large offsets do not cancel.
     """
-    w = cells.join(F.broadcast(lat.select("lat_idx", "area_w")), "lat_idx")
-    mean = w.groupBy(*by).agg((F.sum(F.col("value") * F.col("area_w")) / F.sum("area_w")).alias("mean"))
-    d = F.col("value") - F.col("mean")
-    return w.join(F.broadcast(mean), by).groupBy(*by).agg(F.max("mean").alias("mean"), F.sqrt(F.sum(d * d * F.col("area_w")) / F.sum("area_w")).alias("std"))
+    joint = parts.groupBy(*by).agg(F.sum("w").alias("w"), (F.sum(F.col("w") * F.col("mean")) / F.sum("w")).alias("joint"))
+    told = parts.select(*by, F.col("w").alias("part_w"), "mean", "m2").join(joint, by)
+    d = F.col("mean") - F.col("joint")
+    return told.groupBy(*by).agg(F.max("w").alias("w"), F.max("joint").alias("mean"), F.sum(F.col("m2") + F.col("part_w") * d * d).alias("m2"))
+
+
+def row_moments(cells: DataFrame, lat: DataFrame, by: list[str]) -> DataFrame:
+    """by, lat_idx, w, mean, m2: one scan, combined map-side; a latitude has one weight, so the
+    centred moments of its cells are the plain ones."""
+    rows = cells.groupBy(*by, "lat_idx").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("v"))
+    w = rows.join(F.broadcast(lat.select("lat_idx", "area_w")), "lat_idx").withColumn("w", F.col("n") * F.col("area_w"))
+    return w.select(*by, "lat_idx", "w", "mean", (F.col("w") * F.col("v")).alias("m2"))
+
+
+def field_moments(fields: DataFrame, area_w: list[float], n_lon: int) -> DataFrame:
+    """t_idx, channel_idx, w, mean, m2 of ``fields(t_idx, channel_idx, field)``: a narrow map over row-major arrays."""
+    weight = F.lit([w for w in area_w for _ in range(n_lon)]).cast("array<double>")
+    pair = F.zip_with("field", weight, lambda x, w: F.struct(x.cast("double").alias("x"), w.alias("w")))
+    total = float(sum(area_w)) * n_lon
+    mean = F.aggregate(pair, F.lit(0.0), lambda s, p: s + p["w"] * p["x"]) / total
+    held = fields.select("t_idx", "channel_idx", pair.alias("pair"), mean.alias("mean"))
+    d = lambda p: p["x"] - F.col("mean")
+    return held.select("t_idx", "channel_idx", F.lit(total).alias("w"), "mean", F.aggregate("pair", F.lit(0.0), lambda s, p: s + p["w"] * d(p) * d(p)).alias("m2"))
+
+
+def mean_std(moments: DataFrame, by: list[str]) -> DataFrame:
+    return moments.select(*by, "mean", F.sqrt(F.col("m2") / F.col("w")).alias("std"))
+
+
+def area_moments(cells: DataFrame, lat: DataFrame, by: list[str]) -> DataFrame:
+    """by, mean, std: area-weighted, population; NaN poisons its group.  One scan."""
+    return mean_std(merge_moments(row_moments(cells, lat, by), by), by)
 
 
 def slice_moments(cells: DataFrame, lat: DataFrame) -> DataFrame:
     """channel_idx, t_idx, m, v: weighted mean and variance of every slice."""
-    w = cells.join(F.broadcast(lat.select("lat_idx", "area_w")), "lat_idx")
     keys = ["channel_idx", "t_idx"]
-    mean = w.groupBy(*keys).agg((F.sum(F.col("value") * F.col("area_w")) / F.sum("area_w")).alias("m"))
-    d = F.col("value") - F.col("m")
-    return w.join(mean, keys).groupBy(*keys).agg(F.max("m").alias("m"), (F.sum(d * d * F.col("area_w")) / F.sum("area_w")).alias("v"))
+    return merge_moments(row_moments(cells, lat, keys), keys).select(*keys, F.col("mean").alias("m"), (F.col("m2") / F.col("w")).alias("v"))
 
 
 def two_stage_moments(cells: DataFrame, lat: DataFrame) -> DataFrame:
@@ -37,9 +62,14 @@ def two_stage_moments(cells: DataFrame, lat: DataFrame) -> DataFrame:
 
 
 def time_difference(cells: DataFrame, step: int) -> DataFrame:
-    """x[t + step] - x[t] by position, at t; an equi-join on t, not a label match."""
-    later = cells.select((F.col("t_idx") - step).alias("t_idx"), "channel_idx", "lat_idx", "lon_idx", F.col("value").alias("later"))
-    return cells.join(later, ["t_idx", "channel_idx", "lat_idx", "lon_idx"]).select("t_idx", "channel_idx", "lat_idx", "lon_idx", (F.col("later") - F.col("value")).alias("value"))
+    """x[t + step] - x[t] by position, at t; where there is no t + step there is no row.
+
+    One shuffle: a window over the times of a cell.
+    """
+    cell = ["channel_idx", "lat_idx", "lon_idx"]
+    at = Window.partitionBy(*cell).orderBy("t_idx").rangeBetween(step, step)
+    later = F.first(F.struct("value")).over(at)
+    return cells.select("t_idx", *cell, "value", later.alias("later")).where("later IS NOT NULL").select("t_idx", *cell, (F.col("later.value") - F.col("value")).alias("value"))
 
 
 def climatology(cells: DataFrame) -> DataFrame:

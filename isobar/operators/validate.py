@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,9 +85,16 @@ def schema_problems(df: DataFrame, schema) -> list[str]:
 
 
 def slice_digests(cells: DataFrame) -> DataFrame:
-    """t_idx, digest: SHA-256 of every slice's float32 payload in (channel, lat, lon) order."""
-    cell = F.struct("channel_idx", "lat_idx", "lon_idx", F.hex(F.col("value").cast("float").cast("string").cast("binary")).alias("x"))
-    return cells.groupBy("t_idx").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["x"]), ",").cast("binary"), 256).alias("digest"))
+    """t_idx, digest: SHA-256 over the channels' SHA-256 of their little-endian float32 payload in (lat, lon) order."""
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [hashlib.sha256(f.values.to_numpy(zero_copy_only=False).astype("<f4").tobytes()).hexdigest() for f in batch.column("field")]
+            yield pa.RecordBatch.from_arrays([batch.column("t_idx"), batch.column("channel_idx"), pa.array(told, pa.string())], ["t_idx", "channel_idx", "x"])
+
+    cell = F.struct("lat_idx", "lon_idx", F.col("value").cast("float").alias("value"))
+    fields = cells.groupBy("t_idx", "channel_idx").agg(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["value"]).alias("field"))
+    told = fields.mapInArrow(digest, "t_idx long, channel_idx int, x string")
+    return told.groupBy("t_idx").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("channel_idx", "x"))), lambda c: c["x"]), "").cast("binary"), 256).alias("digest"))
 
 
 def merkle_digest(cells: DataFrame) -> DataFrame:
@@ -97,7 +108,6 @@ def payload_digest(cells: DataFrame) -> str:
 
     Order-dependent by definition: rows stream to the driver one partition at a time.
     """
-    import hashlib
     import struct
 
     h = hashlib.sha256()

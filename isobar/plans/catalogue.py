@@ -173,6 +173,15 @@ def q_two_stage_moments(spark, d):
     return rounded(stats.two_stage_moments(c.train, c.lat))
 
 
+@query(ORACLES["q_area_mean_std"])
+def q_field_moments(spark, d):
+    """The same from the field layout: a narrow map per field, then one merge per channel."""
+    c = Ctx(spark, d)
+    weights = [r["area_w"] for r in c.lat.orderBy("lat_idx").collect()]
+    parts = stats.field_moments(state.to_fields(c.train), weights, state.LONS)
+    return rounded(stats.mean_std(stats.merge_moments(parts.drop("t_idx"), ["channel_idx"]), ["channel_idx"]))
+
+
 @query(
     f"WITH {S.STATE} SELECT channel_idx, round(min(value), 6) AS min_value, round(max(value), 6) AS max_value, round(avg(value), 6) AS mean_value, round(stddev_pop(value), 6) AS std_value, count(*) FILTER (WHERE isnan(value)) AS n_nan FROM state GROUP BY 1"
 )
@@ -719,8 +728,12 @@ def q_event_series(spark, d):
 
 
 def _scratch(spark: SparkSession, label: str) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints").rstrip("/")
-    return f"{root}/isobar-{label}-{uuid.uuid4().hex[:12]}"
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "/tmp/checkpoints"
+    return f"{root.rstrip('/')}/isobar-{label}-{uuid.uuid4().hex[:12]}"
 
 
 @query(f"WITH {S.STATE} SELECT channel_idx, count(*) AS n, round(sum(value), 6) AS total FROM state GROUP BY 1")
@@ -741,8 +754,7 @@ def q_stream_moments(spark, d):
     root = _scratch(spark, "moments")
     c = Ctx(spark, d)
     c.state.write.parquet(f"{root}/in")
-    name = f"moments_{uuid.uuid4().hex[:8]}"
-    return rounded(ingest.streaming_moments(ingest.stream_table(spark, f"{root}/in", 4), c.lat, name, f"{root}/checkpoint"))
+    return rounded(ingest.streaming_moments(ingest.stream_table(spark, f"{root}/in", 4), c.lat, f"{root}/moments", f"{root}/checkpoint"))
 
 
 @query(f"WITH {S.STATE} SELECT CAST(t_idx // 16 AS INTEGER) AS batch, count(*) AS n, round(sum(value), 6) AS total FROM state GROUP BY 1")

@@ -34,20 +34,29 @@ class Folder:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{name}")))
 
     def read_json(self, name: str) -> dict | None:
-        if not self.exists(name):
-            return None
+        if not self.exists(name):  # a writer may have died between its two renames
+            if not self.exists(f"{name}.old"):
+                return None
+            name = f"{name}.old"
         rows = self.spark.read.text(f"{self.root}/{name}", wholetext=True).collect()
         return json.loads(rows[0][0]) if rows else None
 
     def write_json(self, name: str, value: dict) -> None:
-        """Written aside, then renamed, so a reader never sees half of it."""
+        """Written aside, then renamed, so a reader never sees half of it.
+
+        The former file stays as ``.old`` until the new one is in place: at every
+        moment one of them is whole.
+        """
         self._fs.mkdirs(self._path(self.root))
         tmp = f".{name}.{uuid.uuid4().hex}"
         out = self._fs.create(self._path(f"{self.root}/{tmp}"), True)
         out.write(bytearray(json.dumps(value, indent=2, sort_keys=True, default=str).encode()))
         out.close()
-        self.delete(name)
+        if self.exists(name):
+            self.delete(f"{name}.old")
+            self.rename(name, f"{name}.old")
         self.rename(tmp, name)
+        self.delete(f"{name}.old")
 
 
 def download_contract(source: str, channels: list[str], start: str, end: str, stride_hours: int, resolution: float) -> dict:
@@ -91,9 +100,13 @@ class BatchStore:
         return saved["committed"]
 
     def append(self, batch: int, rows: DataFrame) -> None:
-        """Idempotent: a batch written twice is there once."""
+        """Idempotent: a batch written twice is there once.  A batch that leaves a gap is refused."""
+        saved = self.folder.read_json(self.journal)
+        done = saved["committed"] if saved else 0
+        if batch > done:
+            raise ValueError(f"batch {batch} does not follow the {done} committed ones")
         rows.write.mode("overwrite").parquet(f"{self.folder.root}/{self.partial}/batch={batch}")
-        self.folder.write_json(self.journal, {"committed": batch + 1, "contract": self.contract, "fingerprint": self.digest})
+        self.folder.write_json(self.journal, {"committed": max(done, batch + 1), "contract": self.contract, "fingerprint": self.digest})
 
     def table(self) -> DataFrame:
         at = self.partial if self.folder.exists(self.partial) else self.name
@@ -106,6 +119,7 @@ class BatchStore:
         self.folder.write_json(f"{self.name}.contract.json", {"contract": self.contract, "fingerprint": self.digest})
         self.folder.rename(self.partial, self.name)
         self.folder.delete(self.journal)
+        self.folder.delete(f"{self.journal}.old")
 
 
 def write_bundle(stats: DataFrame, clim: DataFrame, root: str, manifest: dict) -> None:

@@ -25,15 +25,23 @@ def ingest(stream: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def streaming_moments(stream: DataFrame, lat: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Weighted count, sum and sum of squares per channel, kept by the stream (order 1 values)."""
-    w = stream.join(F.broadcast(lat.select("lat_idx", "area_w")), "lat_idx")
-    x, a = F.col("value"), F.col("area_w")
-    sums = w.groupBy("channel_idx").agg(F.sum(a).alias("sw"), F.sum(a * x).alias("sx"), F.sum(a * x * x).alias("sxx"))
-    query = sums.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def streaming_moments(stream: DataFrame, lat: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """channel_idx, mean, std: area-weighted moments of everything the stream has brought.
+
+    Every micro-batch adds its own (weight, mean, centred squares) per channel to the
+    table ``out``, in a partition that a replay overwrites; they are merged on
+    reading.  Large offsets do not cancel, and no state is held by the driver.
+    """
+    from isobar.operators.stats import mean_std, merge_moments, row_moments
+
+    by = ["channel_idx"]
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        merge_moments(row_moments(batch, lat, by), by).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+
+    query = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    mean = F.col("sx") / F.col("sw")
-    return stream.sparkSession.table(name).select("channel_idx", mean.alias("mean"), F.sqrt(F.col("sxx") / F.col("sw") - mean * mean).alias("std"))
+    return mean_std(merge_moments(stream.sparkSession.read.parquet(out).drop("batch"), by), by)
 
 
 def event_series(events: DataFrame, hours: int, late: str = "1 hour") -> DataFrame:

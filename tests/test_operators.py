@@ -327,3 +327,105 @@ def test_spherical_query_returns_all_degrees(spark):
             assert got[t, c, l, m] == pytest.approx((z.real, z.imag), abs=2e-6)
     first = {(r.t_idx, r.channel_idx, r.l, r.m): (r.re, r.im) for r in catalogue.QUERIES["q_spherical_coefficients"](spark, d).collect()}
     assert first == {k: v for k, v in got.items() if k[2] < 2}
+
+
+def _offset_cells(spark, n_t=6):
+    """A state around 1e8 that varies by about 1, with the plain weighted answer."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x = 1e8 + r.normal(size=(n_t, 2, 5, 8))
+    rows = [(t, c, i, j, float(x[t, c, i, j])) for t in range(n_t) for c in range(2) for i in range(5) for j in range(8)]
+    cells = spark.createDataFrame(rows, "t_idx long, channel_idx int, lat_idx int, lon_idx int, value double")
+    w = np.array([0.1, 0.5, 1.0, 0.5, 0.1])
+    lat = spark.createDataFrame([(i, float(v)) for i, v in enumerate(w)], "lat_idx int, area_w double")
+    return x, w, cells, lat
+
+
+def _spread(x, w):
+    import numpy as np
+
+    full = np.broadcast_to(w[None, None, :, None], x.shape)
+    mean = (x * full).sum(axis=(0, 2, 3)) / full.sum(axis=(0, 2, 3))
+    return mean, np.sqrt((full * (x - mean[None, :, None, None]) ** 2).sum(axis=(0, 2, 3)) / full.sum(axis=(0, 2, 3)))
+
+
+def test_moments_of_large_offsets(spark, tmp_path):
+    from isobar.operators import stats
+    from isobar.streaming import ingest
+
+    x, w, cells, lat = _offset_cells(spark)
+    mean, std = _spread(x, w)
+    for t in range(3):
+        cells.where(f"t_idx % 3 = {t}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    arrays = cells.groupBy("t_idx", "channel_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("lat_idx", "lon_idx", "value"))), lambda c: c["value"]).alias("field"))
+    fields = stats.merge_moments(stats.field_moments(arrays, w.tolist(), 8), ["channel_idx"])
+    for out in (
+        stats.area_moments(cells, lat, ["channel_idx"]),
+        stats.two_stage_moments(cells, lat),
+        stats.mean_std(fields, ["channel_idx"]),
+        ingest.streaming_moments(ingest.stream_table(spark, f"{tmp_path}/in"), lat, f"{tmp_path}/out", f"{tmp_path}/checkpoint"),
+    ):
+        got = {r.channel_idx: r for r in out.collect()}
+        for c in range(2):
+            assert abs(got[c]["mean"] - mean[c]) < 1e-6 and abs(got[c]["std"] - std[c]) < 1e-6
+    step = {(r.t_idx, r.channel_idx, r.lat_idx, r.lon_idx): r.value for r in stats.time_difference(cells.where("t_idx <> 3"), 2).collect()}
+    assert {k[0] for k in step} == {0, 2} and abs(step[2, 1, 4, 7] - (x[4, 1, 4, 7] - x[2, 1, 4, 7])) < 1e-6
+
+
+def test_journal_survives_a_crash_between_its_renames(spark, tmp_path):
+    from isobar.sources import publish
+
+    contract = publish.download_contract("s", ["a"], "2024-01-01", "2024-01-02", 6, 1.0)
+    store = lambda: publish.BatchStore(spark, str(tmp_path), "state", contract)
+    rows = spark.range(3)
+    store().append(0, rows)
+    real = publish.Folder.rename
+
+    def dies(self, name, to):
+        if to.endswith("progress.json"):
+            raise KeyboardInterrupt
+        real(self, name, to)
+
+    publish.Folder.rename = dies
+    try:
+        with pytest.raises(KeyboardInterrupt):
+            store().append(1, rows)
+    finally:
+        publish.Folder.rename = real
+    assert store().resume() == 1  # batch 0 is still committed
+    store().append(1, rows)
+    with pytest.raises(ValueError, match="does not follow"):
+        store().append(4, rows)
+    assert store().resume() == 2 and store().table().count() == 6
+
+
+def test_noise_does_not_depend_on_partitions(spark):
+    from isobar.operators import normalize
+
+    _, _, cells, _ = _offset_cells(spark)
+    a, b = (sorted(normalize.add_noise(cells.repartition(n), 1.0, 5).collect()) for n in (2, 7))
+    assert a == b
+    noise = [r.value for r in normalize.add_noise(cells.withColumn("value", F.lit(0.0)), 1.0, 5).collect()]
+    assert abs(sum(noise) / len(noise)) < 0.2 and 0.85 < (sum(v * v for v in noise) / len(noise)) ** 0.5 < 1.15
+
+
+def test_versions_stop_at_the_first_word(spark):
+    cases = {"2.rc.1": (2,), "2.10.1rc1": (2, 10, 1), "rc.1": (), "3": (3,), "1rc2.4": (1, 4)}
+    rows = spark.createDataFrame([(v,) for v in cases], "v string").select("v", scalars.version_numbers(F.col("v")).alias("n")).collect()
+    assert {r.v: tuple(r.n) for r in rows} == cases and all(scalars.split_version(v) == n for v, n in cases.items())
+
+
+def test_guarded_division_of_nan(spark):
+    rows = spark.createDataFrame([(1.0, 2.0), (1.0, float("nan")), (1.0, 0.0), (1.0, None)], "a double, b double")
+    assert [r.x for r in rows.select(scalars.guarded_divide(F.col("a"), F.col("b")).alias("x")).collect()] == [0.5, None, None, None]
+
+
+def test_payload_digest_tells_small_edits(spark):
+    from isobar.operators import validate
+
+    _, _, cells, _ = _offset_cells(spark)
+    edited = cells.withColumn("value", F.when((F.col("t_idx") == 2) & (F.col("lat_idx") == 1) & (F.col("lon_idx") == 1), F.col("value") + 16).otherwise(F.col("value")))
+    a, b = ({r.t_idx: r.digest for r in validate.slice_digests(x).collect()} for x in (cells, edited))
+    assert [t for t in a if a[t] != b[t]] == [2]
+    assert validate.merkle_digest(cells).first() == validate.merkle_digest(cells.repartition(5)).first() != validate.merkle_digest(edited).first()
