@@ -11,11 +11,13 @@ def merge_moments(parts: DataFrame, by: list[str]) -> DataFrame:
 
     The general pairwise update: the spread of the parts' means adds to their own.
     Only differences to the joint mean are squared, so large offsets do not cancel.
+    One shuffle, of the parts (a few numbers each).
     """
-    joint = parts.groupBy(*by).agg(F.sum("w").alias("w"), (F.sum(F.col("w") * F.col("mean")) / F.sum("w")).alias("joint"))
-    told = parts.select(*by, F.col("w").alias("part_w"), "mean", "m2").join(joint, by)
+    group = Window.partitionBy(*by)
+    joint = F.sum(F.col("w") * F.col("mean")).over(group) / F.sum("w").over(group)
     d = F.col("mean") - F.col("joint")
-    return told.groupBy(*by).agg(F.max("w").alias("w"), F.max("joint").alias("mean"), F.sum(F.col("m2") + F.col("part_w") * d * d).alias("m2"))
+    told = parts.withColumn("joint", joint)
+    return told.groupBy(*by).agg(F.sum("w").alias("w"), F.max("joint").alias("mean"), F.sum(F.col("m2") + F.col("w") * d * d).alias("m2"))
 
 
 def row_moments(cells: DataFrame, lat: DataFrame, by: list[str]) -> DataFrame:
