@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from isobar import schema
 from isobar.functions import grid, harmonics, scalars
 from isobar.operators import forecast as fc
-from isobar.operators import contracts, losses, metrics, normalize, select, stats, training, validate, windows
+from isobar.operators import battery, contracts, losses, metrics, normalize, select, stats, training, validate, windows
 from isobar.plans import sql as S
-from isobar.sources import publish, state
+from isobar.sources import identity, publish, state
 from isobar.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -771,3 +771,88 @@ def q_batch_store(spark, d):
         store.append(b, rows(b))
     store.publish(lambda t: validate.cadence(t.select("t_idx", "ts").distinct()).where("NOT regular"))
     return rounded(spark.read.parquet(f"{root}/state").groupBy("batch").agg(F.count("*").alias("n"), F.sum("value").alias("total")))
+
+
+# --- validation battery, identities, split tables ----------------------------
+
+
+def _spans(c: Ctx) -> dict[str, DataFrame]:
+    a, b, n = c.cut
+    return {s: c.state.where((F.col("t_idx") >= x) & (F.col("t_idx") < y)) for s, x, y in (("train", 0, a), ("valid", a, b), ("test", b, n))}
+
+
+def _report(units: str, x: str, y: str, z: str) -> str:
+    """The battery's rows for splits x, y, z in this order."""
+    return f"""WITH {S.BASE}, {S.NORM}, part AS (SELECT *, CASE WHEN t_idx < a THEN 'train' WHEN t_idx < b THEN 'valid' ELSE 'test' END AS split FROM state, cut),
+per AS (SELECT split, t_idx, count(*) AS n, count(*) FILTER (WHERE NOT isfinite(value)) AS bad FROM part GROUP BY 1, 2),
+span AS (SELECT split, count(*) AS n_times, min(t_idx) AS lo, max(t_idx) AS hi, min(n) AS least, max(n) AS most, sum(bad) AS bad FROM per GROUP BY 1),
+ch AS (SELECT count(DISTINCT channel_idx) AS c FROM state)
+SELECT 'statistics_values' AS "check", NULL AS split, (SELECT bool_and(isfinite(m) AND isfinite(sd) AND sd > 0) FROM st) AS passed
+UNION ALL SELECT 'statistics_channels', NULL, (SELECT count(*) FROM st) = c FROM ch
+UNION ALL SELECT 'climatology_shape', NULL, (SELECT count(*) FROM clim) = c * 56 FROM ch
+UNION ALL SELECT 'climatology_values', NULL, (SELECT bool_and(isfinite(clim)) FROM clim)
+UNION ALL SELECT 'units', NULL, {units}
+UNION ALL SELECT 'global_grid', NULL, (SELECT max(latitude) = 90 AND min(latitude) = -90 FROM dlat)
+UNION ALL SELECT 'cells', split, least = c * 56 AND most = c * 56 FROM span, ch
+UNION ALL SELECT 'cadence', split, n_times >= 2 AND hi - lo + 1 = n_times FROM span
+UNION ALL SELECT 'finite', split, bad = 0 FROM span
+UNION ALL SELECT 'same_cadence', NULL, (SELECT min(n_times) >= 2 FROM span)
+UNION ALL SELECT 'order', '{y}', (SELECT hi FROM span WHERE split = '{x}') < (SELECT lo FROM span WHERE split = '{y}')
+UNION ALL SELECT 'order', '{z}', (SELECT hi FROM span WHERE split = '{y}') < (SELECT lo FROM span WHERE split = '{z}')"""
+
+
+def _battery(c: Ctx, splits: dict[str, DataFrame], units: str) -> DataFrame:
+    channels = c.channels.select("channel_idx", "channel", F.lit(units).alias("units"))
+    report = battery.validation_report(splits, c.lat, c.lon, channels, c.stats, stats.climatology(c.train), full_scan=True)
+    return report.select("check", "split", "passed")
+
+
+@query(_report("TRUE", "train", "valid", "test"))
+def q_validation_report(spark, d):
+    c = Ctx(spark, d)
+    return _battery(c, _spans(c), "1")
+
+
+@query(_report("FALSE", "test", "train", "valid"))
+def q_validation_report_failing(spark, d):
+    """Splits in a wrong order and channels without units."""
+    c = Ctx(spark, d)
+    parts = _spans(c)
+    return _battery(c, {s: parts[s] for s in ("test", "train", "valid")}, "")
+
+
+@query(
+    f"WITH {S.STATE}, part AS (SELECT *, CASE WHEN t_idx < 4 THEN 'train' WHEN t_idx < 8 THEN 'valid' ELSE 'test' END AS split FROM state) SELECT split, count(DISTINCT t_idx) AS n_times, count(*) AS n_cells, round(sum(value), 6) AS total FROM part GROUP BY 1"
+)
+def q_split_tables(spark, d):
+    """Three splits in one table, cut at the ends of days, read back."""
+    root = _scratch(spark, "splits")
+    identity.write_splits(state.driver_state(spark, d), f"{root}/state", "2024-01-01", "2024-01-02")
+    back = spark.read.parquet(f"{root}/state")
+    return rounded(back.groupBy("split").agg(F.count_distinct("t_idx").alias("n_times"), F.count("*").alias("n_cells"), F.sum("value").alias("total")))
+
+
+@query(f"WITH {S.STATE} SELECT channel_idx, count(*) AS n, round(sum(value), 6) AS total FROM state WHERE t_idx BETWEEN 4 AND 7 GROUP BY 1")
+def q_day_sample(spark, d):
+    """One day, written over another one, read back."""
+    root, cells = _scratch(spark, "sample"), state.driver_state(spark, d)
+    identity.write_sample(cells, f"{root}/day", "2024-01-01")
+    identity.write_sample(cells, f"{root}/day", "2024-01-02", overwrite=True)
+    return rounded(spark.read.parquet(f"{root}/day").groupBy("channel_idx").agg(F.count("*").alias("n"), F.sum("value").alias("total")))
+
+
+@query("SELECT event_type, count(value) AS n_runs, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1")
+def q_run_summary(spark, d):
+    return rounded(battery.run_summary(state.read_table(spark, d, "events"), ["event_type"], "value"))
+
+
+_SOURCE = ["time", "latitude", "longitude"]
+
+
+@query("SELECT 'missing variable' AS problem, '2m_temperature' AS name UNION ALL SELECT 'unexpected dimensions', 'geopotential' UNION ALL SELECT 'missing level', '850'")
+def q_source_contract(spark, d):
+    """A source that lacks a variable, a level, and the level dimension of another variable."""
+    flat = [(v, _SOURCE) for v in schema.SURFACE_VARIABLES if v != "2m_temperature"]
+    deep = [(v, _SOURCE if v == "geopotential" else [*_SOURCE, "level"]) for v in schema.PRESSURE_VARIABLES]
+    levels = spark.createDataFrame([(p,) for p in schema.PRESSURE_LEVELS if p != 850], "level int")
+    return battery.source_problems(spark.createDataFrame(flat + deep, "variable string, dims array<string>"), levels)
