@@ -16,9 +16,13 @@ number grows with the logarithm of the input.  M and projections are chosen per
 vector length.  A length of at most ``FEW`` distinct vectors is compared in full, and
 so is a query for which the tables hold fewer candidates than asked for.
 
-Equal vectors are one candidate; a bucket's vectors and the queries that visit it
-are dealt in blocks of about ``PART`` each, so neither copies nor crowded buckets
-nor popular ones gather in one task.
+Buckets that share their leading cells form a group of about ``PART`` vectors
+(fewer, if long).  A query goes to a group once, with the list of the buckets that it visits
+there, and takes its best vectors from the group, not from every bucket.
+
+Equal vectors are one candidate; a group's vectors and the queries that come to it
+are dealt in blocks of about that size, so neither copies nor crowded buckets nor
+popular ones gather in one task.
 """
 
 from __future__ import annotations
@@ -36,9 +40,10 @@ from .storage import cut
 #: Parameters of the production query: neighbours, tables, cell width in units of
 #: M, and success estimate at which a table's probing ends.
 NEIGHBOURS, TABLES, WIDTH, SUCCESS = 20, 2, 1.4, 0.82
-PART = 4096
+#: Vectors, and queries, that a task compares: so many, and of long ones so many numbers in all.
+PART, BLOCK = 16384, 2**20
 #: Distinct vectors of a length up to which all are compared.
-FEW = PART
+FEW = 4096
 #: Vectors of a length that products are estimated on, and vectors a bucket holds on average.
 SAMPLE, FILL = 4096, 512
 _CELL_BITS = 1.56  # entropy of a projection's cell at this width
@@ -80,27 +85,33 @@ def _by_length(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(size == d))
 
 
-def _whole(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
-    """Rows of a length that is not hashed: one bucket of a table of its own."""
+def _group(codes: np.ndarray, k: int, lead: int) -> np.ndarray:
+    low, high = _cell_range()
+    return codes // (high - low + 1) ** (k - lead)
+
+
+def _rows(names: list[str], batch: pa.RecordBatch, t: int, group: np.ndarray, buckets) -> pa.RecordBatch:
     n = batch.num_rows
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, TABLES, np.int32)), batch.column("dim"), pa.array(np.zeros(n, np.int64)), batch.column("rep"), batch.column("v")], names)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), batch.column("dim"), pa.array(group), pa.array(buckets), batch.column("rep"), batch.column("v")], names)
 
 
 def _index(plan: dict[int, tuple]):
-    names = ["t", "dim", "bucket", "rep", "v"]
+    names = ["t", "dim", "grp", "bucket", "rep", "v"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _by_length(whole):
                 if (dim := batch.column("dim")[0].as_py()) not in plan:
-                    yield _whole(batch, names)
+                    # a length that is not hashed: one bucket of a table of its own
+                    none = np.zeros(batch.num_rows, np.int64)
+                    yield _rows(names, batch, TABLES, none, none)
                     continue
-                k, bound = plan[dim][:2]
+                k, lead, bound = plan[dim][:3]
                 x = _matrix(batch.column("v"))
                 rest = np.sqrt(np.maximum(bound**2 - (x**2).sum(axis=1, keepdims=True), 0))
                 for t in range(TABLES):
                     bucket = _code(_cells(np.hstack([x, rest]), t, x.shape[1], k, bound))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), batch.column("dim"), pa.array(bucket), batch.column("rep"), batch.column("v")], names)
+                    yield _rows(names, batch, t, _group(bucket, k, lead), bucket)
 
     return run
 
@@ -127,8 +138,8 @@ def _visits(chance: np.ndarray) -> np.ndarray:
     return code[: int(np.searchsorted(np.cumsum(p), SUCCESS)) + 1]
 
 
-def _probe(plan: dict[int, tuple[int, float, int, np.ndarray]]):
-    names = ["t", "dim", "bucket", "query", "v"]
+def _probe(plan: dict[int, tuple]):
+    names = ["t", "dim", "grp", "buckets", "query", "v"]
     low, high = _cell_range()
     span = np.arange(low, high + 1)
 
@@ -136,9 +147,9 @@ def _probe(plan: dict[int, tuple[int, float, int, np.ndarray]]):
         for whole in batches:
             for batch in _by_length(whole):
                 if (dim := batch.column("dim")[0].as_py()) not in plan:
-                    yield _whole(batch, names)
+                    yield _rows(names, batch, TABLES, np.zeros(batch.num_rows, np.int64), [bytes(8)] * batch.num_rows)
                     continue
-                k, bound, place, sample = plan[dim]
+                k, lead, bound, place, sample = plan[dim]
                 every = _matrix(batch.column("v"))
                 for at in range(0, len(every), 256):
                     part, q = batch.slice(at, 256), every[at : at + 256]
@@ -154,10 +165,14 @@ def _probe(plan: dict[int, tuple[int, float, int, np.ndarray]]):
                         below = _normal_cdf((edge - mean[:, :, None]) / sd)
                         below[:, :, 0] = 0.0
                         chance = np.diff(np.concatenate([below, np.ones_like(below[:, :, :1])], axis=2), axis=2)
-                        found = [_visits(c) for c in chance]
-                        who = pa.array(np.repeat(np.arange(len(q)), [len(f) for f in found]))
-                        sent = [part.column(c).take(who) for c in ("dim", "rep", "v")]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), t, np.int32)), sent[0], pa.array(np.concatenate(found)), *sent[1:]], names)
+                        who, groups, lists = [], [], []
+                        for i, c in enumerate(chance):
+                            codes = np.sort(_visits(c))  # a group's codes follow each other
+                            there, first = np.unique(_group(codes, k, lead), return_index=True)
+                            who += [i] * len(there)
+                            groups.append(there)
+                            lists += [b.tobytes() for b in np.split(codes, first[1:])]
+                        yield _rows(names, part.take(pa.array(who)), t, np.concatenate(groups), lists)
 
     return run
 
@@ -165,38 +180,67 @@ def _probe(plan: dict[int, tuple[int, float, int, np.ndarray]]):
 _TOP = pa.schema([("query", pa.int64()), ("rep", pa.int64()), ("score", pa.float64())])
 
 
+def _first(found: list[tuple[np.ndarray, ...]], top: int) -> tuple[np.ndarray, ...]:
+    """The best ``top`` of (query, rep, score) for each query, ties to the smaller rep."""
+    a, rep, score = (np.concatenate(v) for v in zip(*found, strict=True))
+    order = np.lexsort((rep, -score, a))
+    a, rep, score = a[order], rep[order], score[order]
+    good = np.arange(len(a)) - np.searchsorted(a, a) < top
+    return a[good], rep[good], score[good]
+
+
+def _compared(q: np.ndarray, who: np.ndarray, x: np.ndarray, rep: np.ndarray, top: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The best ``top`` vectors of a bucket for each query ``who`` of q that visits it."""
+    keep = min(top, len(x))
+    far = np.sqrt((x**2).sum(axis=1).max())
+    step = max(1, 2**21 // len(x))
+    for at in range(0, len(who), step):
+        mine = q[who[at : at + step]]
+        rough = mine @ x.T
+        least = -np.partition(-rough, keep - 1, axis=1)[:, keep - 1] - 1e-12 * far * np.sqrt((mine**2).sum(axis=1))
+        a, b = np.nonzero(~(rough < least[:, None]))
+        # summed in one fixed order, so a pair has one score wherever it is met
+        score = np.concatenate([(mine[a[i : i + 8192]] * x[b[i : i + 8192]]).sum(axis=1) for i in range(0, len(a), 8192)])
+        yield _first([(who[at + a], rep[b], score)], keep)
+
+
 def _rank(top: int):
-    """The best ``top`` vectors of a block for each query of a block, ties to the smaller rep."""
+    """The best ``top`` vectors of a block for each query of a block, in the buckets that it visits."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _TOP.empty_table()
-        x = _matrix(left.column("v").combine_chunks())
-        rep = left.column("rep").to_numpy()
-        query = right.column("query").to_numpy()
-        keep = min(top, len(x))
-        far = np.sqrt((x**2).sum(axis=1).max())
+        bucket = left.column("bucket").to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        x = _matrix(left.column("v").combine_chunks())[order]
+        rep = left.column("rep").to_numpy()[order]
+        codes, start = np.unique(bucket[order], return_index=True)
+        stop = np.append(start[1:], len(x))
         out = []
-        for at in range(0, len(query), 256):
-            part = right.slice(at, 256)
+        for at in range(0, right.num_rows, 1024):
+            part = right.slice(at, 1024)
             q = _matrix(part.column("v").combine_chunks())
-            rough = q @ x.T
-            least = -np.partition(-rough, keep - 1, axis=1)[:, keep - 1] - 1e-12 * far * np.sqrt((q**2).sum(axis=1))
-            a, b = np.nonzero(~(rough < least[:, None]))
-            # summed in one fixed order, so a pair has one score wherever it is met
-            score = np.concatenate([(q[a[i : i + 8192]] * x[b[i : i + 8192]]).sum(axis=1) for i in range(0, len(a), 8192)])
-            order = np.lexsort((rep[b], -score, a))
-            a, b, score = a[order], b[order], score[order]
-            good = np.arange(len(a)) - np.searchsorted(a, a) < keep
-            out.append((query[at + a[good]], rep[b[good]], score[good]))
+            lists = part.column("buckets").to_pylist()
+            visited = np.frombuffer(b"".join(lists), dtype=np.int64)
+            who = np.repeat(np.arange(len(q)), [len(v) // 8 for v in lists])
+            place = np.minimum(np.searchsorted(codes, visited), len(codes) - 1)
+            hit = np.flatnonzero(codes[place] == visited)
+            hit = hit[np.argsort(place[hit], kind="stable")]
+            edge = np.searchsorted(place[hit], np.arange(len(codes) + 1))
+            found = [f for i in range(len(codes)) if edge[i] < edge[i + 1] for f in _compared(q, who[hit[edge[i] : edge[i + 1]]], x[start[i] : stop[i]], rep[start[i] : stop[i]], top)]
+            if found:
+                a, b, c = _first(found, top)
+                out.append((part.column("query").to_numpy()[a], b, c))
+        if not out:
+            return _TOP.empty_table()
         a, b, c = (np.concatenate(v) for v in zip(*out, strict=True))
         return pa.Table.from_arrays([pa.array(a), pa.array(b), pa.array(c)], schema=_TOP)
 
     return run
 
 
-def _plans(reps: DataFrame, neighbours: int) -> dict[int, tuple[int, float, int, np.ndarray]]:
-    """Per hashed length: projections, M, place in the sample of the last neighbour, and the sample.
+def _plans(reps: DataFrame, neighbours: int) -> dict[int, tuple]:
+    """Per hashed length: projections, those of them that make a group, M, place in the sample of the last neighbour, and the sample.
 
     The driver gets SAMPLE vectors of each such length.  A length whose norms are not
     finite is not hashed.
@@ -213,7 +257,8 @@ def _plans(reps: DataFrame, neighbours: int) -> dict[int, tuple[int, float, int,
     for d, r in sizes.items():
         k = max(1, round(math.log2(max(r["n"] / FILL, 1)) / _CELL_BITS))
         place = math.ceil(neighbours * len(sample[d]) / r["n"])  # from 0, as the query itself may be there
-        out[d] = (k, r["norm"] * (1 + 1e-12), min(place, len(sample[d]) - 1), np.array([e for _, e in sorted(sample[d])]))
+        lead = min(k, int(math.log2(max(r["n"] / min(PART, max(BLOCK // d, 1)), 1)) / _CELL_BITS))
+        out[d] = (k, lead, r["norm"] * (1 + 1e-12), min(place, len(sample[d]) - 1), np.array([e for _, e in sorted(sample[d])]))
     return out
 
 
@@ -242,10 +287,10 @@ def nearest(vectors: DataFrame, is_query, neighbours: int = NEIGHBOURS) -> DataF
     plan = _plans(one, neighbours)
     flat = one.select("vec_id", "e", "h1", "h2").mapInArrow(_pack, "rep long, dim int, v binary, h1 long, h2 long")
     reps = cut(flat, "reps")
-    index = reps.select("rep", "dim", "v").mapInArrow(_index(plan), "t int, dim int, bucket long, rep long, v binary")
+    index = reps.select("rep", "dim", "v").mapInArrow(_index(plan), "t int, dim int, grp long, bucket long, rep long, v binary")
     wanted = usable.where(is_query).select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct()
     asked = cut(wanted.join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("query_id", F.col("rep").alias("query")), "asked")
-    probes = reps.join(asked.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi").select("rep", "dim", "v").mapInArrow(_probe(plan), "t int, dim int, bucket long, query long, v binary")
+    probes = reps.join(asked.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi").select("rep", "dim", "v").mapInArrow(_probe(plan), "t int, dim int, grp long, buckets binary, query long, v binary")
     members = firsts.join(one.select("h1", "h2", F.col("vec_id").alias("rep")), ["h1", "h2"]).select("rep", "vec_id")
     ranked = _ranked(_best(index, probes, neighbours), members, asked, neighbours)
     if not plan:
@@ -253,27 +298,26 @@ def nearest(vectors: DataFrame, is_query, neighbours: int = NEIGHBOURS) -> DataF
     ranked = cut(ranked, "ranked")
     full = ranked.groupBy("query_id").count().where(F.col("count") >= neighbours).select("query_id")
     short = cut(asked.join(full, "query_id", "left_anti").join(reps.where(F.col("dim").isin(*plan)).select(F.col("rep").alias("query"), "dim", "v"), "query"), "short")
-    blocks = -(-short.count() // PART)
-    if not blocks:
+    if short.isEmpty():
         return ranked
     # All vectors of the lengths in question, once for every block of such queries.
-    bucket = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("bucket")
-    every = reps.join(F.broadcast(short.select("dim").distinct()), "dim", "left_semi").select(F.lit(TABLES).alias("t"), "dim", bucket, "rep", "v")
-    left = short.dropDuplicates(["query"]).select(F.lit(TABLES).alias("t"), "dim", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("long").alias("bucket"), "query", "v")
+    none = F.lit(0).cast("long")
+    every = reps.join(F.broadcast(short.select("dim").distinct()), "dim", "left_semi").select(F.lit(TABLES).alias("t"), "dim", none.alias("grp"), none.alias("bucket"), "rep", "v")
+    left = short.dropDuplicates(["query"]).select(F.lit(TABLES).alias("t"), "dim", none.alias("grp"), F.lit(bytes(8)).alias("buckets"), "query", "v")
     again = _ranked(_best(every, left, neighbours), members, short.select("query_id", "query"), neighbours)
     return ranked.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(again)
 
 
 def _best(index: DataFrame, probes: DataFrame, neighbours: int) -> DataFrame:
-    """(query, rep, score): the best vectors of index(t, dim, bucket, rep, v) in the buckets of probes(t, dim, bucket, query, v)."""
-    keys = ["t", "dim", "bucket"]
+    """(query, rep, score): the best vectors of index(t, dim, grp, bucket, rep, v) in the buckets of probes(t, dim, grp, buckets, query, v)."""
+    keys = ["t", "dim", "grp"]
     block = ["part", "squad"]
-    count = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / PART).cast("int").alias(name))
+    count = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / F.least(F.lit(PART), F.greatest(F.floor(F.lit(BLOCK) / F.col("dim")), F.lit(1)))).cast("int").alias(name))
     both = count(index, "parts").join(count(probes, "squads"), keys)
     mine = lambda id_, n: F.pmod(F.xxhash64(id_), F.col(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    dealt = index.join(both, keys).withColumn("part", mine("rep", "parts")).withColumn("squad", all_("squads")).select(*keys, *block, "rep", "v")
-    sent = probes.join(both, keys).withColumn("squad", mine("query", "squads")).withColumn("part", all_("parts")).select(*keys, *block, "query", "v")
+    dealt = index.join(both, keys).withColumn("part", mine("rep", "parts")).withColumn("squad", all_("squads")).select(*keys, *block, "bucket", "rep", "v")
+    sent = probes.join(both, keys).withColumn("squad", mine("query", "squads")).withColumn("part", all_("parts")).select(*keys, *block, "buckets", "query", "v")
     found = dealt.groupBy(*keys, *block).cogroup(sent.groupBy(*keys, *block)).applyInArrow(_rank(neighbours + 1), "query long, rep long, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     return found.withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= neighbours + 1).dropDuplicates(["query", "rep"]).select("query", "rep", "score")
