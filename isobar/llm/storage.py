@@ -20,6 +20,10 @@ FALLBACK_DIR = "/tmp/checkpoints"
 #: held several times over by a task (both sides of the socket, input and output).
 BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
+#: With it the shuffle files of a write go when the write ends, not when the driver's
+#: garbage collector finds them; what was written is read from the shared folder.
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _RUN = uuid.uuid4().hex
 
 
@@ -61,7 +65,12 @@ def cut(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder (a folder per value of ``by``) and read it back: lineage is cut."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    before = spark.conf.get(CLEANUP_KEY, "false")
+    spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP_KEY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
