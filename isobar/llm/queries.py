@@ -1,11 +1,11 @@
-"""Registered queries of the ten operators, with production parameters, and their SQL."""
+"""Registered queries of the twelve operators, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, lines, mixing, near_dup, pii, sharding, toxicity
+from . import alignment, ann, chat, decontam, langid, lines, mixing, near_dup, pii, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,14 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(_table(spark, sf_dir, "documents")))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(_table(spark, sf_dir, "documents"))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +78,8 @@ QUERIES = {
         op8_nearest_neighbours,
         op9_language_id,
         op10_personal_data,
+        op11_cross_tokenizer_alignment,
+        op12_simhash_near_dedup,
     )
 }
 
