@@ -81,9 +81,3 @@ def differences(saved: dict, current: dict) -> list[str]:
 def split_version(version: str) -> tuple[int, ...]:
     leads = (re.match(r"[0-9]+", piece) for piece in version.split("."))
     return tuple(int(m[0]) for m in takewhile(bool, leads))
-
-
-def spectral_parameters(embed: int, layers: int, channels_in: int, channels_out: int, modes: int) -> int:
-    """Tensor elements of the spectral model, in closed form."""
-    hidden = 2 * embed
-    return layers * embed * embed * modes + layers * (2 * embed * hidden + hidden) + embed * (channels_in + channels_out) + layers * 4 * embed

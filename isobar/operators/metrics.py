@@ -7,6 +7,7 @@ map-side; nothing but metric rows leaves the executors.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,3 +122,51 @@ def early_stopping(history: DataFrame, min_delta: float, patience: int) -> DataF
     rows = history.agg(F.array_sort(F.collect_list(F.struct(F.col("epoch").cast("long").alias("epoch"), F.col("loss").cast("double").alias("loss")))).alias("h"))
     fold = rows.select(F.explode(F.aggregate("h", start, step, lambda a: a["out"])).alias("r")).select("r.*")
     return fold.withColumn("stopped", (F.lit(patience) > 0) & (F.col("stale") >= patience))
+
+
+# --- mergeable sums -------------------------------------------------------------
+
+_SUMMED = ("sw", "se2", "sae", "se", "svp", "svy")
+_EXACT = "decimal(38,18)"
+
+
+def sum_parts(samples: DataFrame, width: int) -> DataFrame:
+    """Per stretch of ``width`` samples, model, lead and channel: the sums of ``sample_sums``, in fixed point.
+
+    Each sample's numbers are rounded to 1e-18 and added as integers, so the result does
+    not depend on how rows are partitioned or in which order parts are merged, to the
+    last bit.  Normalised sums are of order one; above 1e20 in all is an error.  A
+    NaN makes its sum NaN.
+    """
+    keys = [F.floor(F.col("sample_idx") / width).cast("long").alias("stretch"), "model", "lead", "channel_idx"]
+    exact = lambda c: F.sum(F.when(~F.isnan(c), F.col(c)).cast(_EXACT)).alias(c)
+    bad = lambda c: F.coalesce(F.bool_or(F.isnan(c)), F.lit(False)).alias(f"{c}_nan")
+    columns = [*_SUMMED, "acc"]
+    return samples.groupBy(*keys).agg(*map(exact, columns), *map(bad, columns), F.count("acc").alias("n_acc"), F.count("*").alias("n_samples"))
+
+
+def merged_sums(parts: DataFrame) -> DataFrame:
+    """The parts of any stretches as ``channel_sums`` gives them (sacc: the sum of correlations)."""
+    value = lambda c: F.when(F.bool_or(f"{c}_nan"), F.lit(float("nan"))).otherwise(F.sum(c).cast("double"))
+    out = parts.groupBy("model", "lead", "channel_idx").agg(*(value(c).alias(c) for c in _SUMMED), F.coalesce(value("acc"), F.lit(0.0)).alias("sacc"), F.sum("n_acc").alias("n_acc"), F.sum("n_samples").alias("n_samples"))
+    return out
+
+
+def evaluate_stretches(spark, samples, n_samples: int, width: int, path: str) -> DataFrame:
+    """Sums over all samples, stretch by stretch; those that ``path`` already holds are not made again.
+
+    ``samples(first, end)``: the ``sample_sums`` of these samples.  Each missing run of
+    stretches is one write, of whole partitions that a rerun replaces; a run that was
+    broken off goes on from the stretches it has written.
+    """
+    wanted = range(-(-n_samples // width))
+    try:
+        held = {r[0] for r in spark.read.parquet(path).select("stretch").distinct().collect()}
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        held = set()
+    for k in (k for k in wanted if k not in held):
+        rows = sum_parts(samples(k * width, min(n_samples, (k + 1) * width)), width)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stretch").parquet(path)
+    return merged_sums(spark.read.parquet(path).where(F.col("stretch") < len(wanted)))

@@ -60,3 +60,14 @@ balw AS (SELECT channel_idx, w / sum(w) OVER () AS weight FROM bal)"""
 
 BASE = ", ".join([STATE, SPLIT, LAT, STATS])
 FULL = ", ".join([BASE, NORM, FORECAST, SUMS])
+
+# --- the whole of the vectors: 8 x 8 cells, no time left out -----------------
+
+WHOLE = """ranked AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t_idx FROM embeddings),
+nt AS (SELECT max(c) AS n FROM (SELECT count(*) AS c FROM embeddings GROUP BY label)),
+state AS (SELECT CAST(t_idx AS BIGINT) AS t_idx, CAST(label AS INTEGER) AS channel_idx, CAST((p - 1) // 8 AS INTEGER) AS lat_idx, CAST((p - 1) % 8 AS INTEGER) AS lon_idx,
+  CAST(embedding[p] AS DOUBLE) AS value FROM ranked, range(1, 65) g(p))"""
+
+WHOLE_LAT = LAT.replace("90.0 - 30.0 * i", "90.0 - 180.0 / 7 * i").replace("range(7)", "range(8)")
+WHOLE_BASE = ", ".join([WHOLE, SPLIT, WHOLE_LAT, STATS])
+WHOLE_FULL = ", ".join([WHOLE_BASE, NORM, FORECAST, SUMS])

@@ -90,3 +90,31 @@ def string_coordinate(channels: DataFrame, name: str, fallback: str) -> DataFram
     """A channel-aligned string column; the fallback where it is absent or null."""
     value = F.coalesce(F.col(name).cast("string"), F.lit(fallback)) if name in channels.columns else F.lit(fallback)
     return channels.select("channel_idx", value.alias(name))
+
+
+#: The whole of the driver's vectors: an 8 x 8 grid from pole to pole.
+WHOLE = (8, 8)
+#: Vectors of a label that are numbered together.
+_NUMBERED = 1 << 16
+
+
+def whole_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of the driver's table ``embeddings``, on a grid of 8 x 8."""
+    return fields_of(read_table(spark, sf_dir, "embeddings"))
+
+
+def fields_of(vectors: DataFrame) -> DataFrame:
+    """t_idx, ts, channel_idx, field: every vector of ``vectors(vec_id, embedding, label)``, whole, as a field.
+
+    The k-th vector of a label, by vec_id, is time k of that channel; channels may have
+    different numbers of times.  Numbers within a stretch of ids are offset by the
+    sizes of the stretches before it, so no task orders all vectors of a label.
+    """
+    stretch = F.floor(F.col("vec_id") / _NUMBERED)
+    e = vectors.select(F.col("label").cast("int").alias("channel_idx"), stretch.alias("stretch"), "vec_id", "embedding")
+    sizes = e.groupBy("channel_idx", "stretch").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("channel_idx").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("channel_idx", "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    own = F.row_number().over(Window.partitionBy("channel_idx", "stretch").orderBy("vec_id")) - 1
+    numbered = e.withColumn("k", own).join(offsets, ["channel_idx", "stretch"]).withColumn("t_idx", F.col("offset") + F.col("k"))
+    return numbered.select("t_idx", time_of(F.col("t_idx")).alias("ts"), "channel_idx", F.col("embedding").alias("field"))
