@@ -521,12 +521,12 @@ def q_loss_spectral_l2(spark, d):
     return rounded(losses.spectral(Ctx(spark, d).pairs(), ["lead"], (state.LATS, state.LONS), 2))
 
 
-@query()
+@query(f"{_PERS}, {S.SPECTRUM} SELECT CAST(lead AS INTEGER) AS lead, round(s, 6) AS loss FROM l1")
 def q_loss_spectral_l1(spark, d):
     return rounded(losses.spectral(Ctx(spark, d).pairs(), ["lead"], (state.LATS, state.LONS), 1))
 
 
-@query()
+@query(f"{_PERS}, {_MSE}, {S.SPECTRUM}, mse AS (SELECT lead, avg(x) AS x FROM per GROUP BY 1) SELECT CAST(lead AS INTEGER) AS lead, round(x + 0.1 * s, 6) AS loss FROM mse JOIN l1 USING (lead)")
 def q_loss_combined(spark, d):
     c = Ctx(spark, d)
     return rounded(losses.combined(c.pairs(), c.lat, ["lead"], (state.LATS, state.LONS), 0.1))
@@ -543,9 +543,11 @@ def q_spherical_coefficients(spark, d):
     return out.withColumns({c: F.col(c) + 0.0 for c in ("re", "im")})  # no negative zeros
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {S.STATE}, {S.LEGENDRE} SELECT t_idx, channel_idx, CAST(l AS INTEGER) AS l, CAST(m AS INTEGER) AS m, round(sum(value * w * p * cos(m * lon_idx * pi() / 4)) * pi() / 4, 6) + 0.0 AS re, round(sum(value * w * p * -sin(m * lon_idx * pi() / 4)) * pi() / 4, 6) + 0.0 AS im FROM state JOIN leg USING (lat_idx) GROUP BY ALL"
+)
 def q_spherical_coefficients_all(spark, d):
-    """All degrees the latitudes hold; the query above is their part that its SQL states (l <= 1)."""
+    """All degrees the latitudes hold; the query above is their part with l <= 1."""
     fields = state.to_fields(state.driver_state(spark, d))
     out = rounded(harmonics.analyse(fields, (state.LATS, state.LONS)))
     return out.withColumns({c: F.col(c) + 0.0 for c in ("re", "im")})
@@ -641,7 +643,9 @@ def q_missing_levels(spark, d):
     return validate.missing(want, schema.driver_channels(spark).where("pressure_hpa IS NOT NULL"), "pressure_hpa")
 
 
-@query()
+@query(
+    f"WITH {S.STATE}, {S.DIGESTS}, times AS (SELECT t_idx, sha256(string_agg(x, '' ORDER BY channel_idx)) AS d FROM slice GROUP BY 1) SELECT count(*) AS n_slices, 'merkle-1:' || sha256(string_agg(d, '' ORDER BY t_idx)) AS digest FROM times"
+)
 def q_payload_digest(spark, d):
     return validate.merkle_digest(state.driver_state(spark, d))
 

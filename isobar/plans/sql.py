@@ -61,6 +61,25 @@ balw AS (SELECT channel_idx, w / sum(w) OVER () AS weight FROM bal)"""
 BASE = ", ".join([STATE, SPLIT, LAT, STATS])
 FULL = ", ".join([BASE, NORM, FORECAST, SUMS])
 
+# Bytes of a float32, little-endian, as hex digits: sign, exponent and fraction by arithmetic.
+_FLOAT = """(SELECT *, abs(value) AS a, CASE WHEN value = 0 THEN 0 ELSE CAST(floor(log2(abs(value))) AS INTEGER) END AS e0 FROM state)"""
+DIGESTS = f"""exponent AS (SELECT *, CASE WHEN value = 0 THEN 0 WHEN a < pow(2.0, e0) THEN e0 - 1 WHEN a >= pow(2.0, e0 + 1) THEN e0 + 1 ELSE e0 END AS e FROM {_FLOAT}),
+bits AS (SELECT *, CASE WHEN value = 0 THEN 0 ELSE (CASE WHEN value < 0 THEN 2147483648 ELSE 0 END) + (CAST(e AS BIGINT) + 127) * 8388608 + CAST(round((a / pow(2.0, e) - 1) * 8388608) AS BIGINT) END AS b FROM exponent),
+hexed AS (SELECT t_idx, channel_idx, lat_idx, lon_idx, printf('%02x%02x%02x%02x', b & 255, (b >> 8) & 255, (b >> 16) & 255, (b >> 24) & 255) AS h FROM bits),
+slice AS (SELECT t_idx, channel_idx, sha256(unhex(string_agg(h, '' ORDER BY lat_idx, lon_idx))) AS x FROM hexed GROUP BY 1, 2)"""
+
+# All pairs of cells and waves of a field's error, and the mean modulus of its orthonormal transform.
+SPECTRUM = """wave AS (SELECT lead, sample_idx, channel_idx, u, v, sum((prediction - target) * cos(2 * pi() * (u * lat_idx / 7.0 + v * lon_idx / 8.0))) / sqrt(56) AS re, sum((prediction - target) * sin(2 * pi() * (u * lat_idx / 7.0 + v * lon_idx / 8.0))) / sqrt(56) AS im
+  FROM pp, range(7) r(u), range(8) q(v) GROUP BY ALL),
+l1 AS (SELECT lead, sum(sqrt(re * re + im * im)) / 56 / count(DISTINCT (sample_idx, channel_idx)) AS s FROM wave GROUP BY 1)"""
+
+# Normalised Legendre functions of every order at the latitudes, by the recurrence in the degree.
+LEGENDRE = """node AS (SELECT CAST(i AS INTEGER) AS lat_idx, pi() * i / 6 AS theta, CASE WHEN i IN (0, 6) THEN 1 ELSE 2 END / 6.0 * (1 - 2.0 / 3 * cos(pi() * i / 3) - 2.0 / 15 * cos(2 * pi() * i / 3) - 1.0 / 35 * cos(pi() * i)) AS w FROM range(7) r(i)),
+leg(lat_idx, theta, w, m, l, p, q) AS (
+  SELECT lat_idx, theta, w, m, m, CASE m % 2 WHEN 0 THEN 1 ELSE -1 END * sqrt((2 * m + 1) / (4 * pi()) * c) * pow(sin(theta), m), CAST(0 AS DOUBLE)
+  FROM node, (VALUES (0, 1.0::DOUBLE), (1, 1 / 2.0::DOUBLE), (2, 3 / 8.0::DOUBLE), (3, 5 / 16.0::DOUBLE), (4, 35 / 128.0::DOUBLE)) o(m, c)
+  UNION ALL SELECT lat_idx, theta, w, m, l + 1, sqrt((4.0 * (l + 1) * (l + 1) - 1) / ((l + 1) * (l + 1) - m * m)) * (cos(theta) * p - sqrt((l * l - m * m) / (4.0 * l * l - 1)) * q), p FROM leg WHERE l < 6)"""
+
 # --- the whole of the vectors: 8 x 8 cells, no time left out -----------------
 
 WHOLE = """ranked AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t_idx FROM embeddings),

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from isobar.plans import catalogue
+from isobar.plans import catalogue, whole  # noqa: F401  (whole adds its queries)
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
