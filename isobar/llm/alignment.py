@@ -4,11 +4,11 @@ Python only tokenises: it sends a document's token ids and the byte offsets at w
 its tokens end, for both tokenizers.  All else is Spark's array functions:
 
 - ``array_intersect`` of the two end arrays gives the offsets that cut both into groups;
-- the union of the end arrays cuts the text into pieces, each under one token of either
-  side, so pieces and links (overlapping occurrences) are the same thing;
-- how many ends lie before an offset (``_before``) comes from sorting offsets and ends
-  together: an offset's place less its own number.  That is one sort of two sorted
-  runs, so a document costs time in proportion to its length.
+- all ends together cut the text into pieces, each under one token of either side, so
+  pieces and links (overlapping occurrences) are the same thing;
+- how many ends lie before an offset comes from sorting both together: an offset's
+  place less its own number.  That is a sort of two sorted runs, so a document costs
+  time in proportion to its length.
 
 A pair of ids counts once per document.  Pairs held by over ``1 / FEW`` of all
 (document, pair) rows are at most FEW and are broadcast; what they do not answer is
@@ -17,9 +17,12 @@ joined by a shuffle, in which no key is hot any more.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,11 @@ from .storage import new_path, small_batches
 FEW = 1 << 20
 #: Bytes of text whose tokens a task sends at once.
 _CHUNK = 1 << 19
+#: Characters of parts whose tokens a Python worker keeps.
+_HELD = 1 << 25
+_CUT, _SPACES = re.compile(r"(?<=\S) "), re.compile(r"\s ")
+#: A character that some versions of Unicode call a space.
+_ODD_SPACE = re.compile("\u180e")
 #: Session setting that names the folder of the vocabulary files.
 FOLDER_KEY = "isobar.tokenizers"
 # The two vocabularies of the registered query.
@@ -69,55 +77,118 @@ def piece_bytes(piece: str) -> bytes:
     return piece.replace("▁", " ").encode()
 
 
-@lru_cache(maxsize=2)
-def _tokenizers(a: bytes, b: bytes):
-    """(encode a batch, bytes of each id) of either side; kept by a Python worker."""
-    from sentencepiece import SentencePieceProcessor
-    from tokenizers import Tokenizer
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
-    first = Tokenizer.from_buffer(a)
-    first.encode_special_tokens = True
-    second = SentencePieceProcessor(model_proto=b)
-    alphabet = byte_alphabet()
-    of_a = [b""] * first.get_vocab_size()
-    for token, i in first.get_vocab().items():
-        of_a[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
-    of_b = [piece_bytes(second.id_to_piece(i)) for i in range(second.get_piece_size())]
-    encode_a = lambda texts: [e.ids for e in first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-    return (encode_a, of_a), (lambda texts: second.encode(texts, num_threads=1), of_b)
+class _Units:
+    """Token ids and their byte lengths for parts of a text, each encoded once; kept by a Python worker.
 
+    A part is cut at a space after a character that is no space.  No token of either
+    side crosses such a place: the byte-level side splits words there before it merges,
+    and no piece of the other has its space mark after another character.  Where a
+    vocabulary is not like that, a text is one part.
+    """
 
-def _lists(values: list[np.ndarray]) -> pa.Array:
-    offsets = np.zeros(len(values) + 1, np.int32)
-    np.cumsum([len(v) for v in values], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
+    def __init__(self, a: bytes, b: bytes):
+        from sentencepiece import SentencePieceProcessor
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
+        self.first, self.second = Tokenizer.from_buffer(a), SentencePieceProcessor(model_proto=b)
+        self.first.encode_special_tokens = True
+        alphabet = byte_alphabet()
+        of_a = [b""] * self.first.get_vocab_size()
+        for token, i in self.first.get_vocab().items():
+            of_a[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
+        pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
+        self.of = of_a, [piece_bytes(p) for p in pieces]
+        self.size_of = [np.array([len(x) for x in of], np.int32) for of in self.of]
+        told = json.loads(a)
+        level = told.get("pre_tokenizer") or {}
+        words = level.get("type") == "ByteLevel" and level.get("use_regex", True) and told.get("normalizer") is None
+        self.cut = words and not any("▁" in p.lstrip("▁") for p in pieces)
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.held = 0
+        self.count = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.ids, self.sizes = ([np.zeros(0, np.int32), np.zeros(0, np.int32)] for _ in range(2))
+        self.whole = np.zeros(0, bool)
+
+    def parts(self, text: str) -> list[str]:
+        """What follows the leading space of every part of " " + text."""
+        if not self.cut or _ODD_SPACE.search(text):
+            return [text]
+        return _CUT.split(text) if text[:1] == " " or _SPACES.search(text) else text.split(" ")
+
+    def learn(self, parts: list[str]) -> None:
+        new = [p for p in dict.fromkeys(parts) if p not in self.number]
+        if not new:
+            return
+        self.number |= {p: len(self.number) + k for k, p in enumerate(new)}
+        self.held += sum(map(len, new)) + 100 * len(new)
+        coded = [e.ids for e in self.first.encode_batch_fast([" " + p for p in new], add_special_tokens=False)], self.second.encode(new, num_threads=1)
+        if "" in new:  # a space at the end of a text; the piece side puts none before nothing
+            coded[1][new.index("")] = [self.second.piece_to_id("▁")]
+        want = [b" " + p.encode() for p in new]
+        length, text = np.fromiter(map(len, want), np.int64, len(want)), b"".join(want)
+        whole = np.ones(len(new), bool)
+        for side, (rows, of) in enumerate(zip(coded, self.of, strict=True)):
+            count = np.fromiter(map(len, rows), np.int64, len(rows))
+            flat = list(chain.from_iterable(rows))
+            ids = np.array(flat, np.int32)
+            sizes = self.size_of[side][ids]
+            border = np.append(0, np.cumsum(count))
+            spelt = np.append(0, np.cumsum(sizes, dtype=np.int64))[border]
+            if not ((np.diff(spelt) == length).all() and b"".join(map(of.__getitem__, flat)) == text):  # then each by itself
+                whole &= [b"".join(map(of.__getitem__, r)) == w for r, w in zip(rows, want, strict=True)]
+            self.count[side] = np.append(self.count[side], count)
+            self.ids[side] = np.append(self.ids[side], ids)
+            self.sizes[side] = np.append(self.sizes[side], sizes)
+        self.whole = np.append(self.whole, whole)
+
+    def tokens(self, texts: list[str]) -> list[pa.Array]:
+        """a_ids, a_ends, b_ids, b_ends of each text."""
+        split = [self.parts(t) if t else [] for t in texts]
+        every = [p for parts in split for p in parts]
+        if self.held > _HELD:
+            self.clear()
+        self.learn(every)
+        part = np.fromiter(map(self.number.__getitem__, every), np.int64, len(every))
+        edge = np.cumsum([0] + [len(p) for p in split])  # parts of each text
+        lost = np.flatnonzero(np.append(0, np.cumsum(~self.whole[part]))[edge[1:]] > np.append(0, np.cumsum(~self.whole[part]))[edge[:-1]])
+        if len(lost):  # texts that do not come back in bytes have no tokens
+            gone = np.zeros(len(split), bool)
+            gone[lost] = True
+            part = part[~np.repeat(gone, np.diff(edge))]
+            edge = np.append(0, np.cumsum(np.where(gone, 0, np.diff(edge))))
+        out = []
+        for count, ids, sizes in zip(self.count, self.ids, self.sizes, strict=True):
+            mine = count[part]
+            after = np.append(0, np.cumsum(mine))
+            at = np.repeat((np.cumsum(count) - count)[part] - after[:-1], mine) + np.arange(after[-1])
+            total = np.append(0, np.cumsum(sizes[at], dtype=np.int64))
+            border = after[edge]
+            ends = (total[1:] - np.repeat(total[border[:-1]], np.diff(border))).astype(np.int32)
+            offsets = pa.array(border.astype(np.int32))
+            out += [pa.ListArray.from_arrays(offsets, pa.array(ids[at])), pa.ListArray.from_arrays(offsets, pa.array(ends))]
+        return out
+
+
+@lru_cache(maxsize=1)
+def _units(a: bytes, b: bytes) -> _Units:
+    return _Units(a, b)
 
 
 def _tokenise(vocabularies):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = _tokenizers(*vocabularies.value)
-        lengths = [np.array([len(x) for x in of], np.int32) for _, of in sides]
-
-        def sent(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
-            coded = [encode(texts) for encode, _ in sides]
-            columns: list[list[np.ndarray]] = [[], [], [], []]
-            for text, *both in zip(texts, *coded, strict=True):
-                want = b" " + text.encode()
-                whole = bool(text) and all(b"".join(map(of.__getitem__, tokens)) == want for tokens, (_, of) in zip(both, sides, strict=True))
-                for k, tokens in enumerate(both):
-                    held = np.array(tokens if whole else [], np.int32)
-                    columns[2 * k].append(held)
-                    columns[2 * k + 1].append(np.cumsum(lengths[k][held], dtype=np.int32))
-            return pa.RecordBatch.from_arrays([ids, *map(_lists, columns)], ["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
-
+        units = _units(*vocabularies.value)
+        names = ["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"]
         for batch in batches:
             texts, from_, size = [], 0, 0
             for k, text in enumerate(batch.column("text").to_pylist()):
                 texts.append(text or "")
                 size += len(texts[-1])
                 if size >= _CHUNK or k + 1 == batch.num_rows:
-                    yield sent(batch.column("doc_id").slice(from_, len(texts)), texts)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(from_, len(texts)), *units.tokens(texts)], names)
                     texts, from_, size = [], k + 1, 0
 
     return run
@@ -140,15 +211,41 @@ def tokenise(docs: DataFrame, a: str, b: str) -> DataFrame:
     return rows.mapInArrow(_tokenise(shared), _TOKENS)
 
 
-def _before(ends: str, at: str) -> Column:
-    """For each of the ascending offsets ``at``, how many of the ascending ``ends`` lie before it."""
-    number = 1 << 32  # an offset's code: itself and its number; an end's: itself and the largest number
-    codes = F.concat(
-        F.transform(at, lambda x, i: x.cast("long") * number + i),
-        F.transform(ends, lambda x: x.cast("long") * number + (number - 1)),
-    )
-    place = F.transform(F.sort_array(codes), lambda x, j: F.when(x.bitwiseAND(number - 1) != number - 1, (j - x.bitwiseAND(number - 1)).cast("int")))
-    return F.array_compact(place)
+_NUMBER, _SIDE = 1 << 32, 1 << 31
+
+
+def _codes() -> Column:
+    """Both sides' ends in ascending order, a before b at the same place: end, side and number of the token in one long."""
+    a = F.transform("a_ends", lambda x, i: x.cast("long") * _NUMBER + i)
+    b = F.transform("b_ends", lambda x, i: x.cast("long") * _NUMBER + (i + _SIDE))
+    return F.sort_array(F.concat(a, b))
+
+
+def _links(width: int) -> Column:
+    """A link for every end in ``_codes``, but one where both sides end.
+
+    The token of the other side over the piece that ends there is the one after all its
+    ends before: an end's place less its own number counts them.
+    """
+
+    def link(x: Column, j: Column) -> Column:
+        own = x.bitwiseAND(_SIDE - 1).cast("int")
+        other = (j - own).cast("int")
+        twice = F.shiftright(F.get("_codes", j - 1), 32) == F.shiftright(x, 32)
+        b = F.when(twice, F.lit(None)).otherwise(F.get("a_ids", other).cast("long") * width + F.get("b_ids", own))
+        return F.when(x.bitwiseAND(_SIDE) == 0, F.get("a_ids", own).cast("long") * width + F.get("b_ids", other)).otherwise(b)
+
+    return F.array_compact(F.transform("_codes", link))
+
+
+def _borders() -> Column:
+    """By group, the numbers of its last a and b token: ends that follow each other in ``_codes`` at one place."""
+
+    def border(x: Column, j: Column) -> Column:
+        before = F.get("_codes", j - 1)
+        return F.when((x.bitwiseAND(_SIDE) != 0) & (F.shiftright(before, 32) == F.shiftright(x, 32)), before.bitwiseAND(_SIDE - 1) * _NUMBER + x.bitwiseAND(_SIDE - 1))
+
+    return F.array_compact(F.transform("_codes", border))
 
 
 def align(tokens: DataFrame, width: int) -> DataFrame:
@@ -157,17 +254,19 @@ def align(tokens: DataFrame, width: int) -> DataFrame:
     groups: per group the text ``a1,a2|b1`` of its ids; links: per overlapping
     occurrence a_id * width + b_id, width being the number of b ids.
     """
-    cut = tokens.withColumn("_common", F.array_intersect("a_ends", "b_ends")).withColumn("_piece", F.sort_array(F.array_union("a_ends", "b_ends")))
-    cut = cut.withColumns({"_pa": _before("a_ends", "_piece"), "_pb": _before("b_ends", "_piece"), "_ga": _before("a_ends", "_common"), "_gb": _before("b_ends", "_common")})
-    links = F.zip_with("_pa", "_pb", lambda x, y: F.get("a_ids", x).cast("long") * width + F.get("b_ids", y))
+    cut = tokens.withColumns({"_common": F.array_intersect("a_ends", "b_ends"), "_codes": _codes()})
+    cut = cut.withColumns({"_borders": _borders(), "links": _links(width)})
+
+    of_a, of_b = lambda x: F.shiftright(x, 32).cast("int"), lambda x: x.bitwiseAND(_SIDE - 1).cast("int")
 
-    def part(ids: str, last: str, g: Column) -> Column:  # tokens after the last group's end, up to this one's
-        start = F.when(g == 0, F.lit(0)).otherwise(F.get(last, g - 1) + 1)
-        return F.array_join(F.slice(ids, start + 1, F.get(last, g) - start + 1).cast("array<string>"), ",")
+    def part(ids: str, last, g: Column) -> Column:  # tokens after the last group's end, up to this one's
+        end = last(F.get("_borders", g))
+        n = F.when(g == 0, end + 1).otherwise(end - last(F.get("_borders", g - 1)))
+        many = F.transform(F.sequence(end - n + 1, end), lambda k: F.get(ids, k).cast("string"))  # slice() would copy the whole array first
+        return F.when(n == 1, F.get(ids, end).cast("string")).otherwise(F.array_join(many, ","))
 
-    numbers = F.when(F.size("_common") > 0, F.sequence(F.lit(0), F.size("_common") - 1)).otherwise(F.array().cast("array<int>"))
-    groups = F.transform(numbers, lambda g: F.concat(part("a_ids", "_ga", g), F.lit("|"), part("b_ids", "_gb", g)))
-    return cut.withColumns({"groups": groups, "links": links}).drop("_common", "_piece", "_pa", "_pb", "_ga", "_gb")
+    groups = F.transform("_common", lambda _, g: F.concat(part("a_ids", of_a, g), F.lit("|"), part("b_ids", of_b, g)))
+    return cut.withColumn("groups", groups).drop("_common", "_codes", "_borders")
 
 
 def _times(links: DataFrame) -> DataFrame:
@@ -193,7 +292,7 @@ def alignment(docs: DataFrame, a: str | None = None, b: str | None = None) -> Da
     spark = docs.sparkSession
     a, b = a or vocabulary_path(spark, VOCABULARY_A), b or vocabulary_path(spark, VOCABULARY_B)
     with open(a, "rb") as f, open(b, "rb") as g:
-        heights = [len(of) for _, of in _tokenizers(f.read(), g.read())]
+        heights = [len(of) for of in _units(f.read(), g.read()).of]
     width = heights[1]
     code = "int" if heights[0] * width < 1 << 31 else "long"
     found = align(tokenise(docs, a, b), width).select(

@@ -198,3 +198,21 @@ def test_op12_empty_and_null_ids(spark):
     rows = simhash.near_duplicates(spark.createDataFrame([(None, "a b"), (7, "a b"), (5, "a  B"), (5, "a b"), (9, None), (8, " \n")], schema)).collect()
     assert sorted((x.doc_id, x.component_id) for x in rows if x.doc_id) == [(5, 5), (5, 5), (7, 5), (8, 8), (9, 8)]
     assert [x.component_id for x in rows if x.doc_id is None] == [None]
+
+
+def test_op11_parts_give_what_whole_texts_give(spark):
+    paths = [alignment.vocabulary_path(spark, v) for v in (alignment.VOCABULARY_A, alignment.VOCABULARY_B)]
+    held = [open(p, "rb").read() for p in paths]
+    cut, whole = alignment._Units(*held), alignment._Units(*held)
+    assert cut.cut
+    whole.cut = False
+    r = random.Random(4)
+    bits = [" ", "  ", "\n", "\t", "\r\n", "\n ", " \n", "\x0b", "\x1c", "\x85", "\xa0", " ", "　", "᠎", "​", "a", "don't", "I'll", "x1", "12", ".", "...", "ß", "É", "漢字", "🎈", "é", "<s>", "<|endoftext|>", "▁", "'s", "_", "the", "-"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(1, 25))) for _ in range(4000)] + [t for t in TEXTS if t]
+    texts += [f"{a}{chr(c)}{b}" for c in [*range(1, 0x300), *range(0x1680, 0x1690), *range(0x2000, 0x2070)] for a, b in (("a ", " b"), ("a", "b"), ("1 ", "2"), (" ", " x"))]
+    for k in range(0, len(texts), 500):
+        some = texts[k : k + 500]
+        for x, y in zip(cut.tokens(some), whole.tokens(some), strict=True):
+            assert x.equals(y)
+    cut.held = alignment._HELD + 1  # what is kept is let go
+    assert all(x.equals(y) for x, y in zip(cut.tokens(texts[:50]), whole.tokens(texts[:50]), strict=True)) and len(cut.number) < 500
