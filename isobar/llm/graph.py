@@ -59,7 +59,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every node that occurs in an edge gets a row.  Self-loops and repeated or
     null-ended edges are allowed and add nothing.  Tasks first contract the edges they
-    hold to stars, then stars are exchanged until nothing changes.  Each round is
+    hold to stars, then stars are exchanged until nothing changes, or until no more than
+    HELD edges (16 MB) are left: one task ends those.  Each round is
     written to the shared folder, so neither lineage nor driver memory grows.  A hub
     of a third of all edges is aggregated map-side and re-joined by a plain equi-join
     that adaptive execution may split.
@@ -68,6 +69,9 @@ def components(edges: DataFrame) -> DataFrame:
     cur = cut(told(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "edges")
     seen = _stats(cur)
     while seen[0]:
+        if seen[0] <= HELD:
+            cur = cut(cur.coalesce(1).mapInArrow(_contract, "u long, v long"), "edges")
+            break
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
