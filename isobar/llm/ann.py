@@ -13,8 +13,11 @@ What product to expect is estimated for every query on a sample of ``SAMPLE``
 vectors of its length: the place there that its last neighbour should take.  A
 table has as many projections as fill a bucket with about ``FILL`` vectors, so their
 number grows with the logarithm of the input.  M and projections are chosen per
-vector length.  A length of at most ``FEW`` distinct vectors is compared in full, and
-so is a query for which the tables hold fewer candidates than asked for.
+band of norms: the vectors of a length are cut at halves of their largest norm, so a
+few long vectors do not flatten the rest.  A query leaves out the bands whose M cannot
+reach the product it expects.  A length or a band of at most ``FEW`` distinct vectors is
+compared in full, and so is a query for which the tables hold fewer candidates than
+asked for.
 
 Buckets that share their leading cells form a group of about ``PART`` vectors
 (fewer, if long).  A query goes to a group once, with the list of the buckets that it visits
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +50,35 @@ PART, BLOCK = 16384, 2**20
 FEW = 4096
 #: Vectors of a length that products are estimated on, and vectors a bucket holds on average.
 SAMPLE, FILL = 4096, 512
+#: Halvings of the largest norm that are told apart; grain of the hash that draws the sample.
+_HALVINGS, _SHARES = 60, 1 << 40
 _CELL_BITS = 1.56  # entropy of a projection's cell at this width
 _REACH = 3.5  # cells beyond this many M hold next to nothing; outer cells are open
 
 
+class Band(NamedTuple):
+    """Vectors of a range of norms up to ``bound``: projections (0: compared in full), those that make a group."""
+
+    k: int
+    lead: int
+    bound: float
+
+
+class Lengths(NamedTuple):
+    """What is known of the vectors of a length."""
+
+    top: float
+    of: np.ndarray
+    bands: list[Band]
+    place: int
+    sample: np.ndarray
+
+    def band_of(self, norm: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            halved = np.clip(np.floor(np.log2(self.top / norm)), 0, len(self.of) - 1)
+        return self.of[halved.astype(np.int64)]
+
+
 def _projections(table: int, dim: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64([table, dim, k, 41]))
     return rng.standard_normal((dim + 1, k)), rng.random(k)
@@ -95,23 +124,36 @@ def _rows(names: list[str], batch: pa.RecordBatch, t: int, group: np.ndarray, bu
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), batch.column("dim"), pa.array(group), pa.array(buckets), batch.column("rep"), batch.column("v")], names)
 
 
-def _index(plan: dict[int, tuple]):
+def _table(band: int, t: int) -> int:
+    """Number of a band's table t; t = TABLES is its one bucket of vectors that are not hashed."""
+    return band * (TABLES + 1) + t
+
+
+def _index(plan: dict[int, Lengths]):
     names = ["t", "dim", "grp", "bucket", "rep", "v"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _by_length(whole):
-                if (dim := batch.column("dim")[0].as_py()) not in plan:
-                    # a length that is not hashed: one bucket of a table of its own
-                    none = np.zeros(batch.num_rows, np.int64)
-                    yield _rows(names, batch, TABLES, none, none)
+            for length in _by_length(whole):
+                told = plan.get(length.column("dim")[0].as_py())
+                if told is None:
+                    none = np.zeros(length.num_rows, np.int64)
+                    yield _rows(names, length, TABLES, none, none)
                     continue
-                k, lead, bound = plan[dim][:3]
-                x = _matrix(batch.column("v"))
-                rest = np.sqrt(np.maximum(bound**2 - (x**2).sum(axis=1, keepdims=True), 0))
-                for t in range(TABLES):
-                    bucket = _code(_cells(np.hstack([x, rest]), t, x.shape[1], k, bound))
-                    yield _rows(names, batch, t, _group(bucket, k, lead), bucket)
+                every = _matrix(length.column("v"))
+                band = told.band_of(np.sqrt((every**2).sum(axis=1)))
+                for b in np.unique(band).tolist():
+                    at = np.flatnonzero(band == b)
+                    batch, x = length.take(pa.array(at)), every[at]
+                    if told.bands[b].k == 0:
+                        none = np.zeros(len(x), np.int64)
+                        yield _rows(names, batch, _table(b, TABLES), none, none)
+                        continue
+                    k, lead, bound = told.bands[b].k, told.bands[b].lead, told.bands[b].bound
+                    rest = np.sqrt(np.maximum(bound**2 - (x**2).sum(axis=1, keepdims=True), 0))
+                    for t in range(TABLES):
+                        bucket = _code(_cells(np.hstack([x, rest]), t, x.shape[1], k, bound))
+                        yield _rows(names, batch, _table(b, t), _group(bucket, k, lead), bucket)
 
     return run
 
@@ -138,41 +180,54 @@ def _visits(chance: np.ndarray) -> np.ndarray:
     return code[: int(np.searchsorted(np.cumsum(p), SUCCESS)) + 1]
 
 
-def _probe(plan: dict[int, tuple]):
+def _probe(plan: dict[int, Lengths]):
     names = ["t", "dim", "grp", "buckets", "query", "v"]
     low, high = _cell_range()
     span = np.arange(low, high + 1)
 
+    def hashed(part: pa.RecordBatch, q: np.ndarray, norm: np.ndarray, last: np.ndarray, b: int, band: Band) -> Iterator[pa.RecordBatch]:
+        k, bound = band.k, band.bound
+        expected = np.clip(last / (norm * bound), 0, 0.999)[:, None]
+        for t in range(TABLES):
+            a, shift = _projections(t, q.shape[1], k)
+            # where a neighbour's projection is expected, in units of M
+            mean = expected * (q @ a[:-1]) / norm[:, None]
+            sd = np.sqrt(1 - expected**2)[:, :, None]
+            edge = (span[None, None, :] - shift[None, :, None]) * WIDTH
+            below = _normal_cdf((edge - mean[:, :, None]) / sd)
+            below[:, :, 0] = 0.0
+            chance = np.diff(np.concatenate([below, np.ones_like(below[:, :, :1])], axis=2), axis=2)
+            who, groups, lists = [], [], []
+            for i, c in enumerate(chance):
+                codes = np.sort(_visits(c))  # a group's codes follow each other
+                there, first = np.unique(_group(codes, k, band.lead), return_index=True)
+                who += [i] * len(there)
+                groups.append(there)
+                lists += [x.tobytes() for x in np.split(codes, first[1:])]
+            yield _rows(names, part.take(pa.array(who)), _table(b, t), np.concatenate(groups), lists)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _by_length(whole):
-                if (dim := batch.column("dim")[0].as_py()) not in plan:
+                told = plan.get(batch.column("dim")[0].as_py())
+                if told is None:
                     yield _rows(names, batch, TABLES, np.zeros(batch.num_rows, np.int64), [bytes(8)] * batch.num_rows)
                     continue
-                k, lead, bound, place, sample = plan[dim]
                 every = _matrix(batch.column("v"))
                 for at in range(0, len(every), 256):
                     part, q = batch.slice(at, 256), every[at : at + 256]
                     norm = np.sqrt((q**2).sum(axis=1))
-                    last = -np.partition(-(q @ sample.T), place, axis=1)[:, place]
-                    expected = np.clip(last / (norm * bound), 0, 0.999)[:, None]
-                    for t in range(TABLES):
-                        a, b = _projections(t, q.shape[1], k)
-                        # where a neighbour's projection is expected, in units of M
-                        mean = expected * (q @ a[:-1]) / norm[:, None]
-                        sd = np.sqrt(1 - expected**2)[:, :, None]
-                        edge = (span[None, None, :] - b[None, :, None]) * WIDTH
-                        below = _normal_cdf((edge - mean[:, :, None]) / sd)
-                        below[:, :, 0] = 0.0
-                        chance = np.diff(np.concatenate([below, np.ones_like(below[:, :, :1])], axis=2), axis=2)
-                        who, groups, lists = [], [], []
-                        for i, c in enumerate(chance):
-                            codes = np.sort(_visits(c))  # a group's codes follow each other
-                            there, first = np.unique(_group(codes, k, lead), return_index=True)
-                            who += [i] * len(there)
-                            groups.append(there)
-                            lists += [b.tobytes() for b in np.split(codes, first[1:])]
-                        yield _rows(names, part.take(pa.array(who)), t, np.concatenate(groups), lists)
+                    ranked = -np.sort(-(q @ told.sample.T), axis=1)
+                    last, least = ranked[:, told.place], ranked[:, min(2 * told.place + 1, ranked.shape[1] - 1)]
+                    for b, band in enumerate(told.bands):
+                        near = np.flatnonzero(norm * band.bound >= least)  # least: what the last neighbour has at any rate
+                        if not len(near):
+                            continue
+                        mine = part.take(pa.array(near))
+                        if band.k == 0:
+                            yield _rows(names, mine, _table(b, TABLES), np.zeros(len(near), np.int64), [bytes(8)] * len(near))
+                        else:
+                            yield from hashed(mine, q[near], norm[near], last[near], b, band)
 
     return run
 
@@ -239,26 +294,59 @@ def _rank(top: int):
     return run
 
 
-def _plans(reps: DataFrame, neighbours: int) -> dict[int, tuple]:
-    """Per hashed length: projections, those of them that make a group, M, place in the sample of the last neighbour, and the sample.
+def _bands(counts: dict[int, tuple[int, float]], dim: int) -> tuple[np.ndarray, list[Band]]:
+    """(band of each halving, bands) of ``counts``: (vectors, their largest norm) by how often the largest of all norms can be halved to theirs.
 
-    The driver gets SAMPLE vectors of each such length.  A length whose norms are not
-    finite is not hashed.
+    Halvings of few vectors are put together as long as they stay few.
+    """
+    groups: list[list[int]] = []
+    held = 0
+    for e in sorted(counts):
+        if groups and held + counts[e][0] <= FEW:
+            groups[-1].append(e)
+            held += counts[e][0]
+        else:
+            groups.append([e])
+            held = counts[e][0]
+    of, out = np.zeros(max(counts) + 1, np.int64), []
+    for b, group in enumerate(groups):
+        of[group[0] :] = b  # halvings that nobody has go with the ones above
+        n = sum(counts[e][0] for e in group)
+        k = max(1, round(math.log2(max(n / FILL, 1)) / _CELL_BITS)) if n > FEW else 0
+        lead = min(k, int(math.log2(max(n / min(PART, max(BLOCK // dim, 1)), 1)) / _CELL_BITS))
+        out.append(Band(k, lead, max(counts[e][1] for e in group) * (1 + 1e-9)))
+    return of, out
+
+
+def _plans(reps: DataFrame, neighbours: int) -> dict[int, Lengths]:
+    """Per hashed length its bands of norms, place in the sample of the last neighbour, and the sample.
+
+    The driver gets SAMPLE vectors of each such length and some numbers per band.  The
+    sample is drawn by a bound on the ids' hashes, so only about twice as many vectors
+    are put in order.  A length whose norms are not finite is not hashed.
     """
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))
-    sizes = reps.groupBy(F.size("e").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("norm")).where(F.col("n") > FEW).collect()
-    sizes = {r["dim"]: r for r in sizes if r["norm"] < 1e150}
-    drawn = Window.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id")
-    rows = reps.select(F.size("e").alias("dim"), "vec_id", "e").where(F.col("dim").isin(*sizes)).withColumn("r", F.row_number().over(drawn)).where(F.col("r") <= SAMPLE)
+    rows = reps.select(F.size("e").alias("dim"), "vec_id", "e", norm.alias("norm"))
+    sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("top")).where((F.col("n") > FEW) & (F.col("top") < 1e150))
+    sizes = {r["dim"]: r for r in sizes.collect()}
+    if not sizes:
+        return {}
+    told = reps.sparkSession.createDataFrame([(d, r["top"], min(1.0, 2 * SAMPLE / r["n"])) for d, r in sizes.items()], "dim int, top double, share double")
+    known = rows.join(F.broadcast(told), "dim")  # a row per hashed length: at most one for FEW vectors
+    halved = F.coalesce(F.least(F.floor(F.log2(F.try_divide("top", "norm"))), F.lit(_HALVINGS)), F.lit(_HALVINGS)).cast("int")
+    counts: dict[int, dict[int, tuple[int, float]]] = {d: {} for d in sizes}
+    for r in known.groupBy("dim", F.greatest(halved, F.lit(0)).alias("e")).agg(F.count("*").alias("n"), F.max("norm").alias("top")).collect():
+        counts[r["dim"]][r["e"]] = (r["n"], r["top"])
+    hashed = F.xxhash64("vec_id")
+    few = known.where(F.pmod(hashed, F.lit(_SHARES)) < F.col("share") * _SHARES).withColumn("r", F.row_number().over(Window.partitionBy("dim").orderBy(hashed, "vec_id")))
     sample: dict[int, list] = {d: [] for d in sizes}
-    for r in rows.select("dim", "vec_id", "e").collect() if sizes else []:
+    for r in few.where(F.col("r") <= SAMPLE).select("dim", "vec_id", "e").collect():
         sample[r["dim"]].append((r["vec_id"], r["e"]))
     out = {}
     for d, r in sizes.items():
-        k = max(1, round(math.log2(max(r["n"] / FILL, 1)) / _CELL_BITS))
+        of, bands = _bands(counts[d], d)
         place = math.ceil(neighbours * len(sample[d]) / r["n"])  # from 0, as the query itself may be there
-        lead = min(k, int(math.log2(max(r["n"] / min(PART, max(BLOCK // d, 1)), 1)) / _CELL_BITS))
-        out[d] = (k, lead, r["norm"] * (1 + 1e-12), min(place, len(sample[d]) - 1), np.array([e for _, e in sorted(sample[d])]))
+        out[d] = Lengths(r["top"], of, bands, min(place, len(sample[d]) - 1), np.array([e for _, e in sorted(sample[d])]))
     return out
 
 
