@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isobar.operators import validate
 from isobar.operators.select import SPLITS, date_slice, split_range
 
 
@@ -109,3 +111,44 @@ def incompatible(a: DataFrame, b: DataFrame, keys: list[str], values: list[str])
     fields = [F.when(~F.col(f"{v}_a").eqNullSafe(F.col(f"{v}_b")), F.lit(v)) for v in values]
     found = F.when(one_side.isNotNull(), F.array(one_side)).otherwise(F.array_compact(F.array(*fields)) if values else F.array().cast("array<string>"))
     return both.select(*keys, F.explode(found).alias("field"))
+
+
+#: Splits that a model has seen before it may be scored on this one.
+_SEEN = {"valid": ("train",), "test": ("train", "valid")}
+
+
+def _span(told: dict | None) -> tuple[datetime, datetime] | None:
+    ends = [(told or {}).get(k) for k in ("first_time", "last_time")]
+    return tuple(map(datetime.fromisoformat, ends)) if all(ends) else None
+
+
+def evaluation_problems(saved: dict, state: DataFrame, channels: DataFrame, lat: DataFrame, lon: DataFrame, cadence_hours: float, step: int, split: str, diagnostic: bool = False) -> list[str]:
+    """All that forbids to score the model of the manifest ``saved`` on ``state(ts, ...)``; empty if nothing.
+
+    The grid must be global and every channel have a unit; the manifest's
+    ``forecast_contract`` must equal that of the tables, key by key; a diagnostic run is
+    scored only where asked; and the times of ``state`` must lie outside those of the
+    splits (``data_signature``) that the model has seen.  The training times must be
+    known, the validation times may be missing.  One scan, of the times.
+    """
+    out = [] if validate.global_grid(lat, lon).first()["global_grid"] else ["the grid is not global"]
+    out += [f"channel {r['channel']} has no unit" for r in channels.where("units IS NULL OR trim(units) = ''").orderBy("channel_idx").collect()]
+    held = saved.get("forecast_contract")
+    own = grid_contract(channels, lat, lon, cadence_hours, step)
+    out += ["the manifest has no forecast contract"] if held is None else [f"{k} differs from the forecast contract" for k in own if own[k] != held.get(k)]
+    if saved.get("diagnostic_run") and not diagnostic:
+        out.append("a diagnostic run is scored only where that is asked for")
+    first, last = state.agg(F.min("ts"), F.max("ts")).first()
+    for name in _SEEN.get(split, ()):
+        seen = _span(saved.get("data_signature", {}).get(name))
+        if seen is None and name == "train":
+            out.append("the times of the training data are not known")
+        elif seen is not None and first is not None and first <= seen[1] and seen[0] <= last:
+            out.append(f"{split} overlaps the times of {name}")
+    return out
+
+
+def admit_evaluation(saved: dict, *tables, **how) -> None:
+    """Raise with all of ``evaluation_problems``, if there are any."""
+    if problems := evaluation_problems(saved, *tables, **how):
+        raise ValueError("; ".join(problems))

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of fields that a task sends at once.
@@ -191,20 +191,28 @@ def pass_moments(parts: DataFrame, weights: Sequence[float], stride: int) -> tup
 
 
 def merged(parts: DataFrame) -> DataFrame:
-    """channel_idx, n, w, mean, m2 of disjoint parts."""
-    from isobar.operators.stats import merge_moments
+    """channel_idx, n, w, mean, m2 of disjoint parts, a few numbers per partition.
 
-    by = ["channel_idx"]
-    return merge_moments(parts.select("channel_idx", "w", "mean", "m2"), by).join(parts.groupBy(*by).agg(F.sum("n").alias("n")), by)
+    They are added in ascending order, so the order in which parts arrive does not tell.
+    """
+    p = F.array_sort(F.collect_list(F.struct("mean", "m2", "w")))
+    told = parts.groupBy("channel_idx").agg(F.sum("n").alias("n"), p.alias("p"))
+    total = lambda value: F.aggregate("p", F.lit(0.0), lambda s, x: s + value(x))
+    told = told.withColumn("w", total(lambda x: x["w"])).withColumn("mean", total(lambda x: x["w"] * x["mean"]) / F.col("w"))
+    apart = lambda x: x["mean"] - F.col("mean")
+    return told.select("channel_idx", "n", "w", "mean", total(lambda x: x["m2"] + x["w"] * apart(x) * apart(x)).alias("m2"))
 
 
 def pass_climatology(parts: DataFrame) -> DataFrame:
     """channel_idx, field: the mean field of every channel, of a written pass.
 
-    A partition gave one mean field a channel; their cells are summed by place.
+    A partition gave one mean field a channel; their cells are summed by place, in
+    fixed point (1e-18), so the result does not depend on the order.
     """
     own = parts.where("kind = 'climatology'").select("channel_idx", "n", F.posexplode("field").alias("p", "x"))
-    cells = own.groupBy("channel_idx", "p").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"))
+    total = F.sum(F.when(~F.isnan("x"), F.col("x") * F.col("n")).cast("decimal(38,18)")).cast("double")
+    value = F.when(F.bool_or(F.isnan("x")), F.lit(float("nan"))).otherwise(total / F.sum("n"))
+    cells = own.groupBy("channel_idx", "p").agg(value.alias("x"))
     return cells.groupBy("channel_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("field"))
 
 
@@ -372,6 +380,7 @@ def field_sums(pairs: DataFrame, weights: Sequence[float], keys: Sequence[str] =
     return _with_acc(told.mapInArrow(run, kinds + "".join(f", {s} double" for s in _SUMS)))
 
 
+_SCORES = [pa.string(), pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * len(_SUMS)]
 #: Times of a channel whose forecasts one task starts.
 PART_TIMES = 64
 
@@ -426,9 +435,7 @@ def verify_fields(fields: DataFrame, clim: DataFrame, steps: dict[str, Step], le
     return _with_acc(dealt.mapInArrow(run, "model string, sample_idx long, lead int, channel_idx int" + "".join(f", {s} double" for s in _SUMS)))
 
 
-_SCORES = [pa.string(), pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * len(_SUMS)]
-
-
-def affine(field: str, scale: Column, shift: Column) -> Column:
-    """field * scale + shift, number by number."""
-    return F.transform(field, lambda x: x.cast("double") * scale + shift)
+def standardised(fields: DataFrame, statistics: DataFrame) -> DataFrame:
+    """field becomes (field - mean) / std of its channel: a map, with the channels' numbers (a row each) broadcast."""
+    rows = fields.join(F.broadcast(statistics.select("channel_idx", "mean", "std")), "channel_idx")
+    return rows.withColumn("field", F.transform("field", lambda x: (x.cast("double") - F.col("mean")) / F.col("std"))).drop("mean", "std")

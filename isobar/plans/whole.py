@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from isobar.functions import grid, harmonics
 from isobar.operators import fields as fl
+from isobar.operators import metrics
 from isobar.plans import sql as S
 from isobar.plans.catalogue import _OVER, CELL, _scratch, query, rounded
 from isobar.sources import state
+from isobar.streaming import changes
 
 
 class Whole:
@@ -129,3 +131,30 @@ def q_whole_spectral_smooth(spark, d):
     """Every field reduced to its degrees 0 and 1."""
     out = cells(harmonics.filtered(state.whole_fields(spark, d).drop("ts"), state.WHOLE, [1.0, 1.0]))
     return out.select(*CELL, (F.col("value") + 0.0).alias("value"))
+
+
+@query(
+    f"WITH {S.WHOLE_FULL} SELECT model, CAST(lead AS INTEGER) AS lead, lead_hours, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(acc, 6) AS acc, valid_channels, channels, samples FROM leads"
+)
+def q_whole_lead_metrics(spark, d):
+    """Three models scored where their truth is, in stretches of samples whose sums are merged exactly."""
+    c = Whole(spark, d)
+    parts = c.passed(c.train, 1, digests=False)
+    own = fl.pass_moments(parts, c.weights, 1)[0]
+    told = own.select("channel_idx", "mean", F.sqrt(F.col("m2") / F.col("w")).alias("std"))
+    z, clim = fl.standardised(c.fields, told), fl.standardised(fl.pass_climatology(parts), told)
+    steps = {"persistence": fl.persistence, "linear_tendency": fl.linear_tendency, "climatology": fl.climatology}
+    sums = fl.verify_fields(z, clim, steps, S.LEADS, c.weights, c.n * 8 // 10, c.n - S.LEADS)
+    return rounded(metrics.lead_results(metrics.merged_sums(metrics.sum_parts(sums, 64))))
+
+
+@query(f"WITH {S.WHOLE}, {S.diff(2, 'state').split(',' + chr(10) + 'dm2')[0]} SELECT t_idx, channel_idx, lat_idx, lon_idx, round(value, 6) AS value FROM d2")
+def q_whole_stream_changes(spark, d):
+    """Differences as the fields arrive, in two runs of one checkpoint."""
+    root, c = _scratch(spark, "changes"), Whole(spark, d)
+    for part in (F.col("t_idx") < c.n // 2, F.col("t_idx") >= c.n // 2):
+        c.fields.where(part).select("t_idx", "channel_idx", "field").write.mode("append").parquet(f"{root}/in")
+        schema = spark.read.parquet(f"{root}/in").schema
+        changes.write_changes(spark.readStream.schema(schema).parquet(f"{root}/in"), 2, f"{root}/out", f"{root}/checkpoint")
+    out = spark.read.parquet(f"{root}/out").where("kind = 'change'")
+    return cells(out.select("t_idx", "channel_idx", "field")).select(*CELL, "value")

@@ -50,19 +50,18 @@ MEASURES = {
 
 
 def measured(docs: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
-    """by, measure, value: a row per text and measure; texts that are null or empty are left out."""
-    wide = docs.where("text <> ''").select(*by, *(MEASURES[m]().cast("double").alias(m) for m in measures))
-    return flatten_variables(wide, by, measures).select(*by, F.col("channel").alias("measure"), "value")
+    """doc_id, by, reason, and a column per measure: a row per document; the text itself stays behind.
 
-
-def rejected(docs: DataFrame, by: list[str]) -> DataFrame:
-    """doc_id, by, reason of the rows that ``measured`` leaves out."""
+    A null or empty text has a reason and no values.
+    """
     reason = F.when(F.col("text").isNull(), "null text").when(F.col("text") == "", "empty text")
-    return docs.select("doc_id", *by, reason.alias("reason")).where("reason IS NOT NULL")
+    value = lambda m: F.when(F.col("text") != "", MEASURES[m]().cast("double")).alias(m)
+    return docs.select("doc_id", *by, reason.alias("reason"), *map(value, measures))
 
 
-def parts_of(rows: DataFrame, by: list[str]) -> DataFrame:
-    """by, measure, w, mean, m2, least, most of ``rows``, combined map-side."""
+def parts_of(told: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
+    """by, measure, w, mean, m2, least, most of ``measured`` rows, combined map-side."""
+    rows = flatten_variables(told.where("reason IS NULL").select(*by, *measures), by, measures).withColumnRenamed("channel", "measure")
     own = rows.groupBy(*by, "measure").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("v"), F.min("value").alias("least"), F.max("value").alias("most"))
     return own.select(*by, "measure", F.col("n").cast("double").alias("w"), "mean", (F.col("n") * F.col("v")).alias("m2"), "least", "most")
 
@@ -93,8 +92,12 @@ def run(spark: SparkSession, source: str, output: str, config: dict) -> DataFram
 
     def put(batch: DataFrame, epoch: int) -> None:
         docs = batch.select("doc_id", F.col("text").cast("string").alias("text"), *by)
-        parts_of(measured(docs, by, measures), by).coalesce(1).write.mode("overwrite").parquet(f"{output}/parts/batch={epoch}")
-        rejected(docs, by).write.mode("overwrite").parquet(f"{output}/rejected/batch={epoch}")
+        told = measured(docs, by, measures).persist()  # some numbers a document; texts are read once
+        try:
+            parts_of(told, by, measures).write.mode("overwrite").parquet(f"{output}/parts/batch={epoch}")
+            told.where("reason IS NOT NULL").select("doc_id", *by, "reason").write.mode("overwrite").parquet(f"{output}/rejected/batch={epoch}")
+        finally:
+            told.unpersist()
         taken["batches"] += 1
         log.info("wrote %s/parts and %s/rejected, batch %d", output, output, epoch)
 

@@ -36,12 +36,6 @@ def archive(vectors: DataFrame, path: str, times_per_part: int) -> DataFrame:
     return vectors.sparkSession.read.schema(told.schema).parquet(path)
 
 
-def normalised(fields: DataFrame, statistics: DataFrame) -> DataFrame:
-    """field becomes (field - mean) / std of its channel: a map, with the channels' numbers broadcast (a row a channel)."""
-    rows = fields.join(F.broadcast(statistics.select("channel_idx", "mean", "std")), "channel_idx")
-    return rows.withColumn("field", F.transform("field", lambda x: (x.cast("double") - F.col("mean")) / F.col("std"))).drop("mean", "std")
-
-
 def run(spark: SparkSession, source: str, output: str, config: dict) -> DataFrame:
     """Score baseline forecasts over an archive of states, by lead and channel."""
     unknown = set(config["models"]) - set(STEPS)
@@ -66,10 +60,10 @@ def run(spark: SparkSession, source: str, output: str, config: dict) -> DataFram
     statistics = spark.read.schema(told.schema).parquet(f"{output}/statistics")
     log.info("wrote %s/statistics: %d channels over times before %d", output, statistics.count(), train_end)
 
-    z, clim = normalised(fields, statistics), normalised(fl.pass_climatology(parts), statistics)
+    z, clim = fl.standardised(fields, statistics), fl.standardised(fl.pass_climatology(parts), statistics)
     steps = {m: STEPS[m] for m in config["models"]}
     sums = fl.verify_fields(z, clim, steps, config["leads"], weights, test_start, n - config["leads"], part_times=config["times_per_part"])
-    scores = metrics.channel_results(metrics.channel_sums(sums), statistics)
+    scores = metrics.channel_results(metrics.merged_sums(metrics.sum_parts(sums, 1024)), statistics)
     scores.write.mode("overwrite").partitionBy("model").parquet(f"{output}/scores")
     out = spark.read.schema(scores.schema).parquet(f"{output}/scores").select(scores.columns)
     log.info("wrote %s/scores: %d rows, starts from %d, %d leads", output, out.count(), test_start, config["leads"])
