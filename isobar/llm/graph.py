@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import cut, release
 
 #: Edges whose forest a task holds at once.
 HELD = 1 << 20
@@ -66,11 +66,12 @@ def components(edges: DataFrame) -> DataFrame:
     that adaptive execution may split.
     """
     told = lambda e: e.distinct().mapInArrow(_contract, "u long, v long")
-    cur = cut(told(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "edges")
+    cur = cut(told(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "edges", narrow=True)
     seen = _stats(cur)
     while seen[0]:
         if seen[0] <= HELD:
-            cur = cut(cur.coalesce(1).mapInArrow(_contract, "u long, v long"), "edges")
+            last, cur = cur, cut(cur.coalesce(1).mapInArrow(_contract, "u long, v long"), "edges")
+            release(last)
             break
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -82,11 +83,14 @@ def components(edges: DataFrame) -> DataFrame:
             .select("e.u", "e.v")
             .where("u <> v")
         )
-        cur = cut(told(small), "edges")
+        last, cur = cur, cut(told(small), "edges", narrow=True)
+        release(last)
         now = _stats(cur)
         if now == seen:
             break
         seen = now
-    return cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
+    out = cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
         cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+    out._written_to = cur._written_to  # for whoever has copied the result and releases it
+    return out

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .ids import drop_ids, maybe
-from .storage import cut, small_batches
+from .storage import cut, release, small_batches
 from .text import mix, shingle_sets
 
 #: Sets in a bucket up to which all pairs are taken.
@@ -395,14 +395,17 @@ def _frames(texts: DataFrame, rows: DataFrame, frequent: bytes) -> DataFrame:
     meets = rows.join(led.select(F.col("leader").alias("node")), "node").join(first.join(led, "leader"), ["key", "c"])
     above = meets.groupBy("node").agg(F.max_by("leader", F.struct("led", "leader")).alias("above"))
     leads = first.join(above.withColumnRenamed("node", "leader"), "leader").select("key", F.col("above").alias("leader"))
-    asked = cut(rows.join(leads, "key").where("node <> leader").select("leader", "node").distinct(), "asked")
+    asked = cut(rows.join(leads, "key").where("node <> leader").select("leader", "node").distinct(), "asked", narrow=True)
     dealt, heads = _squads(asked, "leader", "node")
-    return (
+    out = cut(
         dealt.join(texts.select("node", F.col("text").alias("text_x")), "node")
         .join(heads.join(texts.select(F.col("node").alias("leader"), F.col("text").alias("text_l")), "leader"), ["leader", "part"])
         .select("leader", "node", "text_l", "text_x")
-        .mapInArrow(_differences(frequent), _FRAMES)
+        .mapInArrow(_differences(frequent), _FRAMES),
+        "frames",
     )
+    release(asked)
+    return out
 
 
 def _component(comp: DataFrame, node: str, name: str) -> DataFrame:
@@ -455,8 +458,8 @@ def _next_level(frames: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFram
     return cut(index, "index"), probe
 
 
-def _deal(index: DataFrame, probe: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tokens of a level -> (pairs(a, b) of small buckets, rows(key, node, c) of crowded ones).
+def _deal(index: DataFrame, probe: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tokens of a level -> (pairs(a, b) of small buckets, rows(key, node, c) of crowded ones, the table both come from).
 
     A bucket with at most BUCKET rows of either kind emits at most so many pairs a row.
     """
@@ -467,7 +470,7 @@ def _deal(index: DataFrame, probe: DataFrame) -> tuple[DataFrame, DataFrame]:
     side = lambda s, which: dealt.where(~F.col("crowded") & which).select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "c", "left", "mass")))
     met = side("x", ~F.col("probe")).join(side("y", F.col("probe")), "key").where("c_x <> c_y AND 14 * least(left_x, left_y) >= mass_x + mass_y")
     met = met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-    return met, dealt.where("crowded").select("key", "node", "c").distinct()
+    return met, dealt.where("crowded").select("key", "node", "c").distinct(), dealt
 
 
 def _in_full(rows: DataFrame, comp: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -477,8 +480,17 @@ def _in_full(rows: DataFrame, comp: DataFrame, nodes: DataFrame) -> DataFrame:
     return side("a").join(side("b"), "key").where("a < b AND c_a <> c_b").where(_plausible()).select("a", "b").distinct()
 
 
+def _pairs_in(rows: DataFrame) -> int:
+    """Pairs of the crowded buckets rows(key, node, ...)."""
+    size = rows.groupBy("key").agg(F.count("*").alias("n"))
+    return size.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+
+
 def _linked_components(links: DataFrame) -> DataFrame:
-    return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    out = cut(found, "comp", narrow=True)
+    release(found)
+    return out
 
 
 def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -500,35 +512,43 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     frequent = _bitmap(spark, meta.select(F.explode("often").alias("h")), _key_position("h"))
     tokens = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_tokens(frequent), _TOKENS)
     met = cut(tokens.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, _MET), "met")
-    pairs = cut(_screened(nodes, met.where("NOT crowded").select("a", "b").distinct()), "pairs")
-    rows = met.where("crowded").select(F.col("a").alias("key"), F.col("b").alias("node"), F.lit(0).cast("long").alias("c"))
+    pairs = [cut(_screened(nodes, met.where("NOT crowded").select("a", "b").distinct()), "pairs", narrow=True)]
+    rows = cut(met.where("crowded").select(F.col("a").alias("key"), F.col("b").alias("node"), F.lit(0).cast("long").alias("c")), "crowded", narrow=True)
+    release(met)
     # Texts of the sets that meet any other, read once.
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(rows.select("node")).distinct().join(nodes.select("node", "doc"), "node")
-    asked = cut(asked, "asked")
+    asked = pairs[0].select(F.explode(F.array("a", "b")).alias("node")).unionByName(rows.select("node")).distinct().join(nodes.select("node", "doc"), "node")
+    asked = cut(asked, "asked", narrow=True)
     texts = maybe(docs, "doc_id", asked.select("doc")).join(asked.withColumnRenamed("doc", "doc_id"), "doc_id").dropDuplicates(["doc_id"])
     texts = cut(texts.select("node", "text"), "texts")
+    release(asked)
     # One edge a set first: of a small group of copies this leaves one component.
-    tried = cut(pairs.groupBy("b").agg(F.min_by(F.struct("a", "n_a", "n_b"), "a").alias("x")).select("x.a", "b", "x.n_a", "x.n_b"), "ask")
-    links = cut(_verified(texts, tried), "links")
-    comp = None
+    tried = cut(pairs[0].groupBy("b").agg(F.min_by(F.struct("a", "n_a", "n_b"), "a").alias("x")).select("x.a", "b", "x.n_a", "x.n_b"), "ask", narrow=True)
+    links = [cut(_verified(texts, tried), "links")]
+    comp, n = None, nodes.count()
     for _ in range(LEVELS):
-        if rows.isEmpty():
+        if _pairs_in(rows) <= BUCKET * n:  # no more than small buckets may give: these are compared in full
             break
-        frames = cut(_frames(texts, rows, frequent), "frames")
-        links = links.unionByName(frames.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")))
-        comp = cut(_linked_components(links), "comp")
-        more, rows = _deal(*_next_level(frames, comp))
-        pairs = pairs.unionByName(cut(_screened(nodes, more), "pairs"))
-        rows = cut(rows, "crowded")
-    else:
-        if not rows.isEmpty():
-            pairs = pairs.unionByName(_screened(nodes, _in_full(rows, comp, nodes)))
+        frames = _frames(texts, rows, frequent)
+        links.append(cut(frames.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")), "links", narrow=True))
+        comp, spent = _linked_components(_all(links)), [comp, frames, rows]
+        index, probe = _next_level(frames, comp)
+        more, crowded, dealt = _deal(index, probe)
+        pairs.append(cut(_screened(nodes, more), "pairs", narrow=True))
+        rows = cut(crowded, "crowded", narrow=True)
+        release(index, probe, dealt, *(t for t in spent if t is not None))
     if comp is None:
-        comp = cut(_linked_components(links), "comp")
-    apart = pairs.join(_component(comp, "a", "ca"), "a", "left").join(_component(comp, "b", "cb"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
-    rest = cut(apart.select("a", "b", "n_a", "n_b").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
-    more = cut(_verified(texts, rest), "links")
-    return meta.select("doc_id", "n", "node"), nodes, links.unionByName(more)
+        comp = _linked_components(_all(links))
+    if not rows.isEmpty():
+        pairs.append(cut(_screened(nodes, _in_full(rows, comp, nodes)), "pairs", narrow=True))
+    apart = _all(pairs).join(_component(comp, "a", "ca"), "a", "left").join(_component(comp, "b", "cb"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
+    rest = cut(apart.select("a", "b", "n_a", "n_b").distinct().join(tried, ["a", "b"], "left_anti"), "rest", narrow=True)
+    links.append(cut(_verified(texts, rest), "links"))
+    release(texts, tried, rest, comp, rows, *pairs)
+    return meta.select("doc_id", "n", "node"), nodes, _all(links)
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
