@@ -48,9 +48,9 @@ VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 _TOKENS = "doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
 
 
-def vocabulary_path(spark: SparkSession, name: str) -> str:
+def vocabulary_path(spark: SparkSession | None, name: str) -> str:
     """A vocabulary file's path: in the folder that the session names, or where the machine offers it."""
-    folder = spark.conf.get(FOLDER_KEY, None)
+    folder = spark and spark.conf.get(FOLDER_KEY, None)
     if folder:
         return os.path.join(folder, name)
     try:

@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import VOCABULARY_A, vocabulary_path
+
 # Fixed values of the template.
 OPEN, AFTER_ROLE, CLOSE = "### ", ": ", " </turn>\n"
 TRAINED_ROLE = "assistant"
@@ -30,13 +32,10 @@ _TEXT = str.maketrans({c: "\\" + c for c in "\\#<"})
 _ROLE = str.maketrans({c: "\\" + c for c in "\\#<:\n"})
 
 
-def default_tokenizer() -> str:
-    """Path of the byte-level vocabulary that the machine offers."""
-    try:
-        import public_tokenizers
-    except ImportError as e:
-        raise ValueError("no vocabulary on this machine: name the file of one (argument tokenizer)") from e
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+def default_tokenizer(spark: SparkSession | None = None) -> str:
+    """Path of the byte-level vocabulary: in the folder that the session names, or where the machine offers it."""
+    spark = spark or SparkSession.getActiveSession()
+    return vocabulary_path(spark, VOCABULARY_A)
 
 
 def unescape(text: str) -> str:
@@ -172,10 +171,10 @@ def format_conversations(turns: DataFrame, tokenizer: str | None = None) -> Data
     empty.  Rows with a null conv_id form one conversation of that id.  Other
     columns are ignored.  A conversation is one unit of work, as it is rendered whole
     and encoded once: a task holds the longest one, its tokens and their offsets.
-    ``tokenizer``: path, on the driver, of a vocabulary file; its bytes are sent to
-    the executors.
+    ``tokenizer``: path, on the driver, of a vocabulary file (else that of the session's
+    setting ``isobar.tokenizers``); its bytes are sent to the executors.
     """
-    with open(tokenizer or default_tokenizer(), "rb") as f:
+    with open(tokenizer or default_tokenizer(turns.sparkSession), "rb") as f:
         vocabulary = turns.sparkSession.sparkContext.broadcast(f.read())
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
