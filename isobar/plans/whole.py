@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from isobar.functions import grid, harmonics
 from isobar.operators import fields as fl
-from isobar.operators import metrics
+from isobar.operators import gradient, metrics
 from isobar.plans import sql as S
 from isobar.plans.catalogue import _OVER, CELL, _scratch, query, rounded
-from isobar.sources import state
+from isobar.sources import arrays, state
 from isobar.streaming import changes
 
 
@@ -158,3 +158,28 @@ def q_whole_stream_changes(spark, d):
         changes.write_changes(spark.readStream.schema(schema).parquet(f"{root}/in"), 2, f"{root}/out", f"{root}/checkpoint")
     out = spark.read.parquet(f"{root}/out").where("kind = 'change'")
     return cells(out.select("t_idx", "channel_idx", "field")).select(*CELL, "value")
+
+
+@query(
+    f"WITH {S.WHOLE} SELECT CAST(label AS INTEGER) AS channel_idx, count(*) AS n_fields, CAST(min(t_idx) AS BIGINT) AS first_t, CAST(max(t_idx) AS BIGINT) AS last_t, CAST(max(t_idx) - min(t_idx) + 1 - count(DISTINCT t_idx) AS BIGINT) AS missing, CAST(count(*) - count(DISTINCT t_idx) AS BIGINT) AS repeated, CAST(min(len(embedding)) AS INTEGER) AS least_cells, CAST(max(len(embedding)) AS INTEGER) AS most_cells FROM ranked GROUP BY 1"
+)
+def q_whole_archive(spark, d):
+    """What a field table holds, channel by channel."""
+    return arrays.describe_fields(state.whole_fields(spark, d))
+
+
+#: Settings of the registered training run.
+TRAINING = gradient.Training(epochs=3, batch=16, rate=0.3, warmup=1)
+TRAINED_DEGREES = 4
+
+
+@query()
+def q_whole_trained_tendency(spark, d):
+    """Factors per channel and degree after the best of three epochs; tested against the loop in plain numpy."""
+    root, c = _scratch(spark, "training"), Whole(spark, d)
+    seen = c.fields.where(F.col("t_idx") < c.n * 8 // 10)
+    pairs = gradient.tendency_pairs(fl.pass_changes(c.passed(seen, 1, differences=True, digests=False), 1))
+    gradient.spectral_samples(pairs, state.WHOLE, c.weights, TRAINED_DEGREES).write.parquet(f"{root}/samples")
+    channels = sorted(r[0] for r in seen.select("channel_idx").distinct().collect())
+    run = gradient.train(spark.read.parquet(f"{root}/samples"), (1, c.n * 6 // 10), (c.n * 6 // 10, c.n * 8 // 10), channels, TRAINED_DEGREES, f"{root}/run", TRAINING)
+    return rounded(gradient.best_factors(run))

@@ -38,27 +38,30 @@ def world(spark, tmp_path_factory):
     return z, spark.read.parquet(f"{path}/samples")
 
 
-def plain(z, settings, first=1, end=49, held=(49, 69)):
-    """(factors, losses by epoch) of the same loop, on whole fields."""
-    table = list(islice(harmonics.legendre(H, DEGREES), W // 2 + 1))
-    w = WEIGHTS / WEIGHTS.sum()
-    x = {(c, t): gr.degree_parts((z[c, t] - z[c, t - 1]).reshape(1, H, W), table, DEGREES)[0] for c in range(2) for t in range(1, 69)}
-    y = {(c, t): z[c, t + 1] - z[c, t] for c in range(2) for t in range(1, 69)}
-    f, losses, n = np.zeros((2, DEGREES)), [], end - first
+def plain(z, settings, first=1, end=49, held=(49, 69), shape=(H, W), weights=WEIGHTS, degrees=DEGREES):
+    """(factors by epoch, losses by epoch) of the same loop, on whole fields z[channel][time]."""
+    table = list(islice(harmonics.legendre(shape[0], degrees), shape[1] // 2 + 1))
+    w = weights / weights.sum()
+    at = [(c, t) for c in range(len(z)) for t in range(1, len(z[c]) - 1)]
+    x = {(c, t): gr.degree_parts((z[c][t] - z[c][t - 1]).reshape(1, *shape), table, degrees)[0] for c, t in at}
+    y = {(c, t): z[c][t + 1] - z[c][t] for c, t in at}
+    f, told, losses, n = np.zeros((len(z), degrees)), [], [], end - first
     updates = -(-n // settings.batch)
     for epoch in range(settings.epochs):
         order = permuted(np.arange(n), n, settings.seed, epoch) + first
         for k in range(updates):
             g, m = np.zeros_like(f), 0
             for t in order[k * settings.batch : (k + 1) * settings.batch].tolist():
-                for c in range(2):
-                    g[c] += -2 * (x[c, t] * w) @ (y[c, t] - f[c] @ x[c, t])
-                    m += 1
-            g /= m
+                for c in range(len(z)):
+                    if (c, t) in x:
+                        g[c] += -2 * (x[c, t] * w) @ (y[c, t] - f[c] @ x[c, t])
+                        m += 1
+            g /= max(1, m)
             norm = np.sqrt((g * g).sum())
             f = f - gr._rate(settings, epoch * updates + k, settings.epochs * updates) * min(1, settings.clip / norm) * g
-        losses.append(np.mean([w @ (y[c, t] - f[c] @ x[c, t]) ** 2 for c in range(2) for t in range(held[0], min(held[1], 69))]))
-    return f, losses
+        told.append(f)
+        losses.append(np.mean([w @ (y[c, t] - f[c] @ x[c, t]) ** 2 for c, t in at if held[0] <= t < held[1]]))
+    return told, losses
 
 
 def rows_of(run):
@@ -72,7 +75,8 @@ def go(samples, path, settings=SETTINGS):
 def test_loop_resume_and_gain(spark, world, tmp_path, monkeypatch):
     z, samples = world
     run = rows_of(go(samples, str(tmp_path / "a")))
-    f, losses = plain(z, SETTINGS)
+    told, losses = plain(z, SETTINGS)
+    f = told[-1]
     assert [r[3] for r in run if r[0] == 4] == pytest.approx(f.ravel().tolist(), rel=1e-9, abs=1e-12)
     assert sorted({(r[0], r[4]) for r in run}) == [(k, pytest.approx(x, rel=1e-9)) for k, x in enumerate(losses)]
     # broken off in the third epoch and resumed, over other partitions: the same bits
@@ -108,6 +112,24 @@ def test_loop_resume_and_gain(spark, world, tmp_path, monkeypatch):
         assert np.allclose(out[c], z[c, 49] + f[c] @ gr.degree_parts((z[c, 49] - z[c, 48]).reshape(1, H, W), table, DEGREES)[0])
 
 
+def test_registered_run_by_brute_force(spark):
+    from isobar.functions import grid
+    from isobar.plans import whole
+    from isobar.sources import state
+
+    where = "/root/testdata/sf0.001"
+    weights = fl.cell_weights([r.area_w for r in grid.area_weights(state.dim_lat(spark, 8)).orderBy("lat_idx").collect()], 8)
+    series = {}
+    for r in state.whole_fields(spark, where).orderBy("channel_idx", "t_idx").collect():
+        series.setdefault(r.channel_idx, []).append(np.array(r.field, float))
+    n = max(map(len, series.values()))
+    z = [np.array(series[c][: n * 8 // 10]) for c in sorted(series)]
+    told, losses = plain(z, whole.TRAINING, 1, n * 6 // 10, (n * 6 // 10, n * 8 // 10), state.WHOLE, weights, whole.TRAINED_DEGREES)
+    got = {(r.channel_idx, r.degree): r.factor for r in whole.q_whole_trained_tendency(spark, where).collect()}
+    best = told[int(np.argmin(losses))]
+    assert got == {(c, d): pytest.approx(best[k, d], abs=2e-6) for k, c in enumerate(sorted(series)) for d in range(whole.TRAINED_DEGREES)}
+
+
 def test_early_stop_and_bad_gradients(spark, world, tmp_path):
     _, samples = world
     run = rows_of(go(samples, str(tmp_path / "a"), replace(SETTINGS, patience=1, least=10.0)))
