@@ -767,12 +767,9 @@ def q_batch_store(spark, d):
     root = _scratch(spark, "store")
     c = Ctx(spark, d)
     contract = publish.download_contract("driver", list(schema.DRIVER_CHANNELS), "2024-01-01", "2024-01-11", 6, 30.0)
-    batches = -(-c.n_times // 16)
-    rows = lambda b: c.state.where((F.col("t_idx") >= 16 * b) & (F.col("t_idx") < 16 * (b + 1)))
-    publish.BatchStore(spark, root, "state", contract).append(0, rows(0))
+    publish.BatchStore(spark, root, "state", contract).append(0, c.state.where("t_idx < 16"))
     store = publish.BatchStore(spark, root, "state", contract)
-    for b in range(store.resume(), batches):
-        store.append(b, rows(b))
+    store.extend(c.state.withColumn("batch", F.expr("CAST(t_idx DIV 16 AS INT)")), -(-c.n_times // 16))
     store.publish(lambda t: validate.cadence(t.select("t_idx", "ts").distinct()).where("NOT regular"))
     return rounded(spark.read.parquet(f"{root}/state").groupBy("batch").agg(F.count("*").alias("n"), F.sum("value").alias("total")))
 

@@ -71,8 +71,8 @@ def download_contract(source: str, channels: list[str], start: str, end: str, st
 class BatchStore:
     """A state table built in batches: append, journal, resume, publish.
 
-    Batches go to ``<name>.partial`` partitioned by batch; the journal names the
-    last committed one.  A restart drops whatever lies past the journal, refuses a
+    Batches go to ``<name>.partial`` partitioned by batch, one by one (``append``) or all
+    that a table holds (``extend``); the journal names the last committed one.  A restart drops whatever lies past the journal, refuses a
     changed contract, and sets an uncommitted first batch aside.  ``publish``
     renames the table to its final name after validation; an existing table is
     never overwritten.
@@ -94,11 +94,17 @@ class BatchStore:
             return 0
         if saved["fingerprint"] != self.digest:
             raise ValueError(f"the contract changed: {differences(saved['contract'], self.contract)}")
-        for part in self.folder.list(self.partial):
-            if part.startswith("batch=") and int(part[6:]) >= saved["committed"]:
-                self.folder.delete(f"{self.partial}/{part}")
+        for b in self._written():
+            if b >= saved["committed"]:
+                self.folder.delete(f"{self.partial}/batch={b}")
         return saved["committed"]
 
+    def _written(self) -> list[int]:
+        return sorted(int(p[6:]) for p in self.folder.list(self.partial) if p.startswith("batch="))
+
+    def _commit(self, batches: int) -> None:
+        self.folder.write_json(self.journal, {"committed": batches, "contract": self.contract, "fingerprint": self.digest})
+
     def append(self, batch: int, rows: DataFrame) -> None:
         """Idempotent: a batch written twice is there once.  A batch that leaves a gap is refused."""
         saved = self.folder.read_json(self.journal)
@@ -106,7 +112,26 @@ class BatchStore:
         if batch > done:
             raise ValueError(f"batch {batch} does not follow the {done} committed ones")
         rows.write.mode("overwrite").parquet(f"{self.folder.root}/{self.partial}/batch={batch}")
-        self.folder.write_json(self.journal, {"committed": max(done, batch + 1), "contract": self.contract, "fingerprint": self.digest})
+        self._commit(max(done, batch + 1))
+
+    def extend(self, rows: DataFrame, end: int, *by: str) -> int:
+        """All batches from the committed ones up to ``end`` of ``rows(batch, ...)`` in one job, journalled together.
+
+        ``rows`` is evaluated once, however many batches there are.  Rows of committed
+        batches are left out, and batches that an interrupted call left are replaced; a
+        batch without rows is a gap and refused.  Rows are dealt by batch and ``by``: a
+        large batch needs further columns to go to more than one task.
+        """
+        done = self.resume()
+        if end <= done:
+            return done
+        mine = rows.where((F.col("batch") >= done) & (F.col("batch") < end)).repartition("batch", *by)
+        mine.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.folder.root}/{self.partial}")
+        gaps = sorted(set(range(done, end)) - set(self._written()))
+        if gaps:
+            raise ValueError(f"{len(gaps)} batches have no rows, the first is {gaps[0]}")
+        self._commit(end)
+        return end
 
     def table(self) -> DataFrame:
         at = self.partial if self.folder.exists(self.partial) else self.name

@@ -168,6 +168,40 @@ def test_batch_store_recovers(spark, tmp_path):
         store.resume()
 
 
+def test_batch_store_extends_by_many_batches(spark, tmp_path):
+    root, c = str(tmp_path), {"v": 1}
+    rows = cells(spark, np.arange(40.0).reshape(10, 1, 2, 2)).withColumn("batch", F.expr("CAST(t_idx DIV 2 AS INT)"))
+    told = lambda store: sorted((r["batch"], r["value"]) for r in store.table().collect())
+    want = [(k // 8, float(k)) for k in range(40)]
+    publish.BatchStore(spark, root, "s", c).append(0, rows.where("batch = 0").drop("batch"))
+    rows.where("batch = 3").drop("batch").withColumn("value", F.lit(-1.0)).write.parquet(f"{root}/s.partial/batch=3")  # left by an interrupted call
+    store = publish.BatchStore(spark, root, "s", c)
+    with pytest.raises(ValueError, match="1 batches have no rows, the first is 3"):
+        store.extend(rows.where("batch <> 3"), 5)
+    assert store.resume() == 1
+    changed = rows.withColumn("value", F.when(F.col("batch") == 0, -1.0).otherwise(F.col("value")))
+    assert store.extend(changed, 4, "t_idx") == 4  # committed batches stay as they are
+    assert told(store) == want[:32]
+    assert store.extend(rows, 5) == store.extend(rows, 5) == 5
+    assert told(store) == want
+    with pytest.raises(ValueError, match="contract changed"):
+        publish.BatchStore(spark, root, "s", {"v": 2}).extend(rows, 6)
+
+
+def test_batch_store_query_runs_as_many_jobs_over_more_batches(spark, tmp_path):
+    from isobar.plans import catalogue
+
+    jobs = []
+    for n in (40, 200):  # 3 and 13 batches
+        path = f"{tmp_path}/{n}"
+        spark.range(2 * n).selectExpr("id AS vec_id", "transform(sequence(1, 64), x -> CAST(x + id AS FLOAT)) AS embedding", "CAST(id % 2 AS INT) AS label").write.parquet(f"{path}/embeddings.parquet")
+        spark.sparkContext.setJobGroup(path, "batch store")
+        assert catalogue.q_batch_store(spark, path).count() == -(-n // 16)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(path)))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 3
+
+
 def test_statistics_bundle(spark, tmp_path):
     root = f"{tmp_path}/bundle"
     a = spark.createDataFrame([(0, 1.0)], "channel_idx int, mean double")
