@@ -29,18 +29,30 @@ def permuted(positions: np.ndarray, n: int, seed: int, epoch: int) -> np.ndarray
     4 n; a result beyond n is sent through again until it lies within (cycle walking,
     two or three times on average).
     """
+    return _walked(positions, n, seed, epoch, False)
+
+
+def position_of(windows: np.ndarray, n: int, seed: int, epoch: int) -> np.ndarray:
+    """The inverse of ``permuted``: the positions that go to the windows 0 <= w < n."""
+    return _walked(windows, n, seed, epoch, True)
+
+
+def _walked(numbers: np.ndarray, n: int, seed: int, epoch: int, back: bool) -> np.ndarray:
     if n < 1:
         raise ValueError("nothing to permute")
     half = np.uint64(max(1, (int(n - 1).bit_length() + 1) // 2))
     mask = (np.uint64(1) << half) - np.uint64(1)
     with np.errstate(over="ignore"):
         keys = [int(k) for k in _scramble(np.arange(1, _ROUNDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed % 2**64) * np.uint64(31), epoch % 2**63)]
-        out = np.asarray(positions, np.uint64).copy()
+        out = np.asarray(numbers, np.uint64).copy()
         todo = np.arange(len(out))
         while len(todo):
             left, right = out[todo] >> half, out[todo] & mask
-            for key in keys:
-                left, right = right, left ^ (_scramble(right, key) & mask)
+            for key in reversed(keys) if back else keys:
+                if back:
+                    left, right = right ^ (_scramble(left, key) & mask), left
+                else:
+                    left, right = right, left ^ (_scramble(right, key) & mask)
             out[todo] = left << half | right
             todo = todo[out[todo] >= n]
     return out.astype(np.int64)

@@ -2,28 +2,28 @@
 
 The model says that the part of degree l of the next tendency is a multiple of that
 part of the last one.  Its loss is quadratic, so one narrow pass over the fields turns
-every sample into a small matrix and vector; the loop of epochs and updates reads only
-these.  A gradient is a sum over the samples of an update in fixed point: the same bits
-however the rows are dealt, so a run that was broken off and resumed equals an unbroken
-one.  The driver holds the parameters (channels x degrees) and nothing that grows with
-the samples.
+every sample into a small matrix and vector, and the gradient of an update needs only
+their sums.  One job an epoch sums all its updates, in fixed point: the same bits however
+the rows are dealt, so a run that was broken off and resumed equals an unbroken one.
+Updates follow each other by nature: the driver takes their sums in order, a partition at
+a time, and holds the parameters (channels x degrees).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import asdict, dataclass
-from itertools import islice
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from isobar.functions import harmonics
-from isobar.operators.epochs import permuted
+from isobar.operators.epochs import position_of
 from isobar.operators.fields import _fields
 
 _EXACT = "decimal(38,18)"
@@ -71,37 +71,45 @@ def spectral_samples(pairs: DataFrame, shape: tuple[int, int], weights: Sequence
     return pairs.select("sample_idx", "channel_idx", "x", "y").mapInArrow(run, "sample_idx long, channel_idx int, gram array<double>, cross array<double>, power double")
 
 
-def _sums(samples: DataFrame, factors: dict[int, np.ndarray], first: int, n: int, seed: int, epoch: int, low: int, high: int) -> dict[int, tuple[int, float, np.ndarray]]:
-    """{channel: (samples, loss, gradient), summed} over the windows at the positions low <= p < high of an epoch.
+def _totals(samples: DataFrame, first: int, n: int, update_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """update, channel_idx, n, sums: the samples of each update, and their gram, cross and power summed, in this order.
 
-    Windows are numbered from ``first``; their order is the epoch's permutation.
+    Windows are numbered from ``first``; ``update_of`` gives the update of the windows
+    0 <= w < n.  A number that is not finite, or beyond fixed point, makes its sum NaN.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        taken = permuted(np.arange(low, high), n, seed, epoch) + first  # the windows of one update
         for batch in batches:
-            ids = batch.column("sample_idx").to_numpy(zero_copy_only=False)
-            out = []
-            for k in np.flatnonzero(np.isin(ids, taken)).tolist():
-                c = batch.column("channel_idx")[k].as_py()
-                f, cross = factors[c], np.array(batch.column("cross")[k].as_py(), float)
-                gram = np.array(batch.column("gram")[k].as_py(), float).reshape(len(f), len(f))
-                # only additions in a fixed order, so a sample gives the same bits everywhere
-                moved = (gram * f).sum(axis=1)
-                loss = batch.column("power")[k].as_py() - 2 * math.fsum(f * cross) + math.fsum(f * moved)
-                out += [(c, -1, loss), *((c, d, x) for d, x in enumerate((2 * (moved - cross)).tolist()))]
-            columns = list(zip(*out, strict=True)) if out else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int32(), pa.float64()), strict=True)], ["channel_idx", "degree", "x"])
-
-    told = samples.mapInArrow(run, "channel_idx int, degree int, x double").groupBy("channel_idx", "degree").agg(F.count("*").alias("n"), F.sum(F.col("x").cast(_EXACT)).cast("double").alias("x"))
-    out: dict[int, tuple[int, float, np.ndarray]] = {}
-    for r in told.collect():  # a row per parameter
-        count, loss, g = out.get(r["channel_idx"], (0, 0.0, np.zeros(len(factors[r["channel_idx"]]))))
-        if r["degree"] < 0:
-            count, loss = r["n"], r["x"]
-        else:
-            g[r["degree"]] = r["x"]
-        out[r["channel_idx"]] = (count, loss, g)
+            ids = batch.column("sample_idx").to_numpy(zero_copy_only=False) - first
+            own = np.flatnonzero((ids >= 0) & (ids < n))
+            if not len(own):
+                continue
+            taken = batch.take(pa.array(own))
+            told = [taken.column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1) for c in ("gram", "cross")]
+            x = np.hstack([*told, taken.column("power").to_numpy(zero_copy_only=False)[:, None]])
+            width = x.shape[1]
+            update = np.repeat(update_of(ids[own]), width)
+            channel = np.repeat(taken.column("channel_idx").to_numpy(zero_copy_only=False), width)
+            part = np.tile(np.arange(width, dtype=np.int32), len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(update), pa.array(channel), pa.array(part), pa.array(x.ravel())], ["update", "channel_idx", "part", "x"])
+
+    x = F.expr(f"try_cast(x AS {_EXACT})")
+    told = samples.select("sample_idx", "channel_idx", "gram", "cross", "power").mapInArrow(run, "update long, channel_idx int, part int, x double")
+    told = told.groupBy("update", "channel_idx", "part").agg(F.count("*").alias("n"), F.when(F.count(x) == F.count("*"), F.sum(x).cast("double")).otherwise(F.lit(math.nan)).alias("x"))
+    rows = F.array_sort(F.collect_list(F.struct("part", "x")))
+    return told.groupBy("update", "channel_idx").agg(F.max("n").alias("n"), F.transform(rows, lambda r: r["x"]).alias("sums"))
+
+
+def _sums(totals: Iterable[Row], factors: dict[int, np.ndarray]) -> dict[int, tuple[int, float, np.ndarray]]:
+    """{channel: (samples, loss, gradient), summed} from the rows of one update (see ``_totals``)."""
+    out = {}
+    for r in totals:
+        f, x = factors[r["channel_idx"]], np.array(r["sums"])
+        d = len(f)
+        cross = x[d * d : -1]
+        moved = (x[: d * d].reshape(d, d) * f).sum(axis=1)  # additions in a fixed order
+        loss = float(x[-1]) - 2 * math.fsum(f * cross) + math.fsum(f * moved)
+        out[r["channel_idx"]] = (r["n"], loss, 2 * (moved - cross))
     return out
 
 
@@ -132,12 +140,15 @@ def train(samples: DataFrame, train_range: tuple[int, int], held_out: tuple[int,
     Windows first <= sample_idx < end of ``train_range`` are taken once an epoch, ``batch``
     at a time; ``loss`` is that of ``held_out`` after the epoch.  Training ends after
     ``epochs``, or when the loss has not fallen by ``least`` for ``patience`` epochs.  A
-    run goes on after the last epoch that ``path`` holds.  A gradient that is not finite
+    run goes on after the last epoch that ``path`` holds.  An epoch is one job over
+    ``samples``, however many updates it has.  A gradient that is not finite
     is an error; one longer than ``clip`` is shortened to it.
     """
     s, spark = settings or Training(), samples.sparkSession
     first, n = train_range[0], train_range[1] - train_range[0]
     updates = -(-n // s.batch)
+    if held_out[1] <= held_out[0]:
+        raise ValueError("no windows are held out")
     factors, begin, best, stale = {c: np.zeros(degrees) for c in channels}, 0, math.inf, 0
     schema = "channel_idx int, degree int, factor double, loss double, best double, stale int, norm double, settings string, epoch int"
     try:
@@ -154,12 +165,20 @@ def train(samples: DataFrame, train_range: tuple[int, int], held_out: tuple[int,
                 raise ValueError("the run in this folder has other settings")
             factors[r["channel_idx"]][r["degree"]] = r["factor"]
             begin, best, stale = last + 1, r["best"], r["stale"]
+    judged = None
     for epoch in range(begin, s.epochs):
         if stale >= s.patience:
             break
+        if judged is None:  # the same rows after every epoch: one a channel
+            judged = _totals(samples, held_out[0], held_out[1] - held_out[0], np.zeros_like).collect()
         norm = 0.0
+        order = lambda w, epoch=epoch: position_of(w, n, s.seed, epoch) // s.batch
+        ordered = groupby(_totals(samples, first, n, order).orderBy("update", "channel_idx").toLocalIterator(), lambda r: r["update"])
+        at, rows = next(ordered, (None, ()))
         for k in range(updates):
-            sums = _sums(samples, factors, first, n, s.seed, epoch, k * s.batch, min(n, (k + 1) * s.batch))
+            sums = _sums(rows if at == k else (), factors)
+            if at == k:
+                at, rows = next(ordered, (None, ()))
             total = max(1, sum(m for m, _, _ in sums.values()))
             gradient = {c: g / total for c, (_, _, g) in sums.items()}
             norm = math.sqrt(math.fsum(x * x for c in sorted(gradient) for x in gradient[c].tolist()))
@@ -167,7 +186,7 @@ def train(samples: DataFrame, train_range: tuple[int, int], held_out: tuple[int,
                 raise FloatingPointError(f"gradient of epoch {epoch}, update {k}")
             scale = _rate(s, epoch * updates + k, s.epochs * updates) * (min(1.0, s.clip / norm) if norm else 1.0)
             factors = {c: f - scale * gradient[c] if c in gradient else f for c, f in factors.items()}
-        lost = _sums(samples, factors, held_out[0], held_out[1] - held_out[0], 0, 0, 0, held_out[1] - held_out[0])
+        lost = _sums(judged, factors)
         loss = math.fsum(x for _, x, _ in lost.values()) / max(1, sum(m for m, _, _ in lost.values()))
         best, stale = (loss, 0) if loss < best - s.least else (best, stale + 1)
         out = [(c, d, float(x), loss, best, stale, norm, told, epoch) for c in channels for d, x in enumerate(factors[c])]

@@ -9,7 +9,7 @@ import pytest
 from isobar.functions import harmonics
 from isobar.operators import fields as fl
 from isobar.operators import gradient as gr
-from isobar.operators.epochs import permuted
+from isobar.operators.epochs import permuted, position_of
 
 H, W, DEGREES = 9, 16, 4
 WEIGHTS = fl.cell_weights(harmonics.quadrature(H), W)
@@ -138,3 +138,29 @@ def test_early_stop_and_bad_gradients(spark, world, tmp_path):
     bad = samples.selectExpr("sample_idx", "channel_idx", "gram", "transform(cross, x -> x * 1e300 * 1e300) AS cross", "power")
     with pytest.raises(Exception):
         go(bad, str(tmp_path / "b"))
+
+
+def test_an_epoch_is_one_pass_whatever_its_updates(spark, world, tmp_path):
+    z, samples = world
+    jobs = []
+    for batch in (48, 2):  # one update, 24 updates
+        spark.sparkContext.setJobGroup(f"epoch-{batch}", "training")
+        run = rows_of(go(samples, str(tmp_path / str(batch)), replace(SETTINGS, epochs=1, batch=batch)))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"epoch-{batch}")))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        told, losses = plain(z, replace(SETTINGS, epochs=1, batch=batch))
+        assert [r[3] for r in run] == pytest.approx(told[0].ravel().tolist(), rel=1e-9, abs=1e-12)
+        assert run[0][4] == pytest.approx(losses[0], rel=1e-9)
+    assert jobs[1] <= jobs[0] + 4
+
+
+def test_numbers_that_are_not_finite_end_a_run(spark, world, tmp_path):
+    _, samples = world
+    bad = samples.selectExpr("sample_idx", "channel_idx", "gram", "transform(cross, x -> IF(sample_idx = 7, CAST('NaN' AS DOUBLE), x)) AS cross", "power")
+    with pytest.raises(FloatingPointError, match="epoch 0"):
+        go(bad, str(tmp_path / "a"))
+
+
+def test_position_of_inverts_the_order():
+    for n in (1, 2, 5, 64, 1000):
+        assert (position_of(permuted(np.arange(n), n, 17, 3), n, 17, 3) == np.arange(n)).all()
