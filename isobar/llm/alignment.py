@@ -1,7 +1,7 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers stand over the same bytes.
 
-Python only tokenises: it sends a document's token ids and the byte offsets at which
-its tokens end, for both tokenizers.  All else is Spark's array functions:
+Python only tokenises: it sends token ids and the byte offsets at which tokens end,
+for both tokenizers.  Groups and links are found by Spark's array functions:
 
 - ``array_intersect`` of the two end arrays gives the offsets that cut both into groups;
 - all ends together cut the text into pieces, each under one token of either side, so
@@ -10,6 +10,12 @@ its tokens end, for both tokenizers.  All else is Spark's array functions:
   place less its own number.  That is a sort of two sorted runs, so a document costs
   time in proportion to its length.
 
+No token and so no group or link crosses the places at which texts are cut into parts
+(see ``_Units``).  The parts that occur most often, at most ``COMMON``, go through these
+functions once, in a table of their own; a task puts their groups and links in their
+places and sends only the tokens of a document's other parts.  Which parts are common
+changes no result.
+
 A pair of ids counts once per document.  Pairs held by over ``1 / FEW`` of all
 (document, pair) rows are at most FEW and are broadcast; what they do not answer is
 joined by a shuffle, in which no key is hot any more.
@@ -22,21 +28,23 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import new_path, small_batches
+from .storage import cut, new_path, release, small_batches
 
 #: Pairs that are broadcast, at most (16 bytes each).
 FEW = 1 << 20
-#: Bytes of text whose tokens a task sends at once.
+#: Parts that are aligned once for all documents, at most, and the characters of each.
+COMMON, LONGEST = 1 << 18, 64
+#: Characters of text whose tokens a task sends at once.
 _CHUNK = 1 << 19
 #: Characters of parts whose tokens a Python worker keeps.
-_HELD = 1 << 25
+_HELD = 1 << 24
 _CUT, _SPACES = re.compile(r"(?<=\S) "), re.compile(r"\s ")
 #: A character that some versions of Unicode call a space.
 _ODD_SPACE = re.compile("\u180e")
@@ -45,7 +53,9 @@ FOLDER_KEY = "isobar.tokenizers"
 # The two vocabularies of the registered query.
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
-_TOKENS = "doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
+_COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "known", "known_links", "a_ids", "a_ends", "b_ids", "b_ends"]
+#: Stands in a text of groups where those of a part that is not common go.
+_LATER = "\n"
 
 
 def vocabulary_path(spark: SparkSession | None, name: str) -> str:
@@ -145,70 +155,129 @@ class _Units:
             self.sizes[side] = np.append(self.sizes[side], sizes)
         self.whole = np.append(self.whole, whole)
 
-    def tokens(self, texts: list[str]) -> list[pa.Array]:
-        """a_ids, a_ends, b_ids, b_ends of each text."""
-        split = [self.parts(t) if t else [] for t in texts]
-        every = [p for parts in split for p in parts]
+    def numbers(self, parts: list[str]) -> np.ndarray:
         if self.held > _HELD:
             self.clear()
-        self.learn(every)
-        part = np.fromiter(map(self.number.__getitem__, every), np.int64, len(every))
-        edge = np.cumsum([0] + [len(p) for p in split])  # parts of each text
-        lost = np.flatnonzero(np.append(0, np.cumsum(~self.whole[part]))[edge[1:]] > np.append(0, np.cumsum(~self.whole[part]))[edge[:-1]])
-        if len(lost):  # texts that do not come back in bytes have no tokens
-            gone = np.zeros(len(split), bool)
-            gone[lost] = True
-            part = part[~np.repeat(gone, np.diff(edge))]
-            edge = np.append(0, np.cumsum(np.where(gone, 0, np.diff(edge))))
+        self.learn(parts)
+        return np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
+
+    def lost(self, part: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """Whether a text, whose parts lie between two edges, does not come back in bytes."""
+        return np.diff(np.append(0, np.cumsum(~self.whole[part]))[edge]) > 0
+
+    def arrays(self, part: np.ndarray, edge: np.ndarray, marked: bool) -> list[pa.Array]:
+        """a_ids, a_ends, b_ids, b_ends of each text; marked: twice the ends, and one more where a part ends."""
         out = []
         for count, ids, sizes in zip(self.count, self.ids, self.sizes, strict=True):
-            mine = count[part]
-            after = np.append(0, np.cumsum(mine))
-            at = np.repeat((np.cumsum(count) - count)[part] - after[:-1], mine) + np.arange(after[-1])
+            after, at = _places(np.cumsum(count) - count, count, part)
             total = np.append(0, np.cumsum(sizes[at], dtype=np.int64))
             border = after[edge]
-            ends = (total[1:] - np.repeat(total[border[:-1]], np.diff(border))).astype(np.int32)
-            offsets = pa.array(border.astype(np.int32))
-            out += [pa.ListArray.from_arrays(offsets, pa.array(ids[at])), pa.ListArray.from_arrays(offsets, pa.array(ends))]
+            ends = total[1:] - np.repeat(total[border[:-1]], np.diff(border))
+            if marked:
+                ends *= 2
+                ends[after[1:] - 1] += 1
+            out += [_lists(border, pa.array(ids[at])), _lists(border, pa.array(ends).cast(pa.int32()))]
         return out
 
+    def tokens(self, texts: list[str]) -> list[pa.Array]:
+        """a_ids, a_ends, b_ids, b_ends of each text."""
+        split = [self.parts(t) if t else [] for t in texts]
+        part, edge = self.numbers([p for parts in split for p in parts]), _edges(split)
+        return self.arrays(*_without(part, edge, self.lost(part, edge)), marked=False)
+
+    def pieces(self, texts: list[str], common: _Common) -> list[pa.Array]:
+        """The columns after doc_id of ``tokenise``."""
+        split = [self.parts(t) if t else [] for t in texts]
+        every, edge = [p for parts in split for p in parts], _edges(split)
+        known = np.fromiter(map(common.number.get, every, repeat(-1)), np.int64, len(every))
+        others = np.flatnonzero(known < 0)
+        part, inner = self.numbers([every[k] for k in others.tolist()]), np.searchsorted(others, edge)
+        gone = self.lost(part, inner)
+        if gone.any():  # texts that do not come back in bytes have no tokens
+            known, edge = _without(known, edge, gone)
+            part, inner = _without(part, inner, gone)
+        sums = [np.diff(np.append(0, np.cumsum(n[known]))[edge]) for n in common.sums]
+        for k, count in enumerate(self.count):
+            sums[k] += np.diff(np.append(0, np.cumsum(count[part]))[inner])
+        each = known.tolist()
+        groups = pa.array([";".join(map(common.groups.__getitem__, each[x:y])) for x, y in pairwise(edge.tolist())], pa.string())
+        after, at = _places(common.first, common.count, known)
+        return [*map(pa.array, sums), groups, _lists(after[edge], pa.array(common.links[at])), *self.arrays(part, inner, marked=True)]
+
+
+def _edges(split: list[list[str]]) -> np.ndarray:
+    return np.cumsum([0] + [len(parts) for parts in split])
+
+
+def _without(part: np.ndarray, edge: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = np.diff(edge)
+    return part[~np.repeat(gone, n)], np.append(0, np.cumsum(np.where(gone, 0, n)))
+
+
+def _places(first: np.ndarray, count: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the items of each part begin and end among those of all, and the place of each in the parts' own array."""
+    mine = count[part]
+    after = np.append(0, np.cumsum(mine))
+    return after, np.repeat(first[part] - after[:-1], mine) + np.arange(after[-1])
+
+
+def _lists(border: np.ndarray, items: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), items)
+
+
+class _Common:
+    """Groups and links of common parts, as ``align`` found them; number -1 is any other part."""
+
+    def __init__(self, rows: pa.Table | None, code: str):
+        kind = np.int32 if code == "int" else np.int64
+        self.number: dict[str, int] = {}
+        self.groups, self.sums = [_LATER], [np.zeros(1, np.int64) for _ in range(3)]
+        self.count, self.first, self.links = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, kind)
+        if rows is not None and rows.num_rows:
+            self.number = {p: k for k, p in enumerate(rows["doc_id"].to_pylist())}
+            self.groups = [*rows["groups"].to_pylist(), _LATER]
+            self.sums = [np.append(rows[c].to_numpy(), 0) for c in ("n_a", "n_b", "n_groups")]
+            links = rows["links"].combine_chunks()
+            self.count = np.append(links.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), 0)
+            self.first, self.links = np.cumsum(self.count) - self.count, links.flatten().to_numpy().astype(kind)
+
 
 @lru_cache(maxsize=1)
 def _units(a: bytes, b: bytes) -> _Units:
     return _Units(a, b)
 
 
-def _tokenise(vocabularies):
+def _tokenise(vocabularies, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = _units(*vocabularies.value)
-        names = ["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"]
         for batch in batches:
             texts, from_, size = [], 0, 0
             for k, text in enumerate(batch.column("text").to_pylist()):
                 texts.append(text or "")
                 size += len(texts[-1])
                 if size >= _CHUNK or k + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(from_, len(texts)), *units.tokens(texts)], names)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(from_, len(texts)), *units.pieces(texts, common.value)], _COLUMNS)
                     texts, from_, size = [], k + 1, 0
 
     return run
 
 
-def tokenise(docs: DataFrame, a: str, b: str) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> doc_id and both sides' ids and byte ends of " " + text.
+def tokenise(docs: DataFrame, vocabularies: tuple[bytes, bytes], common: _Common, code: str) -> DataFrame:
+    """``docs(doc_id, text, ...)`` -> a row per row of what its " " + text is made of.
 
-    a: path, on the driver, of a byte-level vocabulary; b: of a piece model that puts the
-    space before the text itself.  A null or empty text, and one that either side does
-    not give back byte by byte, has empty arrays.
+    vocabularies: a byte-level one, and a piece model that puts the space before the text
+    itself.  n_a, n_b: numbers of tokens; n_groups, known_links: groups and links of the
+    common parts; known: texts of these groups, a newline where another part's go.  Of
+    the other parts both sides' ids and byte ends follow: twice the ends, and one more
+    where a part ends.  A null or empty text, and one that either side does not give back
+    byte by byte, has zeros and empty arrays.
     """
-    held = []
-    for path in (a, b):
-        with open(path, "rb") as f:
-            held.append(f.read())
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(held))
-    return rows.mapInArrow(_tokenise(shared), _TOKENS)
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    shared = [spark.sparkContext.broadcast(x) for x in (vocabularies, common)]
+    kinds = [rows.schema["doc_id"].dataType.simpleString(), *["long"] * 3, "string", f"array<{code}>", *["array<int>"] * 4]
+    return rows.mapInArrow(_tokenise(*shared), ", ".join(map(" ".join, zip(_COLUMNS, kinds, strict=True))))
 
 
 _NUMBER, _SIDE = 1 << 32, 1 << 31
@@ -248,14 +317,14 @@ def _borders() -> Column:
     return F.array_compact(F.transform("_codes", border))
 
 
-def align(tokens: DataFrame, width: int) -> DataFrame:
-    """Groups and links of ``tokens`` (see ``tokenise``); further columns stay.
+def align(tokens: DataFrame, width: int, code: str) -> DataFrame:
+    """``tokens`` (see ``tokenise``) -> doc_id, n_a, n_b, n_groups, groups, links.
 
-    groups: per group the text ``a1,a2|b1`` of its ids; links: per overlapping
-    occurrence a_id * width + b_id, width being the number of b ids.
+    groups: per group the text ``a1,a2|b1`` of its ids, joined by ``;``; links: per
+    overlapping occurrence a_id * width + b_id, width being the number of b ids.
     """
     cut = tokens.withColumns({"_common": F.array_intersect("a_ends", "b_ends"), "_codes": _codes()})
-    cut = cut.withColumns({"_borders": _borders(), "links": _links(width)})
+    cut = cut.withColumns({"_borders": _borders(), "_links": _links(width)})
 
     of_a, of_b = lambda x: F.shiftright(x, 32).cast("int"), lambda x: x.bitwiseAND(_SIDE - 1).cast("int")
 
@@ -265,8 +334,40 @@ def align(tokens: DataFrame, width: int) -> DataFrame:
         many = F.transform(F.sequence(end - n + 1, end), lambda k: F.get(ids, k).cast("string"))  # slice() would copy the whole array first
         return F.when(n == 1, F.get(ids, end).cast("string")).otherwise(F.array_join(many, ","))
 
-    groups = F.transform("_common", lambda _, g: F.concat(part("a_ids", of_a, g), F.lit("|"), part("b_ids", of_b, g)))
-    return cut.withColumn("groups", groups).drop("_common", "_codes", "_borders")
+    def text(end: Column, g: Column) -> Column:  # a marked end is the part's last
+        return F.concat(part("a_ids", of_a, g), F.lit("|"), part("b_ids", of_b, g), F.when(end.bitwiseAND(1) == 1, _LATER).otherwise(";"))
+
+    cut = cut.withColumn("_groups", F.transform("_common", text))
+    between, others = F.split("known", _LATER), F.split(F.array_join("_groups", ""), _LATER)  # of equal length
+    return cut.select(
+        "doc_id",
+        "n_a",
+        "n_b",
+        (F.col("n_groups") + F.size("_groups")).alias("n_groups"),
+        F.array_join(F.zip_with(between, others, lambda x, y: F.concat(x, y)), "").alias("groups"),
+        F.concat("known_links", F.col("_links").cast(f"array<{code}>")).alias("links"),
+    )
+
+
+def _common_parts(docs: DataFrame, vocabularies: tuple[bytes, bytes], width: int, code: str) -> _Common:
+    """The parts that occur most often, aligned; at most ``COMMON``, of those that occur more than once."""
+    none = _Common(None, code)
+    if not _units(*vocabularies).cut:
+        return none
+    words = docs.select(F.explode(F.split(F.col("text").cast("string"), " ")).alias("text")).where(F.length("text") <= LONGEST)
+    counted = cut(words.groupBy("text").agg(F.count("*").alias("n")).where("n > 1"), "parts")
+    kept, least = 0, None
+    for n, count in sorted(map(tuple, counted.groupBy("n").count().collect()), reverse=True):
+        if (kept := kept + count) > COMMON:
+            break
+        least = n
+    if least is None:
+        return none
+    some = counted.where(F.col("n") >= least).select(F.col("text").alias("doc_id"), "text")
+    found = align(tokenise(some, vocabularies, none, code), width, code).where("n_a > 0")
+    common = _Common(found.toArrow(), code)
+    release(counted)
+    return common
 
 
 def _times(links: DataFrame) -> DataFrame:
@@ -292,18 +393,21 @@ def alignment(docs: DataFrame, a: str | None = None, b: str | None = None) -> Da
     spark = docs.sparkSession
     a, b = a or vocabulary_path(spark, VOCABULARY_A), b or vocabulary_path(spark, VOCABULARY_B)
     with open(a, "rb") as f, open(b, "rb") as g:
-        heights = [len(of) for of in _units(f.read(), g.read()).of]
+        vocabularies = f.read(), g.read()
+    heights = [len(of) for of in _units(*vocabularies).of]
     width = heights[1]
     code = "int" if heights[0] * width < 1 << 31 else "long"
-    found = align(tokenise(docs, a, b), width).select(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    common = _common_parts(rows, vocabularies, width, code)
+    found = align(tokenise(rows, vocabularies, common, code), width, code).select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
-        F.size("a_ids").cast("long").alias("n_a"),
-        F.size("b_ids").cast("long").alias("n_b"),
-        F.size("groups").cast("long").alias("n_groups"),
+        "n_a",
+        "n_b",
+        "n_groups",
         F.size("links").cast("long").alias("n_links"),
-        F.when(F.size("groups") > 0, F.sha2(F.array_join("groups", ";").cast("binary"), 256)).otherwise("").alias("groups_sha256"),
-        F.col("links").cast(f"array<{code}>").alias("links"),
+        F.when(F.col("n_groups") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("").alias("groups_sha256"),
+        "links",
     )
     path = new_path(spark, "aligned")
     found.write.option("compression", "zstd").parquet(path)  # written once: the tokens are read twice

@@ -216,3 +216,33 @@ def test_op11_parts_give_what_whole_texts_give(spark):
             assert x.equals(y)
     cut.held = alignment._HELD + 1  # what is kept is let go
     assert all(x.equals(y) for x, y in zip(cut.tokens(texts[:50]), whole.tokens(texts[:50]), strict=True)) and len(cut.number) < 500
+
+
+def test_op11_repeated_parts_are_aligned_once(spark, monkeypatch):
+    """The array functions see a part of a text once, not once for every document that holds it."""
+    aligned, align = [], alignment.align
+
+    def watched(tokens, *settings):
+        aligned.append(tokens.agg(F.sum(F.size("a_ids"))).first()[0] or 0)
+        return align(tokens, *settings)
+
+    monkeypatch.setattr(alignment, "align", watched)
+    r = random.Random(11)
+    words = ["".join(r.choice("abdeiklmnorstu") for _ in range(r.randrange(2, 12))) for _ in range(60)]
+    texts = [" ".join(r.choice(words) for _ in range(50)) + f" {k}end" for k in range(100)]
+    rows = alignment.alignment(docs(spark, texts)).collect()
+    got = {x.doc_id: tuple(x)[1:] for x in rows}
+    assert [got[i] for i in range(len(texts))] == plain_alignment(spark, texts)
+    assert sum(aligned) < sum(x.n_a for x in rows) / 10
+
+
+@pytest.mark.parametrize("common, longest", [(0, 64), (4, 64), (40, 3), (1 << 17, 64)])
+def test_op11_common_parts_change_nothing(spark, monkeypatch, common, longest):
+    monkeypatch.setattr(alignment, "COMMON", common)
+    monkeypatch.setattr(alignment, "LONGEST", longest)
+    texts = [t for t in TEXTS if not t or len(t) < 500] * 2
+    texts += ["of ▁mark of", "▁mark ▁mark", "of  the  ", " of the", "of the x7", "x8 x9 of the", "of x10 the x11 x12", "the of ᠎ the of", "of\nthe\nof of", "ﬁ of ﬁ"]
+    got = {x.doc_id: tuple(x)[1:] for x in alignment.alignment(docs(spark, texts)).collect()}
+    want = plain_alignment(spark, texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert any(t and not x[0] for t, x in zip(texts, want, strict=True))  # some do not come back in bytes
